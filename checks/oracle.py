@@ -711,4 +711,30 @@ ORACLE: dict[str, str] = {
         """SELECT term, count(*) AS term_count, count(DISTINCT line_no) AS line_count FROM terms
         GROUP BY term ORDER BY term_count DESC, term LIMIT 1000""",
     ),
+    # --- streams
+    "stream_ingest": _store(f"SELECT {GEO_ROW.replace('ingest_seq, ', '')} FROM store"),
+    "stream_kpis": _store(
+        f"""SELECT *, {_percent("total_anomalies", "total_logs", 2)} AS detection_rate FROM (
+        SELECT count(*) AS total_logs, count(*) FILTER (prediction = 'Anomaly') AS total_anomalies,
+          count(*) FILTER (status >= 400) AS failed_requests,
+          count(*) FILTER (prediction = 'Anomaly' AND severity IN ('High', 'Critical'))
+            AS high_severity_alerts FROM store)"""
+    ),
+    "stream_counts": _store(
+        """SELECT prediction, display_severity, CASE WHEN prediction <> 'Anomaly' THEN ''
+          WHEN contains(url, 'UNION') THEN 'SQLi' WHEN contains(url, 'passwd') THEN 'LFI'
+          WHEN contains(url, 'login') THEN 'BruteForce' ELSE 'Scanner' END AS label, count(*) AS count
+        FROM store GROUP BY ALL"""
+    ),
+    "stream_flood": _with(
+        COUNTED, "SELECT line_no, ip, requests_10s, failed_logins_60s FROM counted"
+    ),
+    "stream_windows": _with(
+        COUNTED,
+        """SELECT 'flood' AS alert, ip, second - o AS window_start, count(*) AS count
+        FROM logins, range(0, 10) AS r(o) GROUP BY ALL HAVING count(*) > 30
+        UNION ALL
+        SELECT 'failed logins', ip, second - o, count(*) FROM logins, range(0, 60) AS r(o)
+        WHERE failed = 1 GROUP BY ALL HAVING count(*) >= 5""",
+    ),
 }

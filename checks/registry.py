@@ -18,13 +18,23 @@ from logwarden.functions.times import clock_label, epoch_seconds, event_time
 from logwarden.operators import filters, geo, metrics, paging, sets
 from logwarden.operators.features import count_terms
 from logwarden.operators.fuse import add_verdict
+from logwarden.operators.models import (
+    Models,
+    TrainingSet,
+    add_scores,
+    fit_classifier,
+    training_set,
+)
 from logwarden.operators.parse import add_rebuilt_line, parse_lines, tag_batch
 from logwarden.operators.rates import add_trailing_counts, with_decoded_url
 from logwarden.operators.rules import add_rules, flat_rule
-from logwarden.plans.training import label_lines
-from logwarden.session import prepare
+from logwarden.plans.pipeline import enrich, score_lines
+from logwarden.plans.training import label_lines, retrain
+from logwarden.schemas import CLASSIFIERS
+from logwarden.session import prepare, scratch_folder
 from logwarden.sinks import tables
 from logwarden.sources import samples
+from logwarden.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -322,8 +332,135 @@ SQL_QUERIES: dict[str, Query] = {
 }
 
 
+# --- streams, drained ----------------------------------------------------------------------------
+def ingested(spark: SparkSession, sf: str) -> str:
+    """Run the live ingest over the event files; the store's path."""
+    folder = scratch_folder(spark, "ingest")
+    query = live.ingest_stream(
+        samples.stream_log_lines(spark, sf),
+        f"{folder}/store",
+        f"{folder}/state",
+        f"{folder}/checkpoint",
+        profile_places=False,
+        strict=True,
+    )
+    live.drain(query)
+    return f"{folder}/store"
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    columns = [c for c in GEO_ROW if c != "ingest_seq"]
+    return spark.read.parquet(ingested(spark, sf)).select(*columns)
+
+
+def running(figure: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        result = figure(live.stream_store(spark, ingested(spark, sf)))
+        folder = scratch_folder(spark, "figures")
+        live.drain(live.write_result(result, f"{folder}/table", f"{folder}/checkpoint"))
+        return spark.read.parquet(f"{folder}/table")
+
+    return run
+
+
+def stream_flood(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "trailing")
+    query = live.trailing_stream(
+        samples.stream_log_lines(spark, sf),
+        f"{folder}/rows",
+        f"{folder}/state",
+        f"{folder}/checkpoint",
+    )
+    live.drain(query)
+    columns = ["line_no", "ip", "requests_10s", "failed_logins_60s"]
+    return spark.read.parquet(f"{folder}/rows").select(*columns)
+
+
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "windows")
+    parts = []
+    for alerts in live.window_alerts(parse_lines(samples.stream_log_lines(spark, sf))):
+        path = f"{folder}/{len(parts)}"
+        live.drain(live.write_result(alerts, path, f"{path}-checkpoint"))
+        parts.append(spark.read.parquet(path))
+    alerts = sets.merge(*parts)
+    return alerts.withColumn("window_start", epoch_seconds(F.col("window_start")))
+
+
+# --- models ------------------------------------------------------------------------------------
+_TRAINING: dict[tuple, TrainingSet] = {}
+_FITTED: dict[tuple, object] = {}
+
+
+def models(spark: SparkSession, sf: str, names: list[str]) -> Models:
+    """Classifiers fitted on the whole log of ``sf``, each fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINING:
+        _TRAINING[key] = training_set(label_lines(samples.log_lines(spark, sf)))
+    training = _TRAINING[key]
+    for name in names:
+        if (*key, name) not in _FITTED:
+            _FITTED[(*key, name)] = fit_classifier(training, name)
+    return Models(training.features, {name: _FITTED[(*key, name)] for name in names})
+
+
+def score_one(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        scored = add_scores(
+            models(spark, sf, [name]), samples.log_lines(spark, sf), names=[name]
+        )
+        return scored.select("line_no", f"scores.{name}.*")
+
+    return run
+
+
+def score_all(spark: SparkSession, sf: str) -> DataFrame:
+    scored = add_scores(models(spark, sf, CLASSIFIERS), samples.log_lines(spark, sf))
+    return scored.select(
+        "line_no",
+        *[F.col(f"scores.{n}.{f}").alias(f"{n}_{f}") for n in CLASSIFIERS for f in ("prediction", "score")],
+    )
+
+
+def score_lines_query(spark: SparkSession, sf: str) -> DataFrame:
+    fitted = models(spark, sf, CLASSIFIERS)
+    scored = score_lines(samples.log_lines(spark, sf), fitted, "random_forest")
+    return scored.drop("all_predictions")
+
+
+def fuse_full(spark: SparkSession, sf: str) -> DataFrame:
+    fitted = models(spark, sf, CLASSIFIERS)
+    rows = enrich(samples.log_lines(spark, sf), models=fitted, mode="fallback")
+    return rows.select(*GEO_ROW, "details", "batch_id")
+
+
+def retrain_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the whole log, store, load, and count the verdicts of the re-scored log."""
+    lines = samples.log_lines(spark, sf)
+    fitted = retrain(lines, scratch_folder(spark, "models"))
+    return metrics.verdict_counts(enrich(lines, models=fitted))
+
+
+STREAM_QUERIES: dict[str, Query] = {
+    "stream_ingest": stream_ingest,
+    "stream_kpis": running(live.running_kpis),
+    "stream_counts": running(live.running_counts),
+    "stream_flood": stream_flood,
+    "stream_windows": stream_windows,
+}
+
+MODEL_QUERIES: dict[str, Query] = {
+    **{f"score_{name}": score_one(name) for name in CLASSIFIERS},
+    "score_all": score_all,
+    "score_lines": score_lines_query,
+    "fuse_full": fuse_full,
+    "retrain": retrain_query,
+}
+
+
 def registered() -> dict[str, Query]:
     def in_utc(query: Query) -> Query:
         return lambda spark, sf: query(prepare(spark), sf)
 
-    return {name: in_utc(query) for name, query in SQL_QUERIES.items()}
+    every = SQL_QUERIES | STREAM_QUERIES | MODEL_QUERIES
+    return {name: in_utc(query) for name, query in every.items()}

@@ -1,10 +1,19 @@
-"""Weak labels and model training."""
+"""Weak labels, model training and retraining."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.models import (
+    MIN_RETRAIN_LINES,
+    Models,
+    bootstrap_lines,
+    fit_models,
+    has_models,
+    load_models,
+    save_models,
+)
 from ..operators.parse import parse_lines
 from ..operators.rules import add_rules
 
@@ -17,3 +26,24 @@ def label_lines(lines: DataFrame) -> DataFrame:
         .select("line_no", F.lit(1.0).alias("label"))
     )
     return lines.join(threats, "line_no", "left").fillna(0.0, ["label"])
+
+
+def train(lines: DataFrame, names: list[str] | None = None) -> Models:
+    """Fit features and classifiers on ``line_no, value`` with rule labels."""
+    return fit_models(label_lines(lines), names)
+
+
+def load_or_bootstrap(spark: SparkSession, path: str) -> Models:
+    """Stored models, or a first set fitted on the bootstrap lines and stored."""
+    if not has_models(spark, path):
+        save_models(train(bootstrap_lines(spark)), spark, path)
+    return load_models(spark, path)
+
+
+def retrain(lines: DataFrame, path: str) -> Models:
+    """Fit on all lines, replace the stored models and return them."""
+    if len(lines.take(MIN_RETRAIN_LINES)) < MIN_RETRAIN_LINES:
+        raise ValueError(f"retraining needs at least {MIN_RETRAIN_LINES} lines")
+    spark = lines.sparkSession
+    save_models(train(lines), spark, path)
+    return load_models(spark, path)

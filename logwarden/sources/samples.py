@@ -50,13 +50,16 @@ def _by_event(values: dict[str, str]) -> Column:
     return chosen
 
 
+EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the address, time, url and status their log line will carry."""
-    events = use_all_cores(
-        spark.read.parquet(f"{sf_dir}/events.parquet").select(
-            "event_id", "user_id", "event_type", "value"
-        )
-    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
+    return _as_requests(use_all_cores(events))
+
+
+def _as_requests(events: DataFrame) -> DataFrame:
     event_id, user_id = F.col("event_id"), F.col("user_id")
     block, position = F.expr("event_id div 1000"), event_id % 1000
     offset = block * 3600 + F.when(block % 3 == 0, F.expr("(event_id % 1000) div 20")).otherwise(
@@ -184,6 +187,18 @@ def log_lines(spark: SparkSession, sf_dir: str, log_type: str = "apache") -> Dat
     return requests(spark, sf_dir).select(F.col("event_id").alias("line_no"), line.alias("value"))
 
 
+def stream_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_no, value`` of the web log as a stream over the files of ``events``."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # A pattern, since the table may be one file as well as a folder of files.
+    files = f"{sf_dir}/events.{{parquet}}"
+    events = spark.readStream.schema(schema).parquet(files).select(*EVENT_COLUMNS)
+    return _as_requests(events).select(
+        F.col("event_id").alias("line_no"), _apache(F.col("time")).alias("value")
+    )
+
+
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, log_type, value``: every event once in each format."""
     views = [
