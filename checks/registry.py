@@ -26,14 +26,15 @@ from logwarden.operators.models import (
     training_set,
 )
 from logwarden.operators.parse import add_rebuilt_line, parse_lines, tag_batch
-from logwarden.operators.rates import add_trailing_counts, with_decoded_url
-from logwarden.operators.rules import add_rules, flat_rule
+from logwarden.operators.rates import add_trailing_counts
+from logwarden.operators.rules import add_rules, flat_rule, with_decoded_url
 from logwarden.plans.pipeline import enrich, score_lines
 from logwarden.plans.training import label_lines, retrain
 from logwarden.schemas import CLASSIFIERS
 from logwarden.session import prepare, scratch_folder
 from logwarden.sinks import tables
 from logwarden.sources import samples
+from logwarden.sources.text import use_all_cores
 from logwarden.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,7 +155,7 @@ def signature_match(spark: SparkSession, sf: str) -> DataFrame:
     logs = with_decoded_url(parsed(spark, sf)).select(
         F.col("line_no").alias("id"), F.lit("log").alias("kind"), F.col("decoded_url").alias("text")
     )
-    documents = spark.read.parquet(f"{sf}/documents.parquet").select(
+    documents = use_all_cores(spark.read.parquet(f"{sf}/documents.parquet")).select(
         F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text"
     )
     texts = logs.unionByName(documents)

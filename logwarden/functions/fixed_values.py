@@ -27,6 +27,7 @@ FLOOD_SECONDS = 10
 FLOOD_MORE_THAN = 30
 FAILED_LOGIN_SECONDS = 60
 FAILED_LOGIN_AT_LEAST = 5
+REFUSED_STATUS = [401, 403]
 
 # --- attack signatures, tested in this order against the decoded url, ignoring case ------------
 ATTACK_SIGNATURES = [
@@ -56,6 +57,28 @@ SENSITIVE_PATHS = [
 
 PRIVILEGED_PARTS = ["/root", "/admin/secure", "/secret"]
 
+# --- rules in the order they are tested: name, is_threat, threat type (None: the signature's name),
+# severity, score, details before and after the subject, subject of the details --------------------
+RULES = [
+    ("flood", True, "DDoS Attempt / Flooding", "High", 0.85,
+     "IP requested ", " resources in 10 seconds.", "requests"),
+    ("brute force", True, "Brute Force Attack", "Critical", 0.95,
+     "Detected ", " failed login attempts in under 60 seconds.", "failures"),
+    ("signature", True, None, "Critical", 0.98,
+     "Exploit pattern detected in request query path: ", "", "url"),
+    ("open path", True, "Web Scanner / Reconnaissance", "High", 0.75,
+     "Scanned restricted or sensitive endpoint '", ".", "scan"),
+    ("closed path", True, "Web Scanner / Reconnaissance", "Medium", 0.50,
+     "Scanned restricted or sensitive endpoint '", ".", "scan"),
+    ("privilege", True, "Unauthorized Privilege Access", "High", 0.80,
+     "Successful access to sensitive, restricted admin directory.", "", ""),
+    ("not found", False, "Normal (404 Not Found)", "Low", 0.15,
+     "Requested resources not found: ", "", "url"),
+    ("server error", True, "Server Application Error", "Medium", 0.40,
+     "Server responded with HTTP 500. Could indicate SQL syntax crashes or system failure.", "", ""),
+    ("normal", False, "Normal", "Low", 0.02, "Normal HTTP request flow.", "", ""),
+]
+
 # --- severity vocabularies: store name -> display name -----------------------------------------
 SEVERITY_NAMES = [
     ("Low", "Normal"),

@@ -9,9 +9,14 @@ from . import fixed_values as V
 from .text import contains_ignore_case, java_pattern
 
 
-def is_failed_login(url: Column, status: Column) -> Column:
+def names_login(url: Column) -> Column:
+    """Whether the decoded url mentions a login; false for NULL."""
     named = contains_ignore_case(url, "login") | contains_ignore_case(url, "auth")
-    return F.coalesce(named & status.isin(401, 403), F.lit(False))
+    return F.coalesce(named, F.lit(False))
+
+
+def is_failed_login(url: Column, status: Column) -> Column:
+    return F.coalesce(status.isin(*V.REFUSED_STATUS), F.lit(False)) & names_login(url)
 
 
 def signature_name(url: Column) -> Column:
@@ -33,88 +38,58 @@ def is_privileged_access(url: Column, status: Column) -> Column:
     return found & (status == 200)
 
 
-def _verdict(is_threat: bool, threat_type, severity, score, details) -> Column:
-    # F.lit leaves Columns as they are.
-    return F.struct(
-        F.lit(is_threat).alias("is_threat"),
-        F.lit(threat_type).alias("threat_type"),
-        F.lit(severity).alias("severity"),
-        F.lit(score).alias("score"),
-        F.lit(details).alias("details"),
-    )
+def rule_number(
+    url: Column,
+    status: Column,
+    signature: Column,
+    sensitive: Column,
+    requests: Column,
+    failed_logins: Column,
+) -> Column:
+    """Position in ``RULES`` of the first rule that fires."""
+    order = [rule[0] for rule in V.RULES]
+    conditions = {
+        "flood": requests > V.FLOOD_MORE_THAN,
+        "brute force": failed_logins >= V.FAILED_LOGIN_AT_LEAST,
+        "signature": signature.isNotNull(),
+        "open path": sensitive & (status == 200),
+        "closed path": sensitive,
+        "privilege": is_privileged_access(url, status),
+        "not found": status == 404,
+        "server error": status == 500,
+    }
+    number = F.when(F.lit(False), 0)
+    for name, condition in conditions.items():
+        number = number.when(condition, order.index(name))
+    return number.otherwise(order.index("normal"))
 
 
 def rule_verdict(
+    number: Column,
     url: Column,
     status: Column,
     signature: Column,
-    sensitive: Column,
     requests: Column,
     failed_logins: Column,
 ) -> Column:
-    """The first rule that fires: flood, brute force, signature, path, privilege, status."""
-
-    def say(*parts) -> Column:
-        return F.concat(*[F.lit(p) for p in parts])
-
-    return (
-        F.when(
-            requests > V.FLOOD_MORE_THAN,
-            _verdict(
-                True, "DDoS Attempt / Flooding", "High", 0.85,
-                say("IP requested ", requests.cast("string"), " resources in 10 seconds."),
-            ),
-        )
-        .when(
-            failed_logins >= V.FAILED_LOGIN_AT_LEAST,
-            _verdict(
-                True, "Brute Force Attack", "Critical", 0.95,
-                say(
-                    "Detected ", failed_logins.cast("string"),
-                    " failed login attempts in under 60 seconds.",
-                ),
-            ),
-        )
-        .when(
-            signature.isNotNull(),
-            _verdict(
-                True, signature, "Critical", 0.98,
-                say("Exploit pattern detected in request query path: ", url),
-            ),
-        )
-        .when(
-            sensitive,
-            _verdict(
-                True,
-                "Web Scanner / Reconnaissance",
-                F.when(status == 200, "High").otherwise("Medium"),
-                F.when(status == 200, 0.75).otherwise(0.50),
-                say(
-                    "Scanned restricted or sensitive endpoint '", url, "' resulting in HTTP ",
-                    status.cast("string"), ".",
-                ),
-            ),
-        )
-        .when(
-            is_privileged_access(url, status),
-            _verdict(
-                True, "Unauthorized Privilege Access", "High", 0.80,
-                "Successful access to sensitive, restricted admin directory.",
-            ),
-        )
-        .when(
-            status == 404,
-            _verdict(
-                False, "Normal (404 Not Found)", "Low", 0.15,
-                say("Requested resources not found: ", url),
-            ),
-        )
-        .when(
-            status == 500,
-            _verdict(
-                True, "Server Application Error", "Medium", 0.40,
-                "Server responded with HTTP 500. Could indicate SQL syntax crashes or system failure.",
-            ),
-        )
-        .otherwise(_verdict(False, "Normal", "Low", 0.02, "Normal HTTP request flow."))
+    """The verdict of the rule at ``number``: looked up, not one branch per rule and field."""
+
+    def looked_up(field: int) -> Column:
+        return F.get(F.array(*[F.lit(rule[field]) for rule in V.RULES]), number)
+
+    subject = F.get(F.array(*[F.lit(rule[7]) for rule in V.RULES]), number)
+    scanned = F.concat(url, F.lit("' resulting in HTTP "), status.cast("string"))
+    text = (
+        F.when(subject == "requests", requests.cast("string"))
+        .when(subject == "failures", failed_logins.cast("string"))
+        .when(subject == "url", url)
+        .when(subject == "scan", scanned)
+        .otherwise("")
+    )
+    return F.struct(
+        looked_up(1).alias("is_threat"),
+        F.coalesce(looked_up(2), signature).alias("threat_type"),
+        looked_up(3).alias("severity"),
+        looked_up(4).alias("score"),
+        F.concat(looked_up(5), text, looked_up(6)).alias("details"),
     )

@@ -6,26 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.places import latitude_jitter, longitude_jitter, pool_index
+from ..functions.places import (
+    digest_remainder,
+    latitude_jitter,
+    longitude_jitter,
+    pool_index,
+)
 
 
-def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    records = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*records)))
+def _sql_value(value: str | float | int | bool) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def _table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    values = ", ".join("(" + ", ".join(map(_sql_value, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def geo_profiles(spark: SparkSession) -> DataFrame:
-    """12 rows: ``ip, country, city, latitude, longitude, is_malicious``."""
-    names = ["ip", "country", "city", "latitude", "longitude", "is_malicious"]
-    return _table(spark, V.GEO_PROFILES, names)
+    """12 rows."""
+    return _table(spark, V.GEO_PROFILES, "ip, country, city, latitude, longitude, is_malicious")
 
 
 def geo_pool(spark: SparkSession) -> DataFrame:
-    """13 rows: ``idx, country, city, latitude, longitude, isp``."""
-    names = ["idx", "country", "city", "latitude", "longitude", "isp"]
-    return _table(spark, [(i, *row) for i, row in enumerate(V.GEO_POOL)], names)
+    """13 rows; ``idx`` is the position."""
+    rows = [(i, *row) for i, row in enumerate(V.GEO_POOL)]
+    return _table(spark, rows, "idx, country, city, latitude, longitude, isp")
 
 
 def add_profile_place(rows: DataFrame) -> DataFrame:
@@ -50,10 +58,10 @@ def add_place(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     profiles = F.broadcast(geo_profiles(spark).alias("p"))
     pool = F.broadcast(geo_pool(spark).alias("g"))
-    digest = F.col("_digest")
+    rest = F.col("_rest")
     joined = (
-        rows.withColumn("_digest", F.md5(F.col("ip").cast("binary")))
-        .withColumn("_idx", pool_index(digest))
+        rows.withColumn("_rest", digest_remainder(F.md5(F.col("ip").cast("binary"))))
+        .withColumn("_idx", pool_index(rest))
         .join(profiles, "ip", "left")
         .join(pool, F.col("_idx") == F.col("g.idx"), "left")
     )
@@ -69,8 +77,8 @@ def add_place(rows: DataFrame) -> DataFrame:
         *[F.col(c) for c in rows.columns],
         F.when(known, F.col("p.country")).otherwise(F.col("g.country")).alias("country"),
         F.when(known, F.col("p.city")).otherwise(F.col("g.city")).alias("city"),
-        shifted("latitude", latitude_jitter(digest)).alias("latitude"),
-        shifted("longitude", longitude_jitter(digest)).alias("longitude"),
+        shifted("latitude", latitude_jitter(rest)).alias("latitude"),
+        shifted("longitude", longitude_jitter(rest)).alias("longitude"),
         F.when(known, isp).otherwise(F.col("g.isp")).alias("isp"),
     )
 

@@ -12,37 +12,37 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import unquote
-from ..functions.threats import is_failed_login
+from ..functions.threats import names_login
 from ..functions.times import epoch_seconds
 
 CELL_BITS = 16
 SPAN_SECONDS = 3600
 OVERLAP_SECONDS = max(V.FLOOD_SECONDS, V.FAILED_LOGIN_SECONDS)
 
-CELL = ["ip", "_second", "_block"]
-
-
-def with_decoded_url(rows: DataFrame) -> DataFrame:
-    if "decoded_url" in rows.columns:
-        return rows
-    # Two steps: the first result is used several times in the second.
-    once = rows.withColumn("_once", unquote(F.col("url")))
-    return once.withColumn("decoded_url", unquote(F.col("_once"))).drop("_once")
+# The hash comes first: sorts then compare one long instead of address texts.
+CELL = ["_cell", "ip", "_second", "_block"]
 
 
 def with_cell(rows: DataFrame) -> DataFrame:
+    # Only urls of refused requests are decoded for the login test.
+    refused = F.when(F.col("status").isin(*V.REFUSED_STATUS), F.col("url"))
     return (
-        with_decoded_url(rows)
-        .withColumn("_second", epoch_seconds(F.col("event_time")))
+        rows.withColumn("_second", epoch_seconds(F.col("event_time")))
         .withColumn("_block", F.shiftright("line_no", CELL_BITS))
-        .withColumn(
-            "_failed", is_failed_login(F.col("decoded_url"), F.col("status")).cast("bigint")
-        )
+        .withColumn("_cell", cell_hash())
+        .withColumn("_refused", unquote(refused))
+        .withColumn("_refused", unquote(F.col("_refused")))
+        .withColumn("_failed", names_login(F.col("_refused")).cast("bigint"))
+        .drop("_refused")
     )
 
 
+def cell_hash() -> Column:
+    return F.xxhash64("ip", "_second", "_block")
+
+
 def count_cells(rows: DataFrame) -> DataFrame:
-    """``ip, _second, _block, _requests, _failures`` of rows that carry an event time."""
+    """Requests and failed logins per cell, of rows that carry an event time."""
     return (
         rows.filter(F.col("_second").isNotNull())
         .groupBy(*CELL)
@@ -62,16 +62,16 @@ def trailing_before_cell(cells: DataFrame) -> DataFrame:
 
     copies = F.when(near_end, F.array(copy(0), copy(1))).otherwise(F.array(copy(0)))
     spread = cells.select("*", F.inline(copies))
-    by_span = Window.partitionBy("ip", "_span").orderBy("_second")
-    own_and_later = (
-        Window.partitionBy("ip", "_span", "_second")
-        .orderBy(F.col("_block").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    in_span = Window.partitionBy("ip", "_span")
+    first = Window.unboundedPreceding
+    earlier = in_span.orderBy("_second", "_block").rowsBetween(first, -1)
 
     def before(column: str, seconds: int) -> Column:
-        trailing = F.sum(column).over(by_span.rangeBetween(-seconds, 0))
-        return trailing - F.sum(column).over(own_and_later)
+        # Running totals minus what is out of reach: both grow row by row, however many cells a
+        # second has, where a sliding frame would be summed again for every second.
+        too_old = in_span.orderBy("_second").rangeBetween(first, -seconds - 1)
+        reached = F.coalesce(F.sum(column).over(earlier), F.lit(0))
+        return reached - F.coalesce(F.sum(column).over(too_old), F.lit(0))
 
     return (
         spread.withColumn("_requests_before", before("_requests", V.FLOOD_SECONDS))
@@ -87,7 +87,7 @@ def add_trailing_counts(rows: DataFrame, earlier_cells: DataFrame | None = None)
     Needs ``ip, event_time, url, status`` and ``line_no`` (unique; orders rows of one second).
     ``earlier_cells`` are cells of rows that came before (a stream's earlier batches).
     """
-    kept = with_decoded_url(rows).columns
+    kept = rows.columns
     split = with_cell(rows)
     cells = count_cells(split)
     if earlier_cells is not None:

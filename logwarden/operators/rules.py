@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.threats import is_sensitive_path, rule_verdict, signature_name
-from .rates import add_trailing_counts, with_decoded_url
+from ..functions.text import unquote
+from ..functions.threats import is_sensitive_path, rule_number, rule_verdict, signature_name
+from .rates import add_trailing_counts
+
+
+def with_decoded_url(rows: DataFrame) -> DataFrame:
+    if "decoded_url" in rows.columns:
+        return rows
+    # Two steps: the first result is used several times in the second.
+    once = rows.withColumn("_once", unquote(F.col("url")))
+    return once.withColumn("decoded_url", unquote(F.col("_once"))).drop("_once")
 
 
 def add_rules(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFrame:
@@ -34,9 +43,12 @@ def _match_url(rows: DataFrame) -> DataFrame:
 
 
 def _add_verdict(counted: DataFrame) -> DataFrame:
-    columns = ("decoded_url", "status", "_signature", "_sensitive", "requests_10s", "failed_logins_60s")
-    rule = rule_verdict(*[F.col(c) for c in columns])
-    return counted.withColumn("rule", rule).drop("_signature", "_sensitive")
+    url, status, signature = F.col("decoded_url"), F.col("status"), F.col("_signature")
+    counts = F.col("requests_10s"), F.col("failed_logins_60s")
+    number = rule_number(url, status, signature, F.col("_sensitive"), *counts)
+    rule = rule_verdict(F.col("_rule"), url, status, signature, *counts)
+    ruled = counted.withColumn("_rule", number).withColumn("rule", rule)
+    return ruled.drop("_rule", "_signature", "_sensitive")
 
 
 def flat_rule(rows: DataFrame, *columns: str) -> DataFrame:

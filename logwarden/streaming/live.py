@@ -18,10 +18,11 @@ from ..operators.parse import parse_lines, tag_batch
 from ..operators.rates import (
     OVERLAP_SECONDS,
     add_trailing_counts,
+    cell_hash,
     count_cells,
     with_cell,
-    with_decoded_url,
 )
+from ..operators.rules import with_decoded_url
 from ..plans.pipeline import STORE_COLUMNS, judge
 
 ALLOWED_LATENESS_SECONDS = 120
@@ -29,7 +30,9 @@ ROW_BITS = 24
 PARTITION_BITS = 14
 EARLIER_BLOCK = -1  # cells of earlier batches come before every cell of this one
 
-CELL_SCHEMA = "ip string, _second bigint, _block bigint, _requests bigint, _failures bigint"
+CELL_SCHEMA = (
+    "ip string, _second bigint, _block bigint, _cell bigint, _requests bigint, _failures bigint"
+)
 
 
 def number_rows(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -71,7 +74,8 @@ def save_cells(parsed: DataFrame, earlier: DataFrame, state: str, batch_id: int)
     newest = cells.agg(F.max("_second")).first()[0]
     reach = OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS
     kept = seconds if newest is None else seconds.filter(F.col("_second") >= newest - reach)
-    kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint")).write.mode("overwrite").parquet(
+    merged = kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint"))
+    merged.withColumn("_cell", cell_hash()).write.mode("overwrite").parquet(
         _history_folder(state, batch_id)
     )
 
