@@ -30,6 +30,9 @@ from logwarden.operators.rates import add_trailing_counts
 from logwarden.operators.rules import add_rules, flat_rule, with_decoded_url
 from logwarden.plans.pipeline import enrich, score_lines
 from logwarden.plans.training import label_lines, retrain
+from logwarden.plans.views import LOG_COLUMNS as LOG_ROW
+from logwarden.plans.views import MAP_COLUMNS as GEO_ROW
+from logwarden.plans.views import threat_map
 from logwarden.schemas import CLASSIFIERS
 from logwarden.session import prepare, scratch_folder
 from logwarden.sinks import tables
@@ -39,15 +42,6 @@ from logwarden.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LOG_ROW = [
-    "ingest_seq", "timestamp", "ip", "method", "url", "status", "size", "severity", "prediction",
-    "anomaly_score", "country", "city", "latitude", "longitude",
-]
-GEO_ROW = [
-    "ingest_seq", "timestamp", "ip", "country", "city", "isp", "latitude", "longitude",
-    "display_severity", "threat_type", "method", "url", "status", "size", "prediction",
-    "anomaly_score",
-]
 FORMAT_ROW = ["line_no", "log_type", "timestamp", "ip", "method", "url", "status"]
 
 
@@ -185,14 +179,13 @@ def geo_hash_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def geo_threats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = filters.filter_map(
+    return threat_map(
         store(spark, sf),
         url="API",
         severity="critical",
         time_range="24h",
         as_of=last_second(spark, sf),
     )
-    return rows.select(*GEO_ROW)
 
 
 # --- fusion ------------------------------------------------------------------------------------

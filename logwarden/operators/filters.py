@@ -12,13 +12,8 @@ from ..functions import fixed_values as V
 from ..functions.text import contains_ignore_case
 
 
-def _all(conditions: list[Column]) -> Column | None:
-    return reduce(lambda a, b: a & b, conditions) if conditions else None
-
-
-def _keep(rows: DataFrame, conditions: list[Column]) -> DataFrame:
-    condition = _all(conditions)
-    return rows if condition is None else rows.filter(condition)
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
 def equals_ignore_case(column: Column, text: str) -> Column:
@@ -97,17 +92,16 @@ def filter_batch(
     if time_range in V.BATCH_TIME_RANGES:
         end = latest_event_time(rows) if as_of is None else as_of
         conditions.append(batch_time_range(time_range, end))
-    return _keep(rows, conditions)
+    return rows.filter(_all(conditions))
 
 
-def filter_logs(
-    rows: DataFrame,
+def log_condition(
     search: str | None = None,
     ip: str | None = None,
     status_code: int | None = None,
     severity: str | None = None,
     prediction: str | None = None,
-) -> DataFrame:
+) -> Column:
     """Filters of the log list; severity is a store name. None, '' and 0 filter nothing."""
     conditions = []
     if search:
@@ -120,7 +114,11 @@ def filter_logs(
         conditions.append(equals_ignore_case(F.col("severity"), severity))
     if prediction:
         conditions.append(equals_ignore_case(F.col("prediction"), prediction))
-    return _keep(rows, conditions)
+    return _all(conditions)
+
+
+def filter_logs(rows: DataFrame, **conditions) -> DataFrame:
+    return rows.filter(log_condition(**conditions))
 
 
 def filter_map(
@@ -145,4 +143,4 @@ def filter_map(
     if time_range:
         end = latest_event_time(rows) if as_of is None else as_of
         conditions.append(map_time_range(time_range, end))
-    return _keep(rows, conditions)
+    return rows.filter(_all(conditions))

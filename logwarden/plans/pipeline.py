@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, metrics
@@ -16,6 +17,7 @@ from ..operators.parse import add_rebuilt_line, parse_lines, tag_batch
 from ..operators.rules import add_rules
 from ..session import stage
 from ..sinks.tables import append_raw, write_store
+from .training import retrain
 
 STORE_ROWS = 10_000
 LIVE_ROWS = 500
@@ -86,17 +88,24 @@ def analyze(
     ``conditions`` are the arguments of ``filters.filter_batch``.
     """
     enriched = enrich(lines, log_type, models, classifier, mode, batch_number)
-    rows = stage(enriched.select(*STORE_COLUMNS), "analysis")
-    records = filters.filter_batch(rows, **conditions)
-    counts = rows.agg(F.count("*").alias("records_processed")).withColumn(
-        "batch_id", F.lit(f"RDD-0{batch_number}")
+    seen = Observation("batch")
+    start = time.perf_counter()
+    rows = stage(
+        enriched.select(*STORE_COLUMNS).observe(seen, F.count("*").alias("rows")), "analysis"
     )
-    kept = records.agg(F.count("*").alias("records_filtered")).withColumn(
-        "batch_id", F.lit(f"RDD-0{batch_number}")
+    seconds = time.perf_counter() - start
+    records = filters.filter_batch(rows, **conditions)
+    metadata = records.agg(F.count("*").alias("records_filtered")).select(
+        F.lit(seen.get["rows"]).cast("bigint").alias("records_processed"),
+        "records_filtered",
+        F.lit(round(seconds, 3)).alias("execution_time_sec"),
+        F.lit(int(seen.get["rows"] / seconds)).cast("bigint").alias("processing_speed_lps"),
+        F.lit(lines.rdd.getNumPartitions()).alias("partitions"),
+        F.lit(f"RDD-0{batch_number}").alias("batch_id"),
     )
     return Analysis(
         records=records,
-        metadata=counts.join(kept, "batch_id"),
+        metadata=metadata,
         aggregations={
             "top_attackers": metrics.top_attackers(records),
             "status_counts": metrics.status_breakdown(records),
@@ -160,6 +169,13 @@ def latest_store(spark: SparkSession, path: str, n: int = STORE_ROWS) -> DataFra
     return keep_latest(read_store(spark, path), n)
 
 
+def retrain_store(lines: DataFrame, models_path: str, path: str) -> Models:
+    """Fit on the whole raw log, then judge it again with the new models."""
+    models = retrain(lines, models_path)
+    build_store(lines, path, models)
+    return models
+
+
 def score_lines(
     lines: DataFrame, models: Models | None, classifier: str = "isolation_forest"
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import clean_line
 from ..schemas import RAW_LINE
 
 UPLOAD_NAMES = "*.{log,txt,csv}"
+RAW_LOG_SETTING = "spark.logwarden.rawLog"
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:
@@ -24,15 +25,20 @@ def clean_lines(raw: DataFrame) -> DataFrame:
 
 def read_lines(
     spark: SparkSession,
-    path: str | list[str],
+    path: str | list[str] | None = None,
     partitions: int | None = None,
     names: str | None = None,
 ) -> DataFrame:
     """``line_no, value`` of text files; ``line_no`` grows along each file.
 
-    ``names`` is a file-name pattern (``UPLOAD_NAMES`` for uploaded files). ``partitions`` asks for
-    at least that many input partitions.
+    Without a path it reads the raw log that ``RAW_LOG_SETTING`` names. ``names`` is a file-name
+    pattern (``UPLOAD_NAMES`` for uploaded files). ``partitions`` asks for at least that many input
+    partitions.
     """
+    if path is None:
+        path = spark.conf.get(RAW_LOG_SETTING, None)
+        if path is None:
+            raise ValueError(f"give a path or set {RAW_LOG_SETTING}")
     reader = spark.read.schema(RAW_LINE)
     if names is not None:
         reader = reader.option("pathGlobFilter", names)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from logwarden.operators import filters, metrics, paging
 from logwarden.operators.fuse import with_native_verdict
-from logwarden.plans import pipeline
+from logwarden.plans import pipeline, views
 from logwarden.sinks import tables
 from logwarden.sources.samples import log_lines, mixed_lines
-from logwarden.sources.text import partition_count, read_lines
+from logwarden.sources.text import RAW_LOG_SETTING, partition_count, read_lines
 
 LINE = '1.2.3.4 - - [21/May/2026:10:00:{:02d} +0000] "GET /a"b HTTP/1.1" 200 7'
 
@@ -76,6 +76,8 @@ def test_analysis(spark, sf_dir):
     row = result.metadata.first()
     assert row.records_processed == 5 * 1000
     assert row.records_filtered == result.records.count() > 0
+    assert row.execution_time_sec > 0 and row.processing_speed_lps > 0
+    assert (row.partitions, row.batch_id) == (40, "RDD-01")
     counts = result.aggregations["severity_distribution"].first()
     assert counts.critical == row.records_filtered
     assert result.aggregations["anomaly_counts"].first().normal == 0
@@ -140,6 +142,39 @@ def test_pages(spark, store):
     assert (counts.filtered_count, counts.pages) == (0, 1)
 
 
+def test_log_page(spark, store):
+    rows = pipeline.read_store(spark, store)
+    result = views.log_page(rows, 2, 10, severity="critical", search="/")
+    counts = result.counts.first()
+    critical = rows.filter("severity = 'Critical'").count()
+    assert (counts.total, counts.filtered_count) == (rows.count(), critical)
+    assert counts.pages == -(-critical // 10)
+    assert [r.severity for r in result.rows.collect()] == ["Critical"] * 10
+    assert views.threats(rows, 7).count() == 7
+
+
+def test_threat_map_places_store_rows(spark, store):
+    rows = pipeline.read_store(spark, store)
+    assert rows.filter("country = 'Unknown'").count() > 0
+    placed = views.threat_map(rows, ip="1.2.3.", time_range="7d").collect()
+    assert len(placed) == rows.filter("ip = '1.2.3.4'").count() > 0
+    country = placed[0].country
+    again = views.threat_map(rows, country=country.upper()).collect()
+    assert {r.country for r in again} == {country}
+    assert views.threat_map(rows).filter("country = 'Unknown'").count() == 0
+
+
+def test_default_raw_log(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_lines(spark)
+    (tmp_path / "raw.log").write_text("a\n")
+    spark.conf.set(RAW_LOG_SETTING, str(tmp_path / "raw.log"))
+    try:
+        assert read_lines(spark).count() == 1
+    finally:
+        spark.conf.unset(RAW_LOG_SETTING)
+
+
 def test_unknown_ip(spark, store):
     row = metrics.ip_investigation(pipeline.read_store(spark, store), "45.33.99.7", "now").first()
     assert (row["count"], row.display_severity, row.timestamp) == (0, "Normal", "now")
