@@ -420,7 +420,8 @@ ORACLE: dict[str, str] = {
         + _parsed_all()
         + MIXED[len(APACHE_LINES) :]
         + """, failed AS (SELECT m.* FROM mixed m ANTI JOIN records r ON m.line_no = r.line_no)""",
-        f"""SELECT line_no, log_type, ip, method, url, status, size, FALSE AS is_fallback FROM records
+        f"""SELECT line_no, log_type, ip, method, url, status, coalesce(size, -1) AS size,
+          FALSE AS is_fallback FROM records
         UNION ALL
         SELECT line_no, upper(substr(log_type, 1, 1)) || substr(log_type, 2),
           CASE WHEN contains(value, '82.102') THEN '82.102.23.45' ELSE '127.0.0.1' END, 'GET',
@@ -450,7 +451,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT event_id, 'blank', epoch_ms(t) FROM timed
         UNION ALL SELECT event_id, 'iso', epoch_ms(t) FROM timed
         UNION ALL SELECT event_id, 'fraction', epoch_ms(t) + event_id % 1000 FROM timed
-        UNION ALL SELECT event_id, 'junk', NULL FROM timed""",
+        UNION ALL SELECT event_id, 'junk', -1 FROM timed""",
     ),
     "display_labels": _store(
         """SELECT line_no, CASE WHEN contains(url, 'UNION') THEN 'SQLi' WHEN contains(url, 'passwd')

@@ -87,8 +87,10 @@ def parse_format(log_type: str) -> Query:
 
 
 def parse_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["line_no", "log_type", "ip", "method", "url", "status", "size", "is_fallback"]
-    return mixed(spark, sf, "fallback").select(*columns)
+    columns = ["line_no", "log_type", "ip", "method", "url", "status", "is_fallback"]
+    # -1 marks a format without sizes.
+    size = F.coalesce("size", F.lit(-1)).alias("size")
+    return mixed(spark, sf, "fallback").select(*columns, size)
 
 
 def native_threats(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +126,8 @@ def parse_event_time(spark: SparkSession, sf: str) -> DataFrame:
             )
         ),
     )
-    return times.select("line_no", "form", F.unix_millis(event_time(F.col("text"))).alias("millis"))
+    millis = F.unix_millis(event_time(F.col("text")))
+    return times.select("line_no", "form", F.coalesce(millis, F.lit(-1)).alias("millis"))
 
 
 def display_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,7 +393,8 @@ def models(spark: SparkSession, sf: str, names: list[str]) -> Models:
     """Classifiers fitted on the whole log of ``sf``, each fitted once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINING:
-        _TRAINING[key] = training_set(label_lines(samples.log_lines(spark, sf)))
+        lines = samples.log_lines(spark, sf)
+        _TRAINING[key] = training_set(lines, label_lines(lines))
     training = _TRAINING[key]
     for name in names:
         if (*key, name) not in _FITTED:

@@ -69,9 +69,12 @@ class TrainingSet:
     rows: DataFrame
 
 
-def training_set(labelled: DataFrame) -> TrainingSet:
-    """From ``line_no, value, label``. The iterative fits re-read the table, not the log."""
-    features = fit_features(labelled)
+def training_set(lines: DataFrame, labelled: DataFrame) -> TrainingSet:
+    """From ``value``, and the same lines as ``line_no, value, label``.
+
+    The iterative fits re-read the written table, not the log.
+    """
+    features = fit_features(lines)
     rows = add_features(features, labelled).select("line_no", "label", "features")
     return TrainingSet(features, stage(rows, "features"))
 
@@ -82,9 +85,9 @@ def fit_classifier(training: TrainingSet, name: str):
     return _supervised(name, training.rows.count()).fit(training.rows)
 
 
-def fit_models(labelled: DataFrame, names: list[str] | None = None) -> Models:
+def fit_models(lines: DataFrame, labelled: DataFrame, names: list[str] | None = None) -> Models:
     """``names`` limits which classifiers are fitted."""
-    training = training_set(labelled)
+    training = training_set(lines, labelled)
     fitted = {name: fit_classifier(training, name) for name in names or CLASSIFIERS}
     return Models(training.features, fitted)
 

@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions.formats import fallback_record, line_formats, rebuilt_line
 from ..functions.times import event_time
 
-MODES = ("drop", "fallback")
+MODES = ("drop", "fallback", "keep")
 
 
 def parse_lines(
@@ -22,8 +22,8 @@ def parse_lines(
 ) -> DataFrame:
     """Parse ``value`` by ``log_type`` (one name, or a column naming the format of each line).
 
-    Lines that do not match are dropped, or with ``mode='fallback'`` become rows flagged
-    ``is_fallback``. All other input columns are kept.
+    Lines that do not match are dropped; with ``mode='fallback'`` they become rows flagged
+    ``is_fallback``, with ``mode='keep'`` rows of NULLs. All other input columns are kept.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}: {mode!r}")
@@ -54,7 +54,8 @@ def parse_lines(
     elif parsed is None:
         raise ValueError(f"unknown log type: {log_type!r}")
     # ``inline`` drops unmatched lines without a filter that would run the regex a second time.
-    rows = F.inline(F.when(parsed.isNotNull(), F.array(parsed)))
+    record = F.when(parsed.isNotNull(), F.array(parsed))
+    rows = F.inline_outer(record) if mode == "keep" else F.inline(record)
     return (
         named.withColumn("_pieces", pieces)
         .select(*kept, rows)

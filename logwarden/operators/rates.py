@@ -1,8 +1,8 @@
 """Trailing per-address counts that stay exact and balanced when one address is very hot.
 
 Rows of one address are never one task. They are split into cells (address, second, block of 65,536
-row numbers); cells are pre-aggregated, and the trailing sums run over cells, one task per address
-and hour with a one-minute overlap from the hour before. Each row then adds its rank in its cell.
+row numbers); cells are pre-aggregated, and the trailing sums run over cells, one group per address
+and ten minutes, with the last minute of the ten minutes before. Each row adds its rank in its cell.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions.threats import names_login
 from ..functions.times import epoch_seconds
 
 CELL_BITS = 16
-SPAN_SECONDS = 3600
+SPAN_SECONDS = 600
 OVERLAP_SECONDS = max(V.FLOOD_SECONDS, V.FAILED_LOGIN_SECONDS)
 
 # The hash comes first: sorts then compare one long instead of address texts.

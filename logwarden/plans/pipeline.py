@@ -180,18 +180,24 @@ def score_lines(
     lines: DataFrame, models: Models | None, classifier: str = "isolation_forest"
 ) -> DataFrame:
     """Verdicts of raw web log lines, with all classifiers; unparsed lines are flagged, not lost."""
-    parsed = parse_lines(lines.withColumn("log_line", F.col("value")), "apache", strict=False)
-    scored = add_scores(models, add_rules(parsed), "log_line")
+    texts = lines.withColumn("log_line", F.col("value"))
+    ruled = add_rules(parse_lines(texts, "apache", strict=False, mode="keep"))
     flags, score = chosen(classifier)
-    judged = add_verdict(scored, flags, score, f"ML Anomaly ({classifier})").select(
-        "line_no",
-        "prediction",
-        "anomaly_score",
-        F.col("severity").alias("threat_severity"),
-        "threat_type",
-        "details",
-        F.col("scores").alias("all_predictions"),
+    judged = add_verdict(
+        add_scores(models, ruled, "log_line"), flags, score, f"ML Anomaly ({classifier})"
     )
-    return lines.withColumnRenamed("value", "log_line").join(judged, "line_no", "left").withColumn(
-        "is_parsed", F.col("prediction").isNotNull()
+    is_parsed = F.col("log_type").isNotNull()
+    results = {
+        "prediction": "prediction",
+        "anomaly_score": "anomaly_score",
+        "threat_severity": "severity",
+        "threat_type": "threat_type",
+        "details": "details",
+        "all_predictions": "scores",
+    }
+    return judged.select(
+        "line_no",
+        "log_line",
+        is_parsed.alias("is_parsed"),
+        *[F.when(is_parsed, F.col(c)).alias(name) for name, c in results.items()],
     )

@@ -19,18 +19,17 @@ from ..operators.rules import add_rules
 
 
 def label_lines(lines: DataFrame) -> DataFrame:
-    """Add ``label``: 1 where the rules see a threat, 0 elsewhere and for unparsed lines."""
-    threats = (
-        add_rules(parse_lines(lines.select("line_no", "value")))
-        .filter("rule.is_threat")
-        .select("line_no", F.lit(1.0).alias("label"))
-    )
-    return lines.join(threats, "line_no", "left").fillna(0.0, ["label"])
+    """``line_no, value, label``: 1 where the rules see a threat, 0 elsewhere and if unparsed."""
+    texts = lines.select("line_no", "value", F.col("value").alias("text"))
+    ruled = add_rules(parse_lines(texts, mode="keep"))
+    is_threat = F.col("log_type").isNotNull() & F.col("rule.is_threat")
+    label = F.when(is_threat, 1.0).otherwise(0.0).alias("label")
+    return ruled.select("line_no", F.col("text").alias("value"), label)
 
 
 def train(lines: DataFrame, names: list[str] | None = None) -> Models:
     """Fit features and classifiers on ``line_no, value`` with rule labels."""
-    return fit_models(label_lines(lines), names)
+    return fit_models(lines, label_lines(lines), names)
 
 
 def load_or_bootstrap(spark: SparkSession, path: str) -> Models:
