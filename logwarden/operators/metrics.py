@@ -76,10 +76,11 @@ def top_endpoints(rows: DataFrame, k: int = 5) -> DataFrame:
 def request_trend(rows: DataFrame, grain: str | None = "hour", n: int = 10) -> DataFrame:
     """Requests per ``grain`` of event time, last ``n``; ``grain=None`` uses the timestamp text."""
     if grain is None:
-        time = trend_key(F.col("timestamp"))
+        counts = _counts(rows, trend_key(F.col("timestamp")), "time")
     else:
-        time = F.date_trunc(grain, "event_time")
-    return last_keys(_counts(rows, time, "time"), "time", n)
+        timed = rows.filter(F.col("event_time").isNotNull())
+        counts = _counts(timed, F.date_trunc(grain, "event_time"), "time")
+    return last_keys(counts, "time", n)
 
 
 def line_count(rows: DataFrame) -> DataFrame:
@@ -256,7 +257,9 @@ def country_list(rows: DataFrame) -> DataFrame:
 
 
 def ip_suggestions(rows: DataFrame, term: str, k: int = 5) -> DataFrame:
-    """Addresses containing ``term``, most recently seen first."""
+    """Addresses containing ``term``, most recently seen first; none for an empty term."""
+    if not term:
+        return rows.select("ip").limit(0)
     found = rows.filter(F.contains(F.lower("ip"), F.lit(term.lower())))
     seen = found.groupBy("ip").agg(F.max("ingest_seq").alias("seen"))
     return seen.orderBy(F.desc("seen")).limit(k).select("ip")

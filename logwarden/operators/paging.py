@@ -17,6 +17,16 @@ def keep_latest(rows: DataFrame, n: int) -> DataFrame:
     return newest_first(rows).limit(n)
 
 
+def newest_part(rows: DataFrame, n: int) -> DataFrame:
+    """Rows at least as new as the ``n``-th newest, found by one small job.
+
+    That job reads one column; afterwards the scan skips all parts of a stored table that are older.
+    """
+    newest = newest_first(rows.select("ingest_seq")).limit(n)
+    oldest = newest.agg(F.min("ingest_seq")).first()[0]
+    return rows if oldest is None else rows.filter(F.col("ingest_seq") >= oldest)
+
+
 def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows, newest first."""
     if number < 1 or not 1 <= size <= MAX_PAGE:

@@ -56,10 +56,12 @@ def parse_lines(
     # ``inline`` drops unmatched lines without a filter that would run the regex a second time.
     record = F.when(parsed.isNotNull(), F.array(parsed))
     rows = F.inline_outer(record) if mode == "keep" else F.inline(record)
+    # A stand-in row's timestamp is the batch's, not the line's: it must not count in trailing rates.
+    line_time = F.when(~F.col("is_fallback"), event_time(F.col("timestamp")))
     return (
         named.withColumn("_pieces", pieces)
         .select(*kept, rows)
-        .withColumn("event_time", event_time(F.col("timestamp")))
+        .withColumn("event_time", line_time)
     )
 
 

@@ -12,7 +12,7 @@ from ..operators import filters, metrics
 from ..operators.fuse import add_verdict
 from ..operators.geo import add_place, add_profile_place
 from ..operators.models import Models, add_scores, chosen
-from ..operators.paging import keep_latest
+from ..operators.paging import keep_latest, newest_part
 from ..operators.parse import add_rebuilt_line, parse_lines, tag_batch
 from ..operators.rules import add_rules
 from ..session import stage
@@ -131,7 +131,7 @@ def parse_statistics(lines: DataFrame) -> dict[str, DataFrame]:
 # --- the store ---------------------------------------------------------------------------------
 def build_store(lines: DataFrame, path: str, models: Models | None = None) -> None:
     """Write the store anew from the whole raw log."""
-    write_store(_store_rows(lines, 0, models, True, 1), path, "overwrite")
+    write_store(_store_rows(lines, 0, models, True, 1), path, "overwrite", gather_dates=True)
 
 
 def ingest(
@@ -140,11 +140,16 @@ def ingest(
     archive: str,
     models: Models | None = None,
     full_places: bool = False,
-    batch_number: int = 1,
+    batch_number: int = 2,
 ) -> None:
-    """Add lines to the store after its newest row, and to the raw archive."""
-    spark = lines.sparkSession
-    newest = spark.read.parquet(path).agg(F.max("ingest_seq")).first()[0]
+    """Add lines to the store after its newest row, and to the raw archive.
+
+    A batch number can be used once; a second use raises instead of adding the rows again.
+    """
+    store = lines.sparkSession.read.parquet(path)
+    if store.filter(F.col("batch_id") == f"RDD-0{batch_number}").take(1):
+        raise ValueError(f"batch {batch_number} is already in the store")
+    newest = store.agg(F.max("ingest_seq")).first()[0]
     start = 0 if newest is None else newest + 1
     write_store(_store_rows(lines, start, models, not full_places, batch_number), path, "append")
     append_raw(lines, archive, batch_number)
@@ -166,7 +171,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_store(spark: SparkSession, path: str, n: int = STORE_ROWS) -> DataFrame:
     """The newest rows, as many as the live views keep."""
-    return keep_latest(read_store(spark, path), n)
+    return keep_latest(newest_part(read_store(spark, path), n), n)
 
 
 def retrain_store(lines: DataFrame, models_path: str, path: str) -> Models:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import paging
-from ..operators.filters import filter_map, log_condition
+from ..operators.filters import filter_map, is_anomaly, log_condition
 from ..operators.geo import add_place
 
 PLACE_COLUMNS = ("country", "city", "latitude", "longitude", "isp")
@@ -35,14 +35,16 @@ def log_page(store: DataFrame, number: int = 1, size: int = 50, **conditions) ->
     ``conditions`` are the arguments of ``filters.log_condition``.
     """
     condition = log_condition(**conditions)
+    near = paging.newest_part(store.filter(condition), number * size)
     return LogPage(
-        paging.page(store.filter(condition), number, size).select(*LOG_COLUMNS),
+        paging.page(near, number, size).select(*LOG_COLUMNS),
         paging.page_counts(store, condition, size),
     )
 
 
 def threats(store: DataFrame, n: int = 100) -> DataFrame:
-    return paging.latest_threats(store, n).select(*LOG_COLUMNS)
+    near = paging.newest_part(store.filter(is_anomaly()), n)
+    return paging.latest_threats(near, n).select(*LOG_COLUMNS)
 
 
 def threat_map(store: DataFrame, **conditions) -> DataFrame:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..schemas import EXPORT_COLUMNS
 
 
-def write_store(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_store(
+    rows: DataFrame, path: str, mode: str = "append", gather_dates: bool = False
+) -> None:
     """The enriched table: parquet, one folder per event date, so time filters prune files.
 
-    Rebalancing gathers each date into few files and still splits a date that holds most rows.
+    ``gather_dates`` is for rows of many dates: one more shuffle puts each date into few files, and
+    still splits a date that holds most rows.
     """
     dated = rows.withColumn("event_date", F.to_date("event_time"))
-    dated = dated.hint("rebalance", "event_date")
+    if gather_dates:
+        dated = dated.hint("rebalance", "event_date")
     dated.write.mode(mode).partitionBy("event_date").parquet(path)
 
 

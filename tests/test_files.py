@@ -58,6 +58,8 @@ def test_store_then_ingest(spark, store, tmp_path):
     assert {r.ip for r in latest} == {"1.2.3.4"}
     assert {r.batch_id for r in latest} == {"RDD-02"}
     assert spark.read.text(archive).count() == 5
+    with pytest.raises(ValueError):
+        pipeline.ingest(lines, store, archive, batch_number=2)
     tables.append_raw(lines, archive, 2)
     assert spark.read.text(archive).count() == 5
 
@@ -175,6 +177,19 @@ def test_default_raw_log(spark, tmp_path):
         spark.conf.unset(RAW_LOG_SETTING)
 
 
+def test_unparsed_lines_are_no_flood(lines):
+    rows = pipeline.enrich(lines([f"junk {i}" for i in range(50)]), mode="fallback")
+    assert {r.threat_type for r in rows.collect()} == {"Normal"}
+    assert metrics.request_trend(rows).count() == 0
+    assert metrics.request_trend(rows, None).first()["count"] == 50
+
+
+def test_ip_suggestions(spark, store):
+    rows = pipeline.read_store(spark, store)
+    assert metrics.ip_suggestions(rows, "").count() == 0
+    assert metrics.ip_suggestions(rows, ".").count() == 5
+
+
 def test_unknown_ip(spark, store):
     row = metrics.ip_investigation(pipeline.read_store(spark, store), "45.33.99.7", "now").first()
     assert (row["count"], row.display_severity, row.timestamp) == (0, "Normal", "now")
