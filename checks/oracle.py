@@ -472,6 +472,12 @@ ORACLE: dict[str, str] = {
     ),
     "sensitive_path": _with(PARSED, f"SELECT line_no, url, {_SENSITIVE} AS sensitive FROM parsed"),
     "rule_verdicts": _with(RULED, f"SELECT {RULE_ROW} FROM ruled"),
+    "rule_verdicts_in_two_jobs": _with(RULED, f"SELECT {RULE_ROW} FROM ruled"),
+    "rates_over_limit": _with(
+        COUNTED,
+        """SELECT line_no, requests_10s, failed_logins_60s FROM counted
+        WHERE requests_10s > 30 OR failed_logins_60s >= 5""",
+    ),
     "rule_summary": _with(
         RULED,
         """SELECT rule_type AS threat_type, rule_severity AS severity, count(*) AS count

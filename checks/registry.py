@@ -26,8 +26,13 @@ from logwarden.operators.models import (
     training_set,
 )
 from logwarden.operators.parse import add_rebuilt_line, parse_lines, tag_batch
-from logwarden.operators.rates import add_trailing_counts
-from logwarden.operators.rules import add_rules, flat_rule, with_decoded_url
+from logwarden.operators.rates import add_trailing_counts, counts_over_limit
+from logwarden.operators.rules import (
+    add_rules,
+    add_rules_in_two_jobs,
+    flat_rule,
+    with_decoded_url,
+)
 from logwarden.plans.pipeline import enrich, score_lines
 from logwarden.plans.training import label_lines, retrain
 from logwarden.plans.views import LOG_COLUMNS as LOG_ROW
@@ -263,6 +268,10 @@ SQL_QUERIES: dict[str, Query] = {
     "signature_match": signature_match,
     "sensitive_path": sensitive_path,
     "rule_verdicts": lambda spark, sf: flat_rule(ruled(spark, sf), "line_no"),
+    "rule_verdicts_in_two_jobs": lambda spark, sf: flat_rule(
+        add_rules_in_two_jobs(parsed(spark, sf)), "line_no"
+    ),
+    "rates_over_limit": lambda spark, sf: counts_over_limit(parsed(spark, sf)),
     "rule_summary": rule_summary,
     "weak_labels": lambda spark, sf: label_lines(samples.log_lines(spark, sf)).select(
         "line_no", "label"

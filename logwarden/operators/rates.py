@@ -14,6 +14,7 @@ from ..functions import fixed_values as V
 from ..functions.text import unquote
 from ..functions.threats import names_login
 from ..functions.times import epoch_seconds
+from ..session import stage
 
 CELL_BITS = 16
 SPAN_SECONDS = 600
@@ -77,32 +78,83 @@ def trailing_before_cell(cells: DataFrame) -> DataFrame:
         spread.withColumn("_requests_before", before("_requests", V.FLOOD_SECONDS))
         .withColumn("_failures_before", before("_failures", V.FAILED_LOGIN_SECONDS))
         .filter(~F.col("_overlap"))
-        .select(*CELL, "_requests_before", "_failures_before")
+        .select(*CELL, "_requests", "_failures", "_requests_before", "_failures_before")
     )
 
 
+def _all_cells(split: DataFrame, earlier_cells: DataFrame | None) -> DataFrame:
+    cells = count_cells(split)
+    return cells if earlier_cells is None else cells.unionByName(earlier_cells)
+
+
+def _in_cell(column: Column) -> Column:
+    """Running aggregate of a row's cell, up to the row; a cell has at most 65,536 rows."""
+    rows = Window.partitionBy(*CELL).orderBy("line_no")
+    return column.over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _requests() -> Column:
+    return F.col("_requests_before") + F.col("_requests_in")
+
+
+def _failures() -> Column:
+    return F.col("_failures_before") + F.col("_failures_in")
+
+
 def add_trailing_counts(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFrame:
     """Add ``requests_10s`` and ``failed_logins_60s``, each up to and including the row itself.
 
     Needs ``ip, event_time, url, status`` and ``line_no`` (unique; orders rows of one second).
     ``earlier_cells`` are cells of rows that came before (a stream's earlier batches).
     """
-    kept = rows.columns
     split = with_cell(rows)
-    cells = count_cells(split)
-    if earlier_cells is not None:
-        cells = cells.unionByName(earlier_cells)
-    in_cell = Window.partitionBy(*CELL).orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    before = trailing_before_cell(_all_cells(split, earlier_cells)).drop("_requests", "_failures")
     counted = (
-        split.withColumn("_requests_in", F.count("*").over(in_cell))
-        .withColumn("_failures_in", F.sum("_failed").over(in_cell))
-        .join(trailing_before_cell(cells), CELL, "left")
+        split.withColumn("_requests_in", _in_cell(F.count("*")))
+        .withColumn("_failures_in", _in_cell(F.sum("_failed")))
+        .join(before, CELL, "left")
     )
     timed = F.col("_second").isNotNull()
-    requests = F.when(timed, F.col("_requests_before") + F.col("_requests_in")).otherwise(0)
-    failures = F.when(timed, F.col("_failures_before") + F.col("_failures_in")).otherwise(0)
     return counted.select(
-        *kept, requests.alias("requests_10s"), failures.alias("failed_logins_60s")
+        *rows.columns,
+        F.when(timed, _requests()).otherwise(0).alias("requests_10s"),
+        F.when(timed, _failures()).otherwise(0).alias("failed_logins_60s"),
     )
+
+
+def counts_over_limit(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFrame:
+    """``line_no, requests_10s, failed_logins_60s`` of the rows that break a rate limit.
+
+    Only narrow columns move: cells whose last row stays within both limits are left out, and rows
+    are ranked in the other cells alone.
+    """
+    narrow = with_cell(rows.select("line_no", "ip", "event_time", "url", "status")).select(
+        "line_no", *CELL, "_failed"
+    )
+    cells = trailing_before_cell(_all_cells(narrow, earlier_cells))
+    most_requests = F.col("_requests_before") + F.col("_requests")
+    most_failures = F.col("_failures_before") + F.col("_failures")
+    hot = cells.filter(_over_limit(most_requests, most_failures)).drop("_requests", "_failures")
+    counted = (
+        narrow.join(hot, CELL)
+        .withColumn("_requests_in", _in_cell(F.count("*")))
+        .withColumn("_failures_in", _in_cell(F.sum("_failed")))
+    )
+    return counted.filter(_over_limit(_requests(), _failures())).select(
+        "line_no", _requests().alias("requests_10s"), _failures().alias("failed_logins_60s")
+    )
+
+
+def _over_limit(requests: Column, failures: Column) -> Column:
+    return (requests > V.FLOOD_MORE_THAN) | (failures >= V.FAILED_LOGIN_AT_LEAST)
+
+
+def add_counts_over_limit(rows: DataFrame) -> DataFrame:
+    """Like ``add_trailing_counts``, but NULL for rows within both limits.
+
+    Runs a job first: it writes the rows over a limit. Spark knows that table's size, so the wide
+    rows are not shuffled at all while it is small enough to broadcast; otherwise they are shuffled
+    by line number, which no address can skew.
+    """
+    over = stage(counts_over_limit(rows), "over-limit")
+    return rows.join(over, "line_no", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unquote
 from ..functions.threats import is_sensitive_path, rule_number, rule_verdict, signature_name
-from .rates import add_trailing_counts
+from .rates import add_counts_over_limit, add_trailing_counts
 
 
 def with_decoded_url(rows: DataFrame) -> DataFrame:
@@ -23,6 +23,15 @@ def add_rules(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFr
     return _add_verdict(add_trailing_counts(_match_url(rows), earlier_cells))
 
 
+def add_rules_in_two_jobs(rows: DataFrame) -> DataFrame:
+    """The same verdicts; the counts of rows within the limits are NULL.
+
+    For large tables: the rate limits are checked first, on narrow columns, and the wide rows are
+    then judged without a shuffle unless very many of them break a limit.
+    """
+    return _add_verdict(_match_url(add_counts_over_limit(rows)))
+
+
 def add_url_rules(rows: DataFrame) -> DataFrame:
     """``rule`` from url and status alone, for rows without a time."""
     return _add_verdict(

@@ -14,7 +14,7 @@ from ..operators.geo import add_place, add_profile_place
 from ..operators.models import Models, add_scores, chosen
 from ..operators.paging import keep_latest, newest_part
 from ..operators.parse import add_rebuilt_line, parse_lines, tag_batch
-from ..operators.rules import add_rules
+from ..operators.rules import add_rules, add_rules_in_two_jobs
 from ..session import stage
 from ..sinks.tables import append_raw, write_store
 from .training import retrain
@@ -37,9 +37,13 @@ def judge(
     profile_places: bool = False,
     keep_protocol: bool = False,
     earlier_cells: DataFrame | None = None,
+    in_two_jobs: bool = False,
 ) -> DataFrame:
-    """Parsed rows to enriched rows: rules, model scores, merged verdict, place."""
-    ruled = add_rules(parsed, earlier_cells)
+    """Parsed rows to enriched rows: rules, model scores, merged verdict, place.
+
+    ``in_two_jobs`` checks the rate limits in a job of its own, for large tables.
+    """
+    ruled = add_rules_in_two_jobs(parsed) if in_two_jobs else add_rules(parsed, earlier_cells)
     scored = add_scores(models, add_rebuilt_line(ruled, keep_protocol), "line").drop("line")
     if models is None:
         judged = add_verdict(scored)
@@ -58,10 +62,11 @@ def enrich(
     mode: str = "drop",
     batch_number: int = 1,
     fallback_time: Column | None = None,
+    in_two_jobs: bool = False,
 ) -> DataFrame:
     """``line_no, value`` to the enriched table of one batch."""
     parsed = parse_lines(lines, log_type, mode=mode, fallback_time=fallback_time)
-    judged = judge(parsed, models, classifier)
+    judged = judge(parsed, models, classifier, in_two_jobs=in_two_jobs)
     return tag_batch(judged.withColumn("ingest_seq", F.col("line_no")), batch_number)
 
 
@@ -87,7 +92,9 @@ def analyze(
 
     ``conditions`` are the arguments of ``filters.filter_batch``.
     """
-    enriched = enrich(lines, log_type, models, classifier, mode, batch_number)
+    enriched = enrich(
+        lines, log_type, models, classifier, mode, batch_number, in_two_jobs=True
+    )
     seen = Observation("batch")
     start = time.perf_counter()
     rows = stage(
@@ -160,9 +167,10 @@ def _store_rows(
 ) -> DataFrame:
     parsed = parse_lines(lines, "apache", strict=False)
     judged = judge(
-        parsed, models, profile_places=profile_places, keep_protocol=True
-    ).withColumn("ingest_seq", F.col("line_no") + start)
-    return tag_batch(judged, batch_number).select(*STORE_COLUMNS)
+        parsed, models, profile_places=profile_places, keep_protocol=True, in_two_jobs=True
+    )
+    numbered = judged.withColumn("ingest_seq", F.col("line_no") + start)
+    return tag_batch(numbered, batch_number).select(*STORE_COLUMNS)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.operators import rates
-from logwarden.operators.rates import add_trailing_counts
+from logwarden.operators.rates import add_trailing_counts, counts_over_limit
 from logwarden.operators.rules import add_rules, add_url_rules
 
 SCHEMA = "line_no bigint, ip string, second bigint, url string, status int"
@@ -52,7 +52,13 @@ def test_counts_equal_sequential_pass(spark, monkeypatch, cell_bits, seed):
         second = rng.choice([3590 + rng.randrange(80), 7195 + rng.randrange(10), 7200])
         url = rng.choice(["/login", "/API/Auth", "/x"]).lower()
         rows.append((line_no, ip, second, url, rng.choice([200, 401, 403])))
-    assert counted(rows_frame(spark, rows)) == sequential(rows)
+    expected = sequential(rows)
+    assert counted(rows_frame(spark, rows)) == expected
+    over = {
+        r.line_no: (r.requests_10s, r.failed_logins_60s)
+        for r in counts_over_limit(rows_frame(spark, rows)).collect()
+    }
+    assert over == {n: c for n, c in expected.items() if c[0] > 30 or c[1] >= 5}
 
 
 def test_window_ends_are_inclusive(spark):
@@ -117,9 +123,10 @@ def test_url_rules(spark):
 def test_no_shuffle_by_address_alone(spark, sf_dir):
     """The plan may not hash rows by address only: one hot address would be one task."""
     rows = rows_frame(spark, [(1, "a", 1, "/x", 200)])
-    plan = add_trailing_counts(rows)._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
-    assert exchanges
-    for line in exchanges:
-        keys = line.split("hashpartitioning(")[1].split(")")[0]
-        assert "_span" in keys or "_block" in keys, line
+    for counts in (add_trailing_counts(rows), counts_over_limit(rows)):
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert exchanges
+        for line in exchanges:
+            keys = line.split("hashpartitioning(")[1].split(")")[0]
+            assert "_span" in keys or "_block" in keys, line
