@@ -16,9 +16,10 @@ def clean_line(value: Column) -> Column:
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
-    """A Python-style pattern with Python's rules for ``.``, ``\\s`` and case, for Spark."""
+    """A Python-style pattern with Python's rules for ``.``, whitespace and case, for Spark."""
     flags = "(?idU)" if ignore_case else "(?dU)"
-    return flags + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+    blanks = pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+    return flags + blanks.replace(r"\S", r"[^\s\x1c-\x1f]")
 
 
 def unquote(text: Column) -> Column:

@@ -31,6 +31,7 @@ def read_lines(
 ) -> DataFrame:
     """``line_no, value`` of text files; ``line_no`` grows along each file.
 
+    It depends on the files and their splits only, so it is the same each time the result is read.
     Without a path it reads the raw log that ``RAW_LOG_SETTING`` names. ``names`` is a file-name
     pattern (``UPLOAD_NAMES`` for uploaded files). ``partitions`` asks for at least that many input
     partitions.

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from logwarden.functions import fixed_values as V
+from logwarden.functions.formats import line_formats
 from logwarden.operators.parse import add_rebuilt_line, parse_lines
 
 FULL = '1.2.3.4 - bob [21/May/2026:10:00:01 +0200] "GET /a?b=c HTTP/1.0" 404 - "-" "x"'
@@ -120,6 +124,38 @@ def test_rebuilt_line(lines):
     assert one(rebuilt).line == expected
 
 
+SAMPLES = {
+    ("apache", True): (V.APACHE_STRICT, FULL),
+    ("apache", False): (V.APACHE_LENIENT, FULL),
+    ("hdfs", True): (V.HDFS_LINE, "2026-05-21 21:00:01 1.2.3.4 audit WARN dfs.X: denied to /a b"),
+    ("kubernetes", True): (V.KUBERNETES_LINE, "2026-05-21T21:05:00Z WARN pod-a 10.0.0.1 it is slow"),
+    ("android", True): (V.ANDROID_LINE, "05-21 21:12:00.123 D Tag( 12) IP 1.2.3.4 Exploit now"),
+}
+
+
+@pytest.mark.parametrize("name, strict", list(SAMPLES))
+def test_damaged_lines_match_like_python(lines, name, strict):
+    pattern, sample = SAMPLES[(name, strict)]
+    rng = random.Random(7)
+    texts = [sample]
+    for _ in range(400):
+        text = list(sample)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(text))
+            piece = rng.choice([" ", "", '"', "-", "[", "]", "(", "\t", "\x1c", "\u00a0", "é", "9"])
+            text[at : at + rng.randrange(2)] = [piece]
+        texts.append("".join(text))
+    form = line_formats(strict)[name]
+    pieces = form.pieces(F.col("value"))
+    rows = lines(texts).select(
+        "line_no", F.when(form.matched(pieces), pieces).alias("groups")
+    )
+    for row in rows.collect():
+        match = re.match(pattern, texts[row.line_no])
+        expected = [g or "" for g in match.groups()] if match else None
+        assert row.groups == expected, texts[row.line_no]
+
+
 def test_line_meets_regex_once(lines):
     """A filter on a parsed column must not bring the regex into a second operator."""
     plan = parse_lines(lines([FULL])).filter("status = 404")._jdf.queryExecution().toString()
