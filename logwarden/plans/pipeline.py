@@ -20,7 +20,6 @@ from ..sinks.tables import append_raw, write_store
 from .training import retrain
 
 STORE_ROWS = 10_000
-LIVE_ROWS = 500
 
 STORE_COLUMNS = [
     "ingest_seq", "timestamp", "event_time", "ip", "method", "url", "protocol", "status", "size",

@@ -1,4 +1,4 @@
-"""Fixed schemas; nothing is inferred."""
+"""Fixed schemas and column lists; nothing is inferred."""
 
 from __future__ import annotations
 
@@ -6,51 +6,6 @@ from pyspark.sql import types as T
 
 RAW_LINE = T.StructType([T.StructField("value", T.StringType())])
 
-NATIVE_THREAT = T.StructType(
-    [
-        T.StructField("threat_type", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("prediction", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
-PARSED_FIELDS = [
-    "log_type", "timestamp", "ip", "method", "url", "protocol", "status", "size",
-    "is_fallback", "native_threat",
-]
-
-RULE = T.StructType(
-    [
-        T.StructField("is_threat", T.BooleanType()),
-        T.StructField("threat_type", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("details", T.StringType()),
-    ]
-)
-
-GEO_PROFILE = T.StructType(
-    [
-        T.StructField("ip", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("city", T.StringType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-        T.StructField("is_malicious", T.BooleanType()),
-    ]
-)
-
-GEO_PLACE = T.StructType(
-    [
-        T.StructField("country", T.StringType()),
-        T.StructField("city", T.StringType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-        T.StructField("isp", T.StringType()),
-    ]
-)
-
 CLASSIFIERS = [
     "isolation_forest", "random_forest", "logistic_regression", "gradient_boosting",
 ]

@@ -19,7 +19,7 @@ from logwarden.operators.models import (
     has_models,
     load_models,
 )
-from logwarden.plans.pipeline import score_lines
+from logwarden.plans.pipeline import retrain_store, score_lines
 from logwarden.plans.training import label_lines, load_or_bootstrap, retrain
 from logwarden.schemas import CLASSIFIERS
 from logwarden.session import scratch_folder
@@ -147,6 +147,17 @@ def test_score_lines_keeps_unparsed(models, lines):
     assert not rows[1].is_parsed and rows[1].prediction is None
 
 
+def test_retrain_judges_the_store_again(spark, lines, tmp_path):
+    paths = str(tmp_path / "models"), str(tmp_path / "store")
+    fitted = retrain_store(lines(BOOTSTRAP_LINES), *paths)
+    assert set(fitted.fitted) == set(CLASSIFIERS)
+    rows = spark.read.parquet(paths[1]).orderBy("ingest_seq").collect()
+    assert len(rows) == len(BOOTSTRAP_LINES)
+    for row in rows:
+        assert row.anomaly_score == pytest.approx(row.scores.isolation_forest.score, abs=1e-4)
+    assert {r.prediction for r in rows[6:]} == {"Anomaly"}
+
+
 def test_retrain_needs_ten_lines(spark, lines, tmp_path):
     with pytest.raises(ValueError):
         retrain(lines(BOOTSTRAP_LINES[:9]), str(tmp_path))
