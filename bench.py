@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1) and ``BENCH_CPUS`` the local cores. The ``scaled``
-part repeats the log ``BENCH_COPIES`` times (default 20) with new line numbers; it is not in the total.
+part, which is not in the total, repeats the log ``BENCH_COPIES`` times (default 20) with new line
+numbers, and scores the log once with models fitted on the bootstrap lines.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from checks.registry import registered
 from logwarden.operators import metrics
 from logwarden.operators.fuse import add_verdict
 from logwarden.operators.geo import add_place
+from logwarden.operators.models import add_scores, bootstrap_lines
 from logwarden.operators.parse import parse_lines
 from logwarden.operators.rules import add_rules
+from logwarden.plans.training import train
 from logwarden.sources.samples import log_lines
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -66,6 +69,10 @@ def scaled(spark: SparkSession) -> dict:
         consume(df)
         speeds[name] = int(total / (time.perf_counter() - start))
     lines.unpersist()
+    models = train(bootstrap_lines(spark))
+    start = time.perf_counter()
+    consume(add_scores(models, log))
+    speeds["score_all"] = int(size / (time.perf_counter() - start))
     return speeds
 
 

@@ -59,13 +59,13 @@ def add_place(rows: DataFrame) -> DataFrame:
     profiles = F.broadcast(geo_profiles(spark).alias("p"))
     pool = F.broadcast(geo_pool(spark).alias("g"))
     rest = F.col("_rest")
+    known = F.col("p.country").isNotNull()
+    digest = F.md5(F.col("ip").cast("binary"))
     joined = (
-        rows.withColumn("_rest", digest_remainder(F.md5(F.col("ip").cast("binary"))))
-        .withColumn("_idx", pool_index(rest))
-        .join(profiles, "ip", "left")
-        .join(pool, F.col("_idx") == F.col("g.idx"), "left")
+        rows.join(profiles, "ip", "left")
+        .withColumn("_rest", F.when(~known, digest_remainder(digest)))
+        .join(pool, pool_index(rest) == F.col("g.idx"), "left")
     )
-    known = F.col("p.country").isNotNull()
     isp = F.when(F.col("p.is_malicious"), V.ISP_MALICIOUS).otherwise(V.ISP_OTHER)
 
     def shifted(column: str, jitter: Column) -> Column:

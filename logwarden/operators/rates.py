@@ -27,14 +27,16 @@ CELL = ["_cell", "ip", "_second", "_block"]
 def with_cell(rows: DataFrame) -> DataFrame:
     # Only urls of refused requests are decoded for the login test.
     refused = F.when(F.col("status").isin(*V.REFUSED_STATUS), F.col("url"))
-    return (
-        rows.withColumn("_second", epoch_seconds(F.col("event_time")))
-        .withColumn("_block", F.shiftright("line_no", CELL_BITS))
-        .withColumn("_cell", cell_hash())
-        .withColumn("_refused", unquote(refused))
-        .withColumn("_refused", unquote(F.col("_refused")))
-        .withColumn("_failed", names_login(F.col("_refused")).cast("bigint"))
-        .drop("_refused")
+    timed = rows.select(
+        "*",
+        epoch_seconds(F.col("event_time")).alias("_second"),
+        F.shiftright("line_no", CELL_BITS).alias("_block"),
+        unquote(refused).alias("_refused"),
+    )
+    decoded = unquote(F.col("_refused"))
+    failed = names_login(F.col("_refused")).cast("bigint").alias("_failed")
+    return timed.withColumns({"_cell": cell_hash(), "_refused": decoded}).select(
+        *rows.columns, "_cell", "_second", "_block", failed
     )
 
 

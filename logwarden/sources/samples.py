@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import GEO_PROFILES
@@ -22,35 +22,60 @@ URLS = [
     "/secret/keys", "/api/v1/auth/login", "/api/v1/auth/login", "/missing/page",
 ]
 
-CLOUD_CALLS = {
-    "click": ("DescribeInstances", "ec2.amazonaws.com"),
-    "view": ("GetObject", "s3.amazonaws.com"),
-    "signup": ("CreateUser", "iam.amazonaws.com"),
-    "purchase": ("AssumeRole", "sts.amazonaws.com"),
-    "error": ("DescribeDBInstances", "rds.amazonaws.com"),
-}
-
-ANDROID_PRIORITIES = {"error": "F", "signup": "E", "view": "W", "click": "I", "purchase": "D"}
-
-LOG_TYPES = ["apache", "hdfs", "kubernetes", "cloudtrail", "android"]
-
+EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) for p in parts])
 
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
+TIME = f"""timestamp_seconds({START_EPOCH} + (event_id div 1000) * 3600
+    + if((event_id div 1000) % 3 = 0, (event_id % 1000) div 20, (event_id % 1000) * 3)) AS time"""
+ADDRESS_NUMBER = "if(user_id % 10 < 3, user_id % 3, 3 + user_id % 21) AS ipx"
+URL_NUMBER = "(event_id * 7 + user_id) % 24 AS u"
 
-def _by_event(values: dict[str, str]) -> Column:
-    chosen = F.when(F.lit(False), "")
-    for event_type, value in values.items():
-        chosen = chosen.when(F.col("event_type") == event_type, value)
-    return chosen
+REQUEST = [
+    f"if(ipx < 12, get({_array([p[0] for p in GEO_PROFILES])}, int(ipx)),"
+    " concat('45.33.', ipx, '.7')) AS ip",
+    f"get({_array(URLS)}, int(u)) AS url",
+    """CASE WHEN u IN (21, 22) THEN 401 WHEN u IN (17, 18, 23) THEN 404 WHEN u IN (12, 13) THEN 400
+       WHEN u IN (10, 14, 15) OR (u < 10 AND event_type = 'error') THEN 500 ELSE 200 END AS status""",
+    "if(u IN (11, 21, 22), 'POST', 'GET') AS method",
+    "if(event_id % 50 = 0, '-', string(floor(value * 100))) AS size",
+    "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS level",
+]
 
+LINES = {
+    "apache": """if(event_id % 97 = 0, concat('malformed entry ', event_id),
+        concat(ip, ' - - [', date_format(time, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "', method, ' ',
+               url, ' HTTP/1.1" ', status, ' ', size, ' "-" "-"'))""",
+    "hdfs": """concat(date_format(time, 'yyyy-MM-dd HH:mm:ss'), ' ', ip, ' ',
+        if(event_id % 2 = 1, 'audit ', ''), level, ' dfs.FSNamesystem: ',
+        if(event_type = 'error', 'Unauthorized access denied to', 'Allowed access to'),
+        ' /user/hdfs/data/', user_id)""",
+    "kubernetes": """concat(date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ' ', level, ' pod-',
+        user_id % 6, ' ', ip, ' ',
+        CASE event_type WHEN 'error' THEN 'User system-admin attempted exploit: pod overflow warning'
+             WHEN 'signup' THEN concat('User u', user_id, ' failed login')
+             ELSE 'Pod health-check responsive' END)""",
+    "cloudtrail": """concat(date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ' ', ip, ' ',
+        CASE event_type WHEN 'click' THEN 'DescribeInstances' WHEN 'view' THEN 'GetObject'
+             WHEN 'signup' THEN 'CreateUser' WHEN 'purchase' THEN 'AssumeRole'
+             ELSE 'DescribeDBInstances' END, ' ',
+        CASE WHEN event_type = 'error' THEN 'AccessDenied'
+             WHEN event_type = 'purchase' AND event_id % 10 = 0 THEN 'UnauthorizedOperation'
+             ELSE 'Success' END,
+        if(event_id % 97 = 0, '', concat(' ',
+           CASE event_type WHEN 'click' THEN 'ec2' WHEN 'view' THEN 's3' WHEN 'signup' THEN 'iam'
+                WHEN 'purchase' THEN 'sts' ELSE 'rds' END, '.amazonaws.com')))""",
+    "android": """concat(date_format(time, 'MM-dd HH:mm:ss'), '.', lpad(event_id % 1000, 3, '0'), ' ',
+        CASE event_type WHEN 'error' THEN 'F' WHEN 'signup' THEN 'E' WHEN 'view' THEN 'W'
+             WHEN 'click' THEN 'I' ELSE 'D' END,
+        ' Tag', user_id % 7, '( ', 1000 + event_id % 9000, ') IP ', ip, ' ',
+        if(event_type = 'error', 'Exploit attempted', 'Network socket opened'))""",
+}
 
-EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
+LOG_TYPES = list(LINES)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,143 +85,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_requests(events: DataFrame) -> DataFrame:
-    event_id, user_id = F.col("event_id"), F.col("user_id")
-    block, position = F.expr("event_id div 1000"), event_id % 1000
-    offset = block * 3600 + F.when(block % 3 == 0, F.expr("(event_id % 1000) div 20")).otherwise(
-        position * 3
-    )
-    address = F.when(user_id % 10 < 3, user_id % 3).otherwise(3 + user_id % 21)
-    error = F.col("event_type") == "error"
-    u = F.col("u")
-    return (
-        events.withColumn("time", F.timestamp_seconds(F.lit(START_EPOCH) + offset))
-        .withColumn("ipx", address)
-        .withColumn("u", (event_id * 7 + user_id) % 24)
-        .withColumn(
-            "ip",
-            F.when(F.col("ipx") < 12, _pick([p[0] for p in GEO_PROFILES], F.col("ipx"))).otherwise(
-                _text("45.33.", F.col("ipx").cast("string"), ".7")
-            ),
-        )
-        .withColumn("url", _pick(URLS, u))
-        .withColumn(
-            "status",
-            F.when(u.isin(21, 22), 401)
-            .when(u.isin(17, 18, 23), 404)
-            .when(u.isin(12, 13), 400)
-            .when(u.isin(10, 14, 15) | ((u < 10) & error), 500)
-            .otherwise(200),
-        )
-        .withColumn("method", F.when(u.isin(11, 21, 22), "POST").otherwise("GET"))
-        .withColumn(
-            "size",
-            F.when(event_id % 50 == 0, "-").otherwise(
-                F.floor(F.col("value") * 100).cast("string")
-            ),
-        )
-    )
+    return events.selectExpr("*", TIME, ADDRESS_NUMBER, URL_NUMBER).selectExpr("*", *REQUEST)
 
 
-def _apache(time: Column) -> Column:
-    line = _text(
-        F.col("ip"), " - - [", F.date_format(time, "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "',
-        F.col("method"), " ", F.col("url"), ' HTTP/1.1" ', F.col("status").cast("string"), " ",
-        F.col("size"), ' "-" "-"',
-    )
-    malformed = _text("malformed entry ", F.col("event_id").cast("string"))
-    return F.when(F.col("event_id") % 97 == 0, malformed).otherwise(line)
-
-
-def _level() -> Column:
-    return F.when(F.col("event_type") == "error", "ERROR").when(
-        F.col("event_type") == "signup", "WARN"
-    ).otherwise("INFO")
-
-
-def _hdfs(time: Column) -> Column:
-    audit = F.when(F.col("event_id") % 2 == 1, "audit ").otherwise("")
-    message = F.when(
-        F.col("event_type") == "error", "Unauthorized access denied to"
-    ).otherwise("Allowed access to")
-    return _text(
-        F.date_format(time, "yyyy-MM-dd HH:mm:ss"), " ", F.col("ip"), " ", audit, _level(),
-        " dfs.FSNamesystem: ", message, " /user/hdfs/data/", F.col("user_id").cast("string"),
-    )
-
-
-def _kubernetes(time: Column) -> Column:
-    message = (
-        F.when(
-            F.col("event_type") == "error",
-            "User system-admin attempted exploit: pod overflow warning",
-        )
-        .when(
-            F.col("event_type") == "signup",
-            _text("User u", F.col("user_id").cast("string"), " failed login"),
-        )
-        .otherwise("Pod health-check responsive")
-    )
-    return _text(
-        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), " ", _level(), " pod-",
-        (F.col("user_id") % 6).cast("string"), " ", F.col("ip"), " ", message,
-    )
-
-
-def _cloudtrail(time: Column) -> Column:
-    result = (
-        F.when(F.col("event_type") == "error", "AccessDenied")
-        .when(
-            (F.col("event_type") == "purchase") & (F.col("event_id") % 10 == 0),
-            "UnauthorizedOperation",
-        )
-        .otherwise("Success")
-    )
-    service = _text(" ", _by_event({k: v[1] for k, v in CLOUD_CALLS.items()}))
-    return _text(
-        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), " ", F.col("ip"), " ",
-        _by_event({k: v[0] for k, v in CLOUD_CALLS.items()}), " ", result,
-        F.when(F.col("event_id") % 97 == 0, "").otherwise(service),
-    )
-
-
-def _android(time: Column) -> Column:
-    priority = _by_event(ANDROID_PRIORITIES)
-    message = F.when(F.col("event_type") == "error", "Exploit attempted").otherwise(
-        "Network socket opened"
-    )
-    return _text(
-        F.date_format(time, "MM-dd HH:mm:ss"), ".",
-        F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), " ", priority, " Tag",
-        (F.col("user_id") % 7).cast("string"), "( ",
-        (1000 + F.col("event_id") % 9000).cast("string"), ") IP ", F.col("ip"), " ", message,
-    )
-
-
-_LINES = {
-    "apache": _apache,
-    "hdfs": _hdfs,
-    "kubernetes": _kubernetes,
-    "cloudtrail": _cloudtrail,
-    "android": _android,
-}
+def _as_lines(requests: DataFrame, log_type: str) -> DataFrame:
+    return requests.selectExpr("event_id AS line_no", f"{LINES[log_type]} AS value")
 
 
 def log_lines(spark: SparkSession, sf_dir: str, log_type: str = "apache") -> DataFrame:
     """``line_no, value``: one line per event in the given format."""
-    line = _LINES[log_type](F.col("time"))
-    return requests(spark, sf_dir).select(F.col("event_id").alias("line_no"), line.alias("value"))
+    return _as_lines(requests(spark, sf_dir), log_type)
 
 
 def stream_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, value`` of the web log as a stream over the files of ``events``."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, since the table may be one file as well as a folder of files.
     files = f"{sf_dir}/events.{{parquet}}"
     events = spark.readStream.schema(schema).parquet(files).select(*EVENT_COLUMNS)
-    return _as_requests(events).select(
-        F.col("event_id").alias("line_no"), _apache(F.col("time")).alias("value")
-    )
+    return _as_lines(_as_requests(events), "apache")
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
