@@ -45,21 +45,33 @@ def is_threat_country() -> Column:
     return ~F.col("country").isin(V.NOT_A_THREAT_COUNTRY)
 
 
+def oldest_kept(seconds: int, as_of: Column | dt.datetime) -> Column:
+    return F.lit(as_of) - F.expr(f"INTERVAL '{seconds}' SECOND")
+
+
 def within(seconds: int, as_of: Column | dt.datetime) -> Column:
     """Rows of the last ``seconds`` before ``as_of``; rows without a time pass."""
-    age = F.unix_micros(F.lit(as_of)) - F.unix_micros(F.col("event_time"))
-    return F.coalesce(age <= seconds * 1_000_000, F.lit(True))
+    time = F.col("event_time")
+    return time.isNull() | (time >= oldest_kept(seconds, as_of))
+
+
+def within_dates(rows: DataFrame, seconds: int, as_of: Column | dt.datetime) -> list[Column]:
+    """``within``, and the same on the store's date folders so that old ones are not read."""
+    conditions = [within(seconds, as_of)]
+    if "event_date" in rows.columns:
+        date = F.col("event_date")
+        conditions.append(date.isNull() | (date >= F.to_date(oldest_kept(seconds, as_of))))
+    return conditions
 
 
-def batch_time_range(name: str, as_of: Column | dt.datetime) -> Column | None:
+def batch_seconds(name: str) -> int | None:
     """1h, 6h or 24h; any other name is no filter."""
-    seconds = V.BATCH_TIME_RANGES.get(name)
-    return None if seconds is None else within(seconds, as_of)
+    return V.BATCH_TIME_RANGES.get(name)
 
 
-def map_time_range(name: str, as_of: Column | dt.datetime) -> Column:
+def map_seconds(name: str) -> int:
     """1h, 24h or 7d; any other name is one year."""
-    return within(V.MAP_TIME_RANGES.get(name, V.MAP_TIME_RANGE_OTHER), as_of)
+    return V.MAP_TIME_RANGES.get(name, V.MAP_TIME_RANGE_OTHER)
 
 
 def latest_event_time(rows: DataFrame) -> dt.datetime | None:
@@ -89,9 +101,10 @@ def filter_batch(
         conditions.append(equals_ignore_case(F.col("display_severity"), severity))
     if threat_type:
         conditions.append(contains_ignore_case(F.col("threat_type"), threat_type))
-    if time_range in V.BATCH_TIME_RANGES:
+    seconds = batch_seconds(time_range)
+    if seconds is not None:
         end = latest_event_time(rows) if as_of is None else as_of
-        conditions.append(batch_time_range(time_range, end))
+        conditions += within_dates(rows, seconds, end)
     return rows.filter(_all(conditions))
 
 
@@ -142,5 +155,5 @@ def filter_map(
         conditions.append(equals_ignore_case(F.col("country"), country))
     if time_range:
         end = latest_event_time(rows) if as_of is None else as_of
-        conditions.append(map_time_range(time_range, end))
+        conditions += within_dates(rows, map_seconds(time_range), end)
     return rows.filter(_all(conditions))

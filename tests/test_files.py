@@ -204,8 +204,20 @@ def test_time_ranges(spark):
     def kept(condition):
         return [r.i for r in rows.filter(condition).orderBy("i").collect()]
 
-    assert kept(filters.batch_time_range("1h", as_of)) == [1, 3]
-    assert kept(filters.batch_time_range("6h", as_of)) == [1, 2, 3]
-    assert filters.batch_time_range("all", as_of) is None
-    assert kept(filters.map_time_range("7d", as_of)) == [1, 2, 3]
-    assert kept(filters.map_time_range("whatever", as_of)) == [1, 2, 3]
+    assert kept(filters.within(filters.batch_seconds("1h"), as_of)) == [1, 3]
+    assert kept(filters.within(filters.batch_seconds("6h"), as_of)) == [1, 2, 3]
+    assert filters.batch_seconds("all") is None
+    assert kept(filters.within(filters.map_seconds("7d"), as_of)) == [1, 2, 3]
+    assert filters.map_seconds("whatever") == 365 * 86400
+
+
+def test_time_range_prunes_the_store(spark, store):
+    rows = filters.filter_batch(pipeline.read_store(spark, store), time_range="1h")
+    plan = rows.select("ip")._jdf.queryExecution().executedPlan().toString()
+    assert "Or(IsNull(event_time),GreaterThanOrEqual(event_time," in plan
+    partition_filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "event_date" in partition_filters and ">=" in partition_filters
+    newest = rows.agg(F.max("event_time")).first()[0]
+    assert 0 < rows.count() < pipeline.read_store(spark, store).count()
+    oldest = rows.agg(F.min("event_time")).first()[0]
+    assert (newest - oldest).total_seconds() <= 3600
