@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import BOOTSTRAP_LINES
 from ..schemas import CLASSIFIERS
-from ..session import stage
+from ..session import stage, use_checkpoints
 from .features import add_features, fit_features
 from .iforest import SEED, IsolationForest, fit_forest, from_table, score_samples
 
@@ -58,7 +58,9 @@ def _supervised(name: str, n: int):
         return LogisticRegression(
             maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False
         )
-    return GBTClassifier(maxIter=ROUNDS, maxDepth=3, stepSize=0.1, seed=SEED)
+    return GBTClassifier(
+        maxIter=ROUNDS, maxDepth=3, stepSize=0.1, seed=SEED, checkpointInterval=10
+    )
 
 
 @dataclass
@@ -82,6 +84,7 @@ def training_set(lines: DataFrame, labelled: DataFrame) -> TrainingSet:
 def fit_classifier(training: TrainingSet, name: str):
     if name == "isolation_forest":
         return fit_forest(training.rows, _width(training.features))
+    use_checkpoints(training.rows.sparkSession)
     return _supervised(name, training.rows.count()).fit(training.rows)
 
 

@@ -28,6 +28,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage: boosting checkpoints every ten rounds."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark, "checkpoints"))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: later passes read columns instead of parsing again."""
     path = scratch_folder(df.sparkSession, name)

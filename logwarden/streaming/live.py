@@ -24,6 +24,7 @@ from ..operators.rates import (
 )
 from ..operators.rules import with_decoded_url
 from ..plans.pipeline import STORE_COLUMNS, judge
+from ..sinks.tables import write_store
 
 ALLOWED_LATENESS_SECONDS = 120
 ROW_BITS = 24
@@ -139,7 +140,7 @@ def ingest_stream(
     def use(parsed: DataFrame, earlier: DataFrame, batch_id: int) -> None:
         rows = judge(parsed, models, classifier, profile_places, True, earlier)
         tagged = tag_batch(rows, batch_id).select(*STORE_COLUMNS)
-        tagged.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        write_store(tagged, f"{store}/batch={batch_id}", "overwrite")
 
     run = _with_history(state, lambda batch: parse_lines(batch, "apache", strict=strict), use)
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
