@@ -84,11 +84,6 @@ def trailing_before_cell(cells: DataFrame) -> DataFrame:
     )
 
 
-def _all_cells(split: DataFrame, earlier_cells: DataFrame | None) -> DataFrame:
-    cells = count_cells(split)
-    return cells if earlier_cells is None else cells.unionByName(earlier_cells)
-
-
 def _in_cell(column: Column) -> Column:
     """Running aggregate of a row's cell, up to the row; a cell has at most 65,536 rows."""
     rows = Window.partitionBy(*CELL).orderBy("line_no")
@@ -110,7 +105,10 @@ def add_trailing_counts(rows: DataFrame, earlier_cells: DataFrame | None = None)
     ``earlier_cells`` are cells of rows that came before (a stream's earlier batches).
     """
     split = with_cell(rows)
-    before = trailing_before_cell(_all_cells(split, earlier_cells)).drop("_requests", "_failures")
+    cells = count_cells(split)
+    if earlier_cells is not None:
+        cells = cells.unionByName(earlier_cells)
+    before = trailing_before_cell(cells).drop("_requests", "_failures")
     counted = (
         split.withColumn("_requests_in", _in_cell(F.count("*")))
         .withColumn("_failures_in", _in_cell(F.sum("_failed")))
@@ -124,7 +122,7 @@ def add_trailing_counts(rows: DataFrame, earlier_cells: DataFrame | None = None)
     )
 
 
-def counts_over_limit(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFrame:
+def counts_over_limit(rows: DataFrame) -> DataFrame:
     """``line_no, requests_10s, failed_logins_60s`` of the rows that break a rate limit.
 
     Only narrow columns move: cells whose last row stays within both limits are left out, and rows
@@ -133,7 +131,7 @@ def counts_over_limit(rows: DataFrame, earlier_cells: DataFrame | None = None) -
     narrow = with_cell(rows.select("line_no", "ip", "event_time", "url", "status")).select(
         "line_no", *CELL, "_failed"
     )
-    cells = trailing_before_cell(_all_cells(narrow, earlier_cells))
+    cells = trailing_before_cell(count_cells(narrow))
     most_requests = F.col("_requests_before") + F.col("_requests")
     most_failures = F.col("_failures_before") + F.col("_failures")
     hot = cells.filter(_over_limit(most_requests, most_failures)).drop("_requests", "_failures")

@@ -15,13 +15,14 @@ from ..operators.models import (
     save_models,
 )
 from ..operators.parse import parse_lines
-from ..operators.rules import add_rules
+from ..operators.rules import add_rules, add_rules_in_two_jobs
 
 
-def label_lines(lines: DataFrame) -> DataFrame:
+def label_lines(lines: DataFrame, in_two_jobs: bool = False) -> DataFrame:
     """``line_no, value, label``: 1 where the rules see a threat, 0 elsewhere and if unparsed."""
     texts = lines.select("line_no", "value", F.col("value").alias("text"))
-    ruled = add_rules(parse_lines(texts, mode="keep"))
+    parsed = parse_lines(texts, mode="keep")
+    ruled = add_rules_in_two_jobs(parsed) if in_two_jobs else add_rules(parsed)
     is_threat = F.col("log_type").isNotNull() & F.col("rule.is_threat")
     label = F.when(is_threat, 1.0).otherwise(0.0).alias("label")
     return ruled.select("line_no", F.col("text").alias("value"), label)
@@ -29,7 +30,7 @@ def label_lines(lines: DataFrame) -> DataFrame:
 
 def train(lines: DataFrame, names: list[str] | None = None) -> Models:
     """Fit features and classifiers on ``line_no, value`` with rule labels."""
-    return fit_models(lines, label_lines(lines), names)
+    return fit_models(lines, label_lines(lines, in_two_jobs=True), names)
 
 
 def load_or_bootstrap(spark: SparkSession, path: str) -> Models:
