@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,12 @@ def save_cells(parsed: DataFrame, earlier: DataFrame, state: str, batch_id: int)
         F.sum("_requests").alias("_requests"), F.sum("_failures").alias("_failures")
     )
     newest = cells.agg(F.max("_second")).first()[0]
-    reach = OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS
-    kept = seconds if newest is None else seconds.filter(F.col("_second") >= newest - reach)
+    kept = seconds
+    if newest is not None:
+        # A line dated in the future by a wrong clock must not push everyone else's history out.
+        newest = min(newest, int(time.time()) + ALLOWED_LATENESS_SECONDS)
+        reach = OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS
+        kept = seconds.filter(F.col("_second") >= newest - reach)
     merged = kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint"))
     merged.withColumn("_cell", cell_hash()).write.mode("overwrite").parquet(
         _history_folder(state, batch_id)

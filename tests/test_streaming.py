@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,28 @@ def test_repeated_batch_writes_the_same(spark, folder, tmp_path, lines):
     assert max(seen[1]) == 11
 
 
+def test_history_survives_a_line_from_the_future(spark, tmp_path, lines):
+    state = str(tmp_path / "state")
+    now = int(time.time())
+
+    def texts(ip, start, n):
+        stamps = [time.strftime("%d/%b/%Y:%H:%M:%S", time.gmtime(start + i % 5)) for i in range(n)]
+        return [f'{ip} - - [{s} +0000] "GET /x HTTP/1.1" 200 1' for s in stamps]
+
+    flagged = []
+
+    def use(parsed, earlier, batch_id):
+        counted = add_trailing_counts(parsed, earlier).filter("requests_10s > 30")
+        flagged.append(counted.count())
+
+    run = live._with_history(state, lambda batch: parse_lines(batch, "apache"), use)
+    future = texts("8.8.8.8", now + 10**9, 1)
+    run(lines([*texts("9.9.9.9", now - 5, 30), *future]).select("value"), 0)
+    run(lines(texts("9.9.9.9", now, 5)).select("value"), 1)
+    assert flagged == [0, 5]
+    assert spark.read.parquet(f"{state}/1").filter("ip = '9.9.9.9'").count() > 0
+
+
 def test_window_alerts(spark, folder, tmp_path):
     floods, logins = live.window_alerts(parse_lines(source(spark, folder), "apache"))
     for i, alerts in enumerate((floods, logins)):
