@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, packing, token_blocks
+from logwarden.llm import bpe, fingerprints, packing, token_blocks
 from logwarden.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,14 @@ def bpe_coding(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.coding_digests(table(spark, sf, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def syncmer_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op2_token_blocks": token_output,
+        "op7_closed_syncmers": syncmer_fingerprints,
         "op8_best_fit_packing": best_fit,
         "op10_forced_boundary_bpe": bpe_coding,
     }
