@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bpe, fingerprints, packing, token_blocks
+from logwarden.llm import bpe, fingerprints, jaccard, packing, token_blocks
 from logwarden.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,15 @@ def syncmer_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
 
 
+def jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    groups = jaccard.jaccard_groups(spark, table(spark, sf, "documents"), size=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op2_token_blocks": token_output,
+        "op6_ngram_jaccard": jaccard_join,
         "op7_closed_syncmers": syncmer_fingerprints,
         "op8_best_fit_packing": best_fit,
         "op10_forced_boundary_bpe": bpe_coding,
