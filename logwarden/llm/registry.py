@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logwarden.llm import bpe, fingerprints, jaccard, packing, token_blocks
+from logwarden.llm import bpe, fingerprints, jaccard, lm, packing, token_blocks
 from logwarden.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +34,14 @@ def jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm.score_corpus(spark, table(spark, sf, "documents"), held_out)
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op1_lm_scores": lm_scores,
         "op2_token_blocks": token_output,
         "op6_ngram_jaccard": jaccard_join,
         "op7_closed_syncmers": syncmer_fingerprints,
