@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import bpe, fingerprints, jaccard, lm, packing, token_blocks
+from logwarden.llm import bpe, fingerprints, html_text, jaccard, lm, packing, token_blocks
 from logwarden.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,15 @@ def lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score_corpus(spark, table(spark, sf, "documents"), held_out)
 
 
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_scores": lm_scores,
         "op2_token_blocks": token_output,
+        "op3_page_differencing": page_text,
         "op6_ngram_jaccard": jaccard_join,
         "op7_closed_syncmers": syncmer_fingerprints,
         "op8_best_fit_packing": best_fit,
