@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import bpe, fingerprints, html_text, jaccard, lm, packing, token_blocks
+from logwarden.llm import (
+    bpe, fingerprints, html_text, jaccard, lm, packing, quality, token_blocks, toxicity,
+)
 from logwarden.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +45,23 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.main_text(table(spark, sf, "pages"))
 
 
+def toxicity_grades(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.grade_texts(docs, toxicity.fit_toxicity(docs, table(spark, sf, "labels")))
+
+
+def quality_classes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.quality_scores(docs, table(spark, sf, "labels"), F.col("source"), F.col("lang"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_scores": lm_scores,
         "op2_token_blocks": token_output,
         "op3_page_differencing": page_text,
+        "op4_ordinal_toxicity": toxicity_grades,
+        "op5_site_quality": quality_classes,
         "op6_ngram_jaccard": jaccard_join,
         "op7_closed_syncmers": syncmer_fingerprints,
         "op8_best_fit_packing": best_fit,
