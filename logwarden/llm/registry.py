@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import (
-    bpe, fingerprints, html_text, jaccard, lm, packing, quality, token_blocks, toxicity,
+    bpe, fingerprints, html_text, jaccard, lm, neighbours, packing, quality, token_blocks, toxicity,
 )
 from logwarden.llm.common import table, vocabulary_path
 
@@ -55,6 +55,10 @@ def quality_classes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(docs, table(spark, sf, "labels"), F.col("source"), F.col("lang"))
 
 
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(spark, table(spark, sf, "embeddings"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_scores": lm_scores,
@@ -65,5 +69,6 @@ def registered() -> dict[str, Query]:
         "op6_ngram_jaccard": jaccard_join,
         "op7_closed_syncmers": syncmer_fingerprints,
         "op8_best_fit_packing": best_fit,
+        "op9_hilbert_neighbours": nearest_vectors,
         "op10_forced_boundary_bpe": bpe_coding,
     }
