@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import id_and_text
+from logwarden.llm.common import id_and_text, text_or_empty
 from logwarden.llm.corpus import components, squeeze, token_chunks, unsqueeze
 from logwarden.session import stage
 
@@ -36,6 +36,8 @@ COUNTED = 2_000_000
 BLOCK = 256
 #: Upper bits of a shingle by which document counts are kept. Equal ones only make a token look more common.
 COUNT_BITS = 48
+#: Stands for a null document id.
+NO_ID = -(1 << 63)
 #: Tie breakers of the orders.
 SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -285,11 +287,12 @@ def _prefix_rows(classes: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, mark, n_shingles, component_id``: a row per input row.
+    """``doc_id, mark, n_shingles, component_id, group_key``: a row per input row.
 
     ``mark`` is ``xxhash64`` of the text, to tell rows of equal ids apart. Documents link when their shingle
     sets have at least ``percent`` hundredths in common of what they hold together. ``component_id`` is the
-    least ``doc_id`` reachable; null ids give way to any other. No documents give no rows.
+    least ``doc_id`` reachable; null ids give way to any other. ``group_key`` names the group, null for a
+    document without words. No documents give no rows.
     """
     rows = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
     chunks = token_chunks(rows)
@@ -300,9 +303,32 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent:
     links = _links(spark, classes, percent)
     labels = components(spark, links).withColumnRenamed("node", "digest")
     slim = members.select("doc_id", "mark", F.col("n").alias("n_shingles"), "digest")
-    grouped = slim.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = grouped.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    found = grouped.join(least, "label", "left")
-    return found.select(
-        "doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    grouped = slim.join(labels, "digest", "left").withColumn(
+        "group_key", F.when(F.col("n_shingles") > 0, F.coalesce("label", "digest"))
     )
+    least = grouped.where("group_key is not null").groupBy("group_key").agg(F.min("doc_id").alias("least"))
+    return grouped.join(least, "group_key", "left").select(
+        "doc_id", "mark", "n_shingles", F.when(F.col("group_key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "group_key"
+    )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each group: that of the least ``doc_id`` (null last).
+
+    Documents without words all stay. Of repeated rows one stays.
+    """
+    groups = stage(jaccard_groups(spark, docs, size, percent), "groups").where("group_key is not null")
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("mark").alias("gone_mark")]
+    first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "mark")
+    kept = groups.groupBy("group_key").agg(F.min(first).alias("kept"))
+    told = groups.join(kept, "group_key")
+    gone = told.where(first != F.col("kept")).select(*key).distinct()
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text_or_empty(F.col("text")))]
+    same = lambda other: (own[0] == other["gone_id"]) & (own[1] == other["gone_mark"])
+    left = docs.join(gone, same(gone), "left_anti")
+    again = told.where(first == F.col("kept")).select(*key).groupBy("gone_id", "gone_mark").count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return left
+    # Rows that were given more than once: one of each.
+    once = left.join(again, same(again), "left_semi").withColumn("gone_id", own[0]).withColumn("gone_mark", own[1])
+    return left.join(again, same(again), "left_anti").unionByName(once.dropDuplicates(["gone_id", "gone_mark"]).drop("gone_id", "gone_mark"))
