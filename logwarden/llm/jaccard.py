@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +119,9 @@ def _document_counts(chunks: DataFrame, size: int, shards: int) -> DataFrame:
     return parts.groupBy("shard").applyInArrow(count, "chunk bigint, shard bigint, classes binary")
 
 
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.string()),
+MEMBERS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
                      ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary()))])
-MEMBERS_DDL = "doc_id bigint, mark bigint, n bigint, digest string, tokens binary, prefixes array<binary>"
+MEMBERS_DDL = "row bigint, doc_id bigint, mark bigint, n bigint, digest binary, tokens binary, prefixes array<binary>"
 
 
 def _members(chunks: DataFrame, counts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -131,6 +132,7 @@ def _members(chunks: DataFrame, counts: DataFrame, size: int, percent: int) -> D
     gathered = counts.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "classes"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n_rows = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for row in batch.to_pylist():
                 lengths, doc, value = _sets_of(row, size)
@@ -152,21 +154,22 @@ def _members(chunks: DataFrame, counts: DataFrame, size: int, percent: int) -> D
                 out, seen = [], set()
                 for i, (doc_id, mark) in enumerate(zip(row["doc_ids"], row["marks"], strict=True)):
                     tokens = value[ends[i] - sizes[i] : ends[i]]
-                    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
+                    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                     carries = bool(held[i]) and digest not in seen
                     seen.add(digest)
                     out.append({
-                        "doc_id": doc_id, "mark": mark, "n": int(sizes[i]), "digest": digest,
+                        "row": base + n_rows + i, "doc_id": doc_id, "mark": mark, "n": int(sizes[i]), "digest": digest,
                         "tokens": tokens.tobytes() if carries else None,
                         "prefixes": [v[c[i] : c[i + 1]].tobytes() for (_, v), c in zip(prefixes, cuts, strict=True)] if carries else None,
                     })
+                n_rows += len(out)
                 yield pa.RecordBatch.from_pylist(out, schema=MEMBERS)
 
     rows = chunks.join(gathered, "chunk", "left").select("doc_ids", "marks", "lengths", "tokens", "words", "parts")
     return rows.mapInArrow(run, MEMBERS_DDL)
 
 
-def linked_in_tile(rows: list[dict], percent: int, across: bool) -> list[tuple[str, str]]:
+def linked_in_tile(rows: list[dict], percent: int, across: bool) -> list[tuple[int, int]]:
     """Links that join the groups of a tile; with ``across`` only pairs of different sides count.
 
     Candidates are the earlier classes met in every order's index. Groups already joined are skipped.
@@ -179,7 +182,7 @@ def linked_in_tile(rows: list[dict], percent: int, across: bool) -> list[tuple[s
             x = parent[x]
         return x
 
-    known: dict[str, int] = {}
+    known: dict[int, int] = {}
     for i, row in enumerate(rows):
         if row["label"] is not None:
             parent[root(i)] = root(known.setdefault(row["label"], i))
@@ -210,7 +213,7 @@ def linked_in_tile(rows: list[dict], percent: int, across: bool) -> list[tuple[s
                 continue
             shared = len(own(i) & own(j))
             if 100 * shared >= percent * (n + m - shared):
-                links.append((row["digest"], other["digest"]))
+                links.append((row["class"], other["class"]))
                 parent[root(i)] = root(j)
     return links
 
@@ -219,13 +222,13 @@ def _compare(tiles: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` of rows ``family, i, j, side, ...``, a tile being one (family, i, j)."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.select(["digest", "n", "tokens", "prefixes", "label", "side"]).to_pylist()
-        rows.sort(key=lambda r: (r["side"], r["digest"]))
+        rows = group.select(["class", "n", "tokens", "prefixes", "label", "side"]).to_pylist()
+        rows.sort(key=lambda r: (r["side"], r["class"]))
         across = len({r["side"] for r in rows}) > 1
         links = linked_in_tile(rows, percent, across)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return tiles.groupBy("family", "i", "j").applyInArrow(run, "a string, b string")
+    return tiles.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _tiles(blocked: DataFrame, low: str, high: str) -> DataFrame:
@@ -233,28 +236,51 @@ def _tiles(blocked: DataFrame, low: str, high: str) -> DataFrame:
     other = F.explode(F.expr(f"sequence({low}, {high})")).alias("other")
     return blocked.select("*", other).select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.col("block").alias("side"), "digest", "n", "tokens", "prefixes", "label",
+        F.col("block").alias("side"), "class", "n", "tokens", "prefixes", "label",
     )
 
 
-def _links(spark: SparkSession, classes: DataFrame, percent: int) -> DataFrame:
+def _classes(members: DataFrame) -> DataFrame:
+    """``class, digest, row, prefix``: different sets that may have a partner, numbered; the row that carries the set."""
+    held = members.where("tokens is not null").select("digest", F.struct("row", F.col("prefixes")[0].alias("prefix")).alias("first"))
+    slim = held.groupBy("digest").agg(F.min("first").alias("first")).select("digest", "first.row", "first.prefix")
+    return stage(slim.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    """``token, class``: the first order's prefix tokens of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
+            tokens = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
+            classes = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(classes, pa.int64())], ["token", "class"])
+
+    return classes.select("class", "prefix").mapInArrow(run, "token bigint, class bigint")
+
+
+def _links(spark: SparkSession, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect every group of classes."""
     met = _prefix_rows(classes)
-    pivots = met.groupBy("token").agg(F.min("digest").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = met.join(pivots, "token").where("digest != pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()
-    families = stage(components(spark, star).select(F.col("node").alias("digest"), F.col("label").alias("family")), "families")
+    pivots = met.groupBy("token").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    star = met.join(pivots, "token").where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    families = components(spark, star).select(F.col("node").alias("class"), F.col("label").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     sized = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("label", F.lit(None).cast("string"))
-    rows = placed.join(classes, "digest")
+    placed = sized.join(classes.select("class", "row"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    placed = stage(placed.drop("size"), "families")
+    # Only classes that have met another one need their sets.
+    sets = stage(placed.select("class", "row").join(members.select("row", "n", "tokens", "prefixes"), "row").drop("row"), "sets")
     # Block 0 meets every block, the others meet block 0.
+    rows = placed.withColumn("label", F.lit(None).cast("bigint")).join(sets, "class")
     first = stage(_compare(_tiles(rows, "0", "if(block = 0, blocks - 1, 0)"), percent), "links")
 
-    large = placed.where("blocks > 1").drop("label", "block")
+    large = placed.where("blocks > 1").select("class", "family")
     if large.isEmpty():
         return first
-    labels = components(spark, first)
-    named = large.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    labels = components(spark, first).withColumnRenamed("node", "class")
+    named = large.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     heavy = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("own")).groupBy("family").agg(
         F.max_by("label", F.struct("own", "label")).alias("heavy"), F.sum("own").alias("all"), F.max("own").alias("most")
     )
@@ -264,28 +290,15 @@ def _links(spark: SparkSession, classes: DataFrame, percent: int) -> DataFrame:
     is_stray = F.col("label") != F.col("heavy")
     blocked = (
         split.where(F.col("all") > F.col("most")).withColumn("strays", strays).withColumn("bulk", bulk)
-        .withColumn("block", F.when(is_stray, F.pmod(F.xxhash64("digest"), F.col("strays"))).otherwise(
-            F.col("strays") + F.pmod(F.xxhash64("digest"), F.col("bulk"))).cast("int"))
-        .select("digest", "family", "label", "block", "strays", "bulk")
+        .withColumn("block", F.when(is_stray, F.pmod(F.xxhash64("class"), F.col("strays"))).otherwise(
+            F.col("strays") + F.pmod(F.xxhash64("class"), F.col("bulk"))).cast("int"))
+        .select("class", "family", "label", "block", "strays", "bulk")
     )
     # Strays meet all blocks, the largest group's blocks meet only strays.
-    rest = _compare(_tiles(blocked.join(classes, "digest"), "0", "if(block < strays, strays + bulk - 1, strays - 1)"), percent)
+    rest = _compare(_tiles(blocked.join(sets, "class"), "0", "if(block < strays, strays + bulk - 1, strays - 1)"), percent)
     return first.union(stage(rest, "links"))
 
 
-def _prefix_rows(classes: DataFrame) -> DataFrame:
-    """``token, digest``: the first order's prefix tokens of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            firsts = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
-            tokens = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-            digests = np.repeat(np.array(batch.column(0).to_pylist(), object), [len(f) for f in firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(digests, pa.string())], ["token", "digest"])
-
-    return classes.select("digest", F.col("prefixes")[0].alias("prefix")).mapInArrow(run, "token bigint, digest string")
-
-
 def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, mark, n_shingles, component_id, group_key``: a row per input row.
 
@@ -299,12 +312,15 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent:
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     counts = _document_counts(chunks, size, max(1, -(-n_words // COUNTED)))
     members = stage(_members(chunks, counts, size, percent), "members")
-    classes = stage(members.where("tokens is not null").select("digest", "n", "tokens", "prefixes").dropDuplicates(["digest"]), "classes")
-    links = _links(spark, classes, percent)
-    labels = components(spark, links).withColumnRenamed("node", "digest")
+    classes = _classes(members)
+    links = _links(spark, members, classes, percent)
+    labels = components(spark, links).withColumnRenamed("node", "class").join(classes.select("class", "digest"), "class")
+    # A group without links is named by its digest, one with links by the digest of its first class.
+    names = labels.where("class = label").select("label", F.col("digest").alias("name"))
+    named = labels.join(names, "label").select("digest", "name")
     slim = members.select("doc_id", "mark", F.col("n").alias("n_shingles"), "digest")
-    grouped = slim.join(labels, "digest", "left").withColumn(
-        "group_key", F.when(F.col("n_shingles") > 0, F.coalesce("label", "digest"))
+    grouped = slim.join(named, "digest", "left").withColumn(
+        "group_key", F.when(F.col("n_shingles") > 0, F.coalesce("name", "digest"))
     )
     least = grouped.where("group_key is not null").groupBy("group_key").agg(F.min("doc_id").alias("least"))
     return grouped.join(least, "group_key", "left").select(
