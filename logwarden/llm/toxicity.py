@@ -136,10 +136,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, pull: float = PULL)
 
     ``rows`` hold feature numbers and values; only features that tell toxic texts from others beyond chance
     get a weight. Without texts or with one grade there are none and the thresholds say how frequent the grades
-    are, smoothed by one text.
+    are, smoothed by two texts, mostly clean.
     """
     n = len(rows)
-    share = [(float(np.sum(grades > k)) + 0.5) / (n + 1) for k in range(GRADES - 1)]
+    share = [(float(np.sum(grades > k)) + 0.5) / (n + 2) for k in range(GRADES - 1)]
     start = np.maximum.accumulate(np.array([-np.log(p / (1 - p)) for p in share]) + np.arange(GRADES - 1) * 1e-3)
     none = np.empty(0, np.int64), np.zeros(0), start
     if not n or len(set(grades.tolist())) < 2:
