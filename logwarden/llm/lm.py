@@ -26,13 +26,15 @@ from logwarden.llm.trie import Trie
 from logwarden.session import stage
 
 #: Pairs of a shard, about; a context with more in training is split.
-SHARD_PAIRS = 4_000_000
+SHARD_PAIRS = 1_500_000
 #: Weight of the prior, in words.
 PRIOR = 500.0
 #: Stands for the end of a document among the words; white space is in no word.
 END = b"\n"
 #: The context of a first word.
 BEGIN = -1
+#: Marks the ids of words that only one chunk has; chunk and dictionary place follow.
+OWN_WORD = 1 << 62
 
 PARTIAL = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("stats", pa.bool_())])
 PARTIAL_DDL = "chunk bigint, docs binary, sums binary, stats boolean"
@@ -75,13 +77,16 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         if not len(chunk):
             return PAIRS.empty_table()
         row = chunk.to_pylist()[0]
-        order = np.argsort(words["place"].to_numpy())
-        ids = words["id"].to_numpy()[order]
-        counts = words["n"].to_numpy()[order]
-        row["n_dictionary"] = len(ids)
+        size = int(row["n_dictionary"])
         row["words"] = None
         lengths, tokens, _ = _with_ends(row)
         n_docs_here = len(lengths)
+        # What other chunks do not have is counted here, and needs no name that others know.
+        trains_here = np.repeat(np.array(row["marks"]) == 0, lengths)
+        counts = np.bincount(tokens[trains_here], minlength=size)
+        ids = OWN_WORD | row["chunk"] << 24 | np.arange(size)
+        place = words["place"].to_numpy()
+        ids[place], counts[place] = words["id"].to_numpy(), words["n"].to_numpy()
         doc = np.repeat(np.arange(n_docs_here), lengths)
         per_word = np.log10((counts + 1) / (total + distinct + 1))
         base = np.bincount(doc, per_word[tokens], n_docs_here)
@@ -89,21 +94,26 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         out = [{"shard": -1 - row["chunk"] % shards, "chunk": row["chunk"], "doc": squeeze(lengths), "times": squeeze(known), "context": squeeze(base)}]
 
         # Local number 0 is the context of first words, n + 1 the n-th dictionary entry.
-        context = np.zeros(len(tokens), np.int64)
+        context = np.zeros(len(tokens), np.uint64)
         context[1:] = tokens[:-1] + 1
         context[np.cumsum(lengths) - lengths] = 0
+        # Context, word and document in one number: 23, 23 and 18 bits hold any chunk.
+        key = context << np.uint64(41) | tokens.astype(np.uint64) << np.uint64(18) | doc.astype(np.uint64)
+        del context, tokens, doc
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        times = np.diff(np.append(at, len(key))).astype(np.uint32)
+        key = key[at]
+        context, word = (key >> np.uint64(41)).astype(np.int32), (key >> np.uint64(18)).astype(np.int32) & 0x7FFFFF
+        doc = key.astype(np.uint32) & np.uint32(0x3FFFF)
+        del key, at
         context_ids = np.concatenate([[BEGIN], ids])
         context_counts = np.concatenate([[n_docs], counts])
-        parts = np.maximum(1, -(-context_counts // limit))
-        shard = _hashed(context_ids)[context] + _hashed(ids)[tokens] % parts[context].astype(np.uint64)
-        shard = (_hashed(shard.view(np.int64)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((doc, tokens, context, shard))
-        shard, context, word, doc = shard[order], context[order], tokens[order].astype(np.int64), doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(shard) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0) | (np.diff(doc) != 0)
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(order)))
-        shard, context, word, doc = shard[at], context[at], word[at], doc[at]
+        parts = np.maximum(1, -(-context_counts // limit)).astype(np.uint32)
+        shard = (_hashed(context_ids)[context] + _hashed(ids)[word] % parts[context]) * np.uint32(0x9E3779B1)
+        shard = ((shard ^ (shard >> np.uint32(15))) % np.uint32(shards)).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+        order = np.argsort(shard, kind="stable")
+        shard, context, word, doc, times = shard[order].astype(np.int64), context[order], word[order], doc[order], times[order]
         bounds = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
         trains = squeeze((np.array(row["marks"]) == 0).astype(np.uint8))
         for a, b in zip(bounds, bounds[1:], strict=False):
@@ -112,7 +122,7 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
             out.append({
                 "shard": int(shard[a]), "chunk": row["chunk"],
                 "context": squeeze(np.diff(c, prepend=0).astype(np.uint32)), "word": squeeze(w.astype(np.uint32)),
-                "doc": squeeze(doc[a:b].astype(np.uint32)), "times": squeeze(times[a:b].astype(np.uint32)),
+                "doc": squeeze(doc[a:b]), "times": squeeze(times[a:b]),
                 "contexts": squeeze(np.concatenate([context_ids[own_contexts], context_counts[own_contexts]])),
                 "words": squeeze(np.concatenate([ids[own_words], counts[own_words]])), "trains": trains,
             })
@@ -122,9 +132,10 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
 
 
 def _hashed(ids: np.ndarray) -> np.ndarray:
+    """32 well-mixed bits of each number."""
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> list[dict]:
@@ -137,23 +148,26 @@ def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> li
         doc = unsqueeze(row["doc"])
         context_tables.append(table_c)
         word_tables.append(table_w)
-        contexts.append(table_c[0][np.cumsum(unsqueeze(row["context"]))])
-        words.append(table_w[0][unsqueeze(row["word"])])
+        contexts.append(np.cumsum(unsqueeze(row["context"])))
+        words.append(unsqueeze(row["word"]))
         docs.append(doc)
         times.append(unsqueeze(row["times"]))
         trains.append(unsqueeze(row["trains"])[doc] > 0)
-        of_row.append(np.full(len(doc), k))
+        of_row.append(np.full(len(doc), k, np.int32))
     table_c, table_w = np.concatenate(context_tables, axis=1), np.concatenate(word_tables, axis=1)
     context_ids, first = np.unique(table_c[0], return_index=True)
     context_n = table_c[1][first]
     word_ids, first = np.unique(table_w[0], return_index=True)
     log_word = np.log10((table_w[1][first] + 1) / (total + distinct + 1))
-    context = np.searchsorted(context_ids, np.concatenate(contexts))
-    word = np.searchsorted(word_ids, np.concatenate(words))
+    # From places in a payload's lists to places among all ids of the shard.
+    pair = np.concatenate([
+        np.searchsorted(context_ids, c[0]).astype(np.uint64)[i] << np.uint64(32) | np.searchsorted(word_ids, w[0]).astype(np.uint64)[j]
+        for c, w, i, j in zip(context_tables, word_tables, contexts, words, strict=True)
+    ])
     times, train = np.concatenate(times), np.concatenate(trains)
-
-    pair = context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+    del contexts, words, context_tables, word_tables
     pairs, place = np.unique(pair, return_inverse=True)
+    del pair
     seen = np.bincount(place, times * train, len(pairs))
     learned = pairs[seen > 0]
     own = (learned >> np.uint64(32)).astype(np.int64)
@@ -175,7 +189,7 @@ def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> li
         trie.close()
 
     doc, of_row = np.concatenate(docs).astype(np.int64), np.concatenate(of_row)
-    key = of_row << 32 | doc
+    key = of_row.astype(np.int64) << 32 | doc
     keys, at = np.unique(key, return_inverse=True)
     sums = np.bincount(at, answer[place] * times, len(keys))
     bounds = np.searchsorted(keys >> 32, np.arange(len(rows) + 1))
@@ -195,14 +209,16 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column, prior:
     chunks = token_chunks(rows)
     counts = _word_counts(chunks)
     vocabulary = stage(
-        counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "vocabulary"
+        counts.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks")).withColumn("id", F.monotonically_increasing_id()), "vocabulary"
     )
     totals = vocabulary.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
     total, distinct, n_docs = (int(x or 0) for x in totals)
     shards = max(1, -(-int(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_PAIRS))
 
-    resolved = counts.select("chunk", "place", "word").join(vocabulary, "word").select("chunk", "place", "id", "n")
-    pairs = chunks.select("chunk", "marks", "lengths", "tokens").groupBy("chunk").cogroup(resolved.groupBy("chunk")).applyInArrow(
+    shared = vocabulary.where("chunks > 1").select("word", "id", "n")
+    resolved = counts.select("chunk", "place", "word").join(shared, "word").select("chunk", "place", "id", "n")
+    split = chunks.select("chunk", "marks", "lengths", "tokens", (F.size("words") + 1).alias("n_dictionary"))
+    pairs = split.groupBy("chunk").cogroup(resolved.groupBy("chunk")).applyInArrow(
         _spread(total, distinct, n_docs, shards, SHARD_PAIRS), PAIRS_DDL
     )
 
