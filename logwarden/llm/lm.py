@@ -5,7 +5,7 @@ weight m around p(w). A pair that training has not seen costs the back-off weigh
 Every context's probabilities, with one word that training does not know, sum to 1.
 
 A model of a corpus is as large as the corpus, so it is never gathered. Documents are split into words once
-and kept as chunks. Word counts are joined back to the chunks' dictionaries. Pairs go to the shard of their
+and kept as chunks. One shuffle by word gives each chunk the corpus counts of its dictionary. Pairs go to the shard of their
 context; a frequent context is split by the following word over as many shards as its count asks for, which
 changes nothing, as c(v) is known from the word counts. A shard counts its training pairs, builds a trie and
 answers all its pairs.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import id_and_text
@@ -207,16 +207,19 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column, prior:
     """
     rows = id_and_text(docs).withColumn("mark", F.coalesce(held_out, F.lit(False)).cast("long"))
     chunks = token_chunks(rows)
-    counts = _word_counts(chunks)
-    vocabulary = stage(
-        counts.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks")).withColumn("id", F.monotonically_increasing_id()), "vocabulary"
+    # One shuffle by word: its count everywhere, in how many chunks it is, and its first place as its name.
+    word = Window.partitionBy("word")
+    place = F.shiftleft("chunk", 24) + F.col("place")
+    named = _word_counts(chunks).select(
+        "chunk", "place", F.sum("n").over(word).alias("n"), (F.count(F.lit(1)).over(word) > 1).alias("shared"),
+        F.min(place).over(word).alias("id"), (F.min(place).over(word) == place).alias("first"), (F.col("word") == F.lit(END)).alias("ends"),
     )
-    totals = vocabulary.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
-    total, distinct, n_docs = (int(x or 0) for x in totals)
+    named = stage(named.withColumn("id", F.when(F.col("shared"), F.col("id"))), "vocabulary")
+    firsts = named.where("first").agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long")), F.sum(F.when(F.col("ends"), F.col("n")))).first()
+    total, distinct, n_docs = (int(x or 0) for x in firsts)
     shards = max(1, -(-int(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_PAIRS))
 
-    shared = vocabulary.where("chunks > 1").select("word", "id", "n")
-    resolved = counts.select("chunk", "place", "word").join(shared, "word").select("chunk", "place", "id", "n")
+    resolved = named.where("shared").select("chunk", "place", "id", "n")
     split = chunks.select("chunk", "marks", "lengths", "tokens", (F.size("words") + 1).alias("n_dictionary"))
     pairs = split.groupBy("chunk").cogroup(resolved.groupBy("chunk")).applyInArrow(
         _spread(total, distinct, n_docs, shards, SHARD_PAIRS), PAIRS_DDL
