@@ -44,17 +44,46 @@ _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 _SPACED = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
+#: Without these a text's white space is single spaces and line ends.
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+#: Marks that no pattern of the vocabularies joins to a letter before them (an apostrophe would be).
+_MARKS = b".,;:!?#$%&*"
+
+
 class PieceCache(dict):
     """Little-endian 32-bit ids by piece of text; what is missing is encoded once by the library."""
 
+    def __init__(self, encode, before: str = ""):
+        super().__init__()
+        self._encode, self._before = encode, before
+        self._marks = _Marks(encode)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        word = piece.rstrip(_MARKS)
+        if word[-1:].isalpha() and len(word) < len(piece):
+            # A mark after a letter starts a pre-token of its own; words come with many marks.
+            ids = self[word] + self._marks[piece[len(word) :]]
+        else:
+            ids = id_bytes(self._encode(self._before + piece.decode()))
+        self[piece] = ids
+        return ids
+
+
+class _Marks(dict):
+    """Ids of runs of marks."""
+
     def __init__(self, encode):
         super().__init__()
         self._encode = encode
 
-    def __missing__(self, piece: bytes) -> bytes:
+    def __missing__(self, marks: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self[piece] = id_bytes(self._encode(piece.decode()))
+        ids = self[marks] = id_bytes(self._encode(marks.decode()))
         return ids
 
 
@@ -79,6 +108,8 @@ class TextEncoder:
         library.no_truncation()
         self._whole = lambda text: library.encode(text, add_special_tokens=False).ids
         self._cache = PieceCache(self._whole)
+        self._after_space = PieceCache(self._whole, " ")
+        self._line_end = id_bytes(self._whole("\n"))
         self._special = [t.content for t in library.get_added_tokens_decoder().values()]
         # A vocabulary that keeps white space gives ids for a space alone.
         self._keeps_space = bool(self._whole(" "))
@@ -86,13 +117,20 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
             return id_bytes(self._whole(text))
+        raw = text.encode()
         if not self._keeps_space:
-            pieces = text.encode().split()
-        elif text.isascii() or not _WIDE_SPACE.search(text):
-            pieces = _SPACED.findall(text.encode())
-        else:
+            return b"".join(map(self._cache.__getitem__, raw.split()))
+        if not text.isascii() and _WIDE_SPACE.search(text):
             return id_bytes(self._whole(text))
-        return b"".join(map(self._cache.__getitem__, pieces))
+        if raw[:1].isspace() or raw[-1:].isspace() or any(run in raw for run in _RUNS):
+            return b"".join(map(self._cache.__getitem__, _SPACED.findall(raw)))
+        # Single spaces and line ends only: each starts a new pre-token, a line end being one itself.
+        parts: list[bytes] = []
+        for line in raw.split(b"\n"):
+            head, *rest = line.split(b" ")
+            parts += (self._line_end, self._cache[head])
+            parts += map(self._after_space.__getitem__, rest)
+        return b"".join(parts[1:])
 
 
 @lru_cache(maxsize=2)
