@@ -60,13 +60,13 @@ _LINE_SQL = {
     "apache": "SELECT line_no, value FROM lines",
     "hdfs": """SELECT event_id AS line_no, strftime(t, '%Y-%m-%d %H:%M:%S') || ' ' || rip || ' '
       || CASE WHEN event_id % 2 = 1 THEN 'audit ' ELSE '' END || lvl || ' dfs.FSNamesystem: '
-      || CASE WHEN lvl = 'ERROR' THEN 'Unauthorized access denied to' ELSE 'Allowed access to' END
-      || ' /user/hdfs/data/' || user_id AS value FROM timed""",
+      || CASE WHEN lvl = 'ERROR' THEN 'Unauthorized read denied on' ELSE 'Allowed read of' END
+      || ' /warehouse/shard/' || user_id AS value FROM timed""",
     "kubernetes": """SELECT event_id AS line_no, strftime(t, '%Y-%m-%dT%H:%M:%SZ') || ' ' || lvl
       || ' pod-' || (user_id % 6) || ' ' || rip || ' '
-      || CASE lvl WHEN 'ERROR' THEN 'User system-admin attempted exploit: pod overflow warning'
+      || CASE lvl WHEN 'ERROR' THEN 'Container tried an exploit: quota overflow'
                   WHEN 'WARN' THEN 'User u' || user_id || ' failed login'
-                  ELSE 'Pod health-check responsive' END AS value FROM timed""",
+                  ELSE 'Probe answered in time' END AS value FROM timed""",
     "cloudtrail": """SELECT event_id AS line_no, strftime(t, '%Y-%m-%dT%H:%M:%SZ') || ' ' || rip || ' '
       || CASE event_type WHEN 'click' THEN 'DescribeInstances' WHEN 'view' THEN 'GetObject'
            WHEN 'signup' THEN 'CreateUser' WHEN 'purchase' THEN 'AssumeRole'
@@ -82,7 +82,7 @@ _LINE_SQL = {
       || CASE event_type WHEN 'error' THEN 'F' WHEN 'signup' THEN 'E' WHEN 'view' THEN 'W'
            WHEN 'click' THEN 'I' ELSE 'D' END
       || ' Tag' || (user_id % 7) || '( ' || (1000 + event_id % 9000) || ') IP ' || rip || ' '
-      || CASE WHEN event_type = 'error' THEN 'Exploit attempted' ELSE 'Network socket opened' END
+      || CASE WHEN event_type = 'error' THEN 'Exploit blocked' ELSE 'Channel ready' END
       AS value FROM timed""",
 }
 

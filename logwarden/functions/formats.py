@@ -1,7 +1,7 @@
 """Line formats as column builders.
 
 Each format has two steps so that a line meets its regular expression once: ``pieces`` captures all
-groups in one pass (joined by newline, which no log line contains, then split), and ``record`` names
+groups in one pass (joined by newline, which no log line may contain, then split), and ``record`` names
 them. ``record`` is NULL when the line does not match.
 """
 
@@ -21,8 +21,10 @@ def _captures(pattern: str, groups: int) -> Callable[[Column], Column]:
     replacement = "\n".join(f"${i + 1}" for i in range(groups))
 
     def build(line: Column) -> Column:
+        # A value that holds a newline itself is no line.
+        one_line = F.when(~F.contains(line, F.lit("\n")), line)
         return F.split(
-            F.regexp_replace(line, java_pattern(pattern) + ".*", replacement), "\n"
+            F.regexp_replace(one_line, java_pattern(pattern) + ".*", replacement), "\n"
         )
 
     return build
@@ -164,7 +166,9 @@ class LineFormat:
 
 
 def _regex_format(pattern: str, groups: int, named) -> LineFormat:
-    return LineFormat(_captures(pattern, groups), lambda a: F.size(a) == groups, named)
+    return LineFormat(
+        _captures(pattern, groups), lambda a: F.coalesce(F.size(a), F.lit(-1)) == groups, named
+    )
 
 
 def line_formats(strict: bool = True, year: int = V.ANDROID_DEFAULT_YEAR) -> dict[str, LineFormat]:

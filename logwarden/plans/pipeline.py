@@ -150,15 +150,16 @@ def ingest(
 ) -> None:
     """Add lines to the store after its newest row, and to the raw archive.
 
-    A batch number can be used once; a second use raises instead of adding the rows again.
+    A batch number can be used once; a second use raises instead of adding the rows again. The archive is
+    written first: a repeat after a failure writes the same archive folder again, then the store.
     """
     store = lines.sparkSession.read.parquet(path)
     if store.filter(F.col("batch_id") == f"RDD-0{batch_number}").take(1):
         raise ValueError(f"batch {batch_number} is already in the store")
     newest = store.agg(F.max("ingest_seq")).first()[0]
     start = 0 if newest is None else newest + 1
-    write_store(_store_rows(lines, start, models, not full_places, batch_number), path, "append")
     append_raw(lines, archive, batch_number)
+    write_store(_store_rows(lines, start, models, not full_places, batch_number), path, "append")
 
 
 def _store_rows(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +31,12 @@ ROW_BITS = 24
 PARTITION_BITS = 14
 EARLIER_BLOCK = -1  # cells of earlier batches come before every cell of this one
 
+IDLE_BATCHES = 10_000  # an address without rows for so many batches loses its history
+
 CELL_SCHEMA = (
     "ip string, _second bigint, _block bigint, _cell bigint, _requests bigint, _failures bigint"
 )
+HISTORY_SCHEMA = f"{CELL_SCHEMA}, _seen bigint"
 
 
 def number_rows(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -55,8 +57,8 @@ def number_rows(batch: DataFrame, batch_id: int) -> DataFrame:
 def earlier_cells(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     """Cells the batch before ``batch_id`` left; none for the first batch."""
     if batch_id == 0:
-        return spark.createDataFrame([], CELL_SCHEMA)
-    return spark.read.schema(CELL_SCHEMA).parquet(_history_folder(state, batch_id - 1))
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(_history_folder(state, batch_id - 1))
 
 
 def _history_folder(state: str, batch_id: int) -> str:
@@ -67,23 +69,26 @@ def _history_folder(state: str, batch_id: int) -> str:
 def save_cells(parsed: DataFrame, earlier: DataFrame, state: str, batch_id: int) -> None:
     """Write the history after this batch: one row per address and second still in reach.
 
-    A repeated batch reads the same history again and writes the same result.
+    Reach is counted back from an address's own newest second, so another address's wrong clock cannot
+    cut it; addresses go after ``IDLE_BATCHES`` without rows. A repeated batch reads the same history
+    again and writes the same result.
     """
-    cells = count_cells(with_cell(parsed)).unionByName(earlier)
-    seconds = cells.groupBy("ip", "_second").agg(
-        F.sum("_requests").alias("_requests"), F.sum("_failures").alias("_failures")
+    cells = count_cells(with_cell(parsed)).withColumn("_seen", F.lit(batch_id).cast("bigint"))
+    seconds = cells.unionByName(earlier, allowMissingColumns=True).groupBy("ip", "_second").agg(
+        F.sum("_requests").alias("_requests"),
+        F.sum("_failures").alias("_failures"),
+        F.max("_seen").alias("_seen"),
     )
-    newest = cells.agg(F.max("_second")).first()[0]
-    kept = seconds
-    if newest is not None:
-        # A line dated in the future by a wrong clock must not push everyone else's history out.
-        newest = min(newest, int(time.time()) + ALLOWED_LATENESS_SECONDS)
-        reach = OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS
-        kept = seconds.filter(F.col("_second") >= newest - reach)
-    merged = kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint"))
-    merged.withColumn("_cell", cell_hash()).write.mode("overwrite").parquet(
-        _history_folder(state, batch_id)
+    newest = seconds.groupBy("ip").agg(
+        F.max("_second").alias("_newest"), F.max("_seen").alias("_last_seen")
     )
+    in_reach = F.col("_second") >= F.col("_newest") - (OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS)
+    kept = seconds.join(newest, seconds["ip"].eqNullSafe(newest["ip"])).drop(newest["ip"])
+    kept = kept.filter(in_reach & (F.col("_last_seen") > batch_id - IDLE_BATCHES))
+    merged = kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint"))
+    merged.withColumn("_cell", cell_hash()).drop("_newest", "_last_seen").write.mode(
+        "overwrite"
+    ).parquet(_history_folder(state, batch_id))
 
 
 def _with_history(
@@ -99,7 +104,7 @@ def _with_history(
         parsed = parse(numbered).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             earlier = earlier_cells(spark, state, batch_id)
-            use(parsed, earlier, batch_id)
+            use(parsed, earlier.drop("_seen"), batch_id)
             save_cells(parsed, earlier, state, batch_id)
         finally:
             parsed.unpersist()

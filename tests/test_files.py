@@ -64,6 +64,20 @@ def test_store_then_ingest(spark, store, tmp_path):
     assert spark.read.text(archive).count() == 5
 
 
+def test_failed_ingest_can_be_repeated(spark, lines, tmp_path, monkeypatch):
+    """A failure between archive and store leaves neither doubled nor lost lines."""
+    store, archive = str(tmp_path / "store2"), str(tmp_path / "archive2")
+    pipeline.build_store(lines([f'10.0.0.{i} - - [21/May/2026:10:00:0{i} +0000] "GET /p HTTP/1.1" 200 5' for i in range(3)]), store)
+    more = lines(['10.0.0.9 - - [21/May/2026:11:00:00 +0000] "GET /q HTTP/1.1" 200 5'] * 2)
+    with monkeypatch.context() as broken:
+        broken.setattr(pipeline, "write_store", lambda *a, **b: (_ for _ in ()).throw(OSError("full")))
+        with pytest.raises(OSError, match="full"):
+            pipeline.ingest(more, store, archive, batch_number=2)
+    pipeline.ingest(more, store, archive, batch_number=2)
+    assert spark.read.text(archive).count() == 2
+    assert spark.read.parquet(store).count() == 5
+
+
 def test_time_filter_prunes_dates(spark, store):
     plan = pipeline.read_store(spark, store).filter("event_date = '2026-05-21'").select("ip")
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -161,3 +161,10 @@ def test_line_meets_regex_once(lines):
     plan = parse_lines(lines([FULL])).filter("status = 404")._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("regexp_replace") == 1
+
+
+def test_value_with_newlines_is_no_line(spark):
+    value = "a\nb\nc\nd\ne\n200\n7"
+    rows = spark.createDataFrame([(1, value)], "line_no bigint, value string")
+    for strict in (True, False):
+        assert parse_lines(rows, "apache", strict=strict).count() == 0

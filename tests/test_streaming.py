@@ -109,3 +109,21 @@ def test_window_alerts(spark, folder, tmp_path):
         frames = spark.read.parquet(f"{path}/batch=*")
         assert frames.filter("count < 5").count() == 0
     assert floods.isStreaming
+
+
+def test_another_clock_does_not_cut_history(spark, lines, tmp_path):
+    """Two batches of one address, 5 s apart, with a far future line of another address in the first."""
+    from logwarden.operators.parse import parse_lines
+    from logwarden.operators.rates import add_trailing_counts
+    from logwarden.streaming import live
+
+    def web(ip, time):
+        return f'{ip} - - [{time} +0000] "GET /p HTTP/1.1" 200 5'
+
+    state = str(tmp_path / "state")
+    first = [web("10.0.0.1", "21/May/2020:10:00:00")] * 20 + [web("10.0.0.2", "21/Nov/2020:10:00:00")]
+    second = [web("10.0.0.1", "21/May/2020:10:00:05")] * 20
+    live.save_cells(parse_lines(lines(first), "apache"), live.earlier_cells(spark, state, 0), state, 0)
+    earlier = live.earlier_cells(spark, state, 1).drop("_seen")
+    counted = add_trailing_counts(parse_lines(lines(second), "apache"), earlier)
+    assert max(r.requests_10s for r in counted.collect()) == 40
