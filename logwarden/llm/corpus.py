@@ -44,7 +44,14 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def token_chunks(docs: DataFrame) -> DataFrame:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, so that one chunk at a time is in Python's memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def token_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write chunks of ``doc_id, text, mark`` (a long that callers may use) and read them back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +76,7 @@ def token_chunks(docs: DataFrame) -> DataFrame:
                 lengths.append(len(own))
                 parts.append(np.fromiter(map(local.__getitem__, own), np.uint32, len(own)))
                 size += len(text.as_buffer())
-                if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
+                if size >= chunk_bytes or len(ids) >= CHUNK_DOCS:
                     yield chunk()
                     n += 1
                     ids, marks, lengths, parts, size = [], [], [], [], 0

@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import id_and_text, text_or_empty
-from logwarden.llm.corpus import components, squeeze, token_chunks, unsqueeze
+from logwarden.llm.corpus import components, rows_of, squeeze, token_chunks, unsqueeze
 from logwarden.session import stage
 
 #: Shingles that one task counts, about.
 COUNTED = 2_000_000
+#: Bytes of text of a chunk; a task holds several arrays of eight bytes a word of it.
+CHUNK_BYTES = 8 << 20
+#: Bytes of sets that a task hands over at a time.
+HANDED = 2 << 20
 #: Classes of a block.
 BLOCK = 256
 #: Upper bits of a shingle by which document counts are kept. Equal ones only make a token look more common.
@@ -91,17 +95,16 @@ def _document_counts(chunks: DataFrame, size: int, shards: int) -> DataFrame:
     """``chunk, shard, classes``: for a chunk's distinct shingles of a shard, in order, how common each is."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, values = _sets_of(row, size)
-                keys, n = _counted(values)
-                bounds = np.searchsorted(keys, [(s << COUNT_BITS) // shards for s in range(shards + 1)])
-                for shard, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    if b > a:
-                        steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_pylist(
-                            [{"shard": shard, "chunk": row["chunk"], "steps": squeeze(steps), "n": squeeze(n[a:b].astype(np.uint32))}]
-                        )
+        for row in rows_of(batches):
+            _, _, values = _sets_of(row, size)
+            keys, n = _counted(values)
+            bounds = np.searchsorted(keys, [(s << COUNT_BITS) // shards for s in range(shards + 1)])
+            for shard, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                if b > a:
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    yield pa.RecordBatch.from_pylist(
+                        [{"shard": shard, "chunk": row["chunk"], "steps": squeeze(steps), "n": squeeze(n[a:b].astype(np.uint32))}]
+                    )
 
     def count(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -133,36 +136,40 @@ def _members(chunks: DataFrame, counts: DataFrame, size: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n_rows = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths, doc, value = _sets_of(row, size)
-                sizes = np.bincount(doc, minlength=len(lengths))
-                ends = np.cumsum(sizes)
-                keys, _ = _counted(value)
-                common = np.concatenate([unsqueeze(p["classes"]) for p in row["parts"] or []] or [np.empty(0, np.uint8)])
-                own = common[np.searchsorted(keys, value >> np.uint64(64 - COUNT_BITS))] if len(value) else common
-                reach = sizes - (percent * sizes + 99) // 100 + 1
-                rank = np.arange(len(doc)) - np.repeat(ends - sizes, sizes)
-                prefixes = []
-                for seed in SEEDS:
-                    order = np.lexsort((mixed(value, seed), own, doc))
-                    head = order[rank < reach[doc]]
-                    head = head[own[head] > 1]
-                    prefixes.append((doc[head], value[head]))
-                held = np.logical_and.reduce([np.bincount(d, minlength=len(lengths)) > 0 for d, _ in prefixes])
-                cuts = [np.searchsorted(d, np.arange(len(lengths) + 1)) for d, _ in prefixes]
-                out, seen = [], set()
-                for i, (doc_id, mark) in enumerate(zip(row["doc_ids"], row["marks"], strict=True)):
-                    tokens = value[ends[i] - sizes[i] : ends[i]]
-                    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                    carries = bool(held[i]) and digest not in seen
-                    seen.add(digest)
-                    out.append({
-                        "row": base + n_rows + i, "doc_id": doc_id, "mark": mark, "n": int(sizes[i]), "digest": digest,
-                        "tokens": tokens.tobytes() if carries else None,
-                        "prefixes": [v[c[i] : c[i + 1]].tobytes() for (_, v), c in zip(prefixes, cuts, strict=True)] if carries else None,
-                    })
-                n_rows += len(out)
+        for row in rows_of(batches):
+            lengths, doc, value = _sets_of(row, size)
+            sizes = np.bincount(doc, minlength=len(lengths))
+            ends = np.cumsum(sizes)
+            keys, _ = _counted(value)
+            common = np.concatenate([unsqueeze(p["classes"]) for p in row["parts"] or []] or [np.empty(0, np.uint8)])
+            own = common[np.searchsorted(keys, value >> np.uint64(64 - COUNT_BITS))] if len(value) else common
+            reach = sizes - (percent * sizes + 99) // 100 + 1
+            rank = np.arange(len(doc)) - np.repeat(ends - sizes, sizes)
+            prefixes = []
+            for seed in SEEDS:
+                order = np.lexsort((mixed(value, seed), own, doc))
+                head = order[rank < reach[doc]]
+                head = head[own[head] > 1]
+                prefixes.append((doc[head], value[head]))
+            held = np.logical_and.reduce([np.bincount(d, minlength=len(lengths)) > 0 for d, _ in prefixes])
+            cuts = [np.searchsorted(d, np.arange(len(lengths) + 1)) for d, _ in prefixes]
+            out, seen, size_out = [], set(), 0
+            for i, (doc_id, mark) in enumerate(zip(row["doc_ids"], row["marks"], strict=True)):
+                tokens = value[ends[i] - sizes[i] : ends[i]]
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                carries = bool(held[i]) and digest not in seen
+                seen.add(digest)
+                out.append({
+                    "row": base + n_rows + i, "doc_id": doc_id, "mark": mark, "n": int(sizes[i]), "digest": digest,
+                    "tokens": tokens.tobytes() if carries else None,
+                    "prefixes": [v[c[i] : c[i + 1]].tobytes() for (_, v), c in zip(prefixes, cuts, strict=True)] if carries else None,
+                })
+                size_out += tokens.nbytes if carries else 0
+                if size_out >= HANDED:
+                    yield pa.RecordBatch.from_pylist(out, schema=MEMBERS)
+                    out, size_out = [], 0
+            n_rows += len(lengths)
+            if out:
                 yield pa.RecordBatch.from_pylist(out, schema=MEMBERS)
 
     rows = chunks.join(gathered, "chunk", "left").select("doc_ids", "marks", "lengths", "tokens", "words", "parts")
@@ -308,7 +315,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent:
     document without words. No documents give no rows.
     """
     rows = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
-    chunks = token_chunks(rows)
+    chunks = token_chunks(rows, CHUNK_BYTES)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     counts = _document_counts(chunks, size, max(1, -(-n_words // COUNTED)))
     members = stage(_members(chunks, counts, size, percent), "members")
