@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import id_and_text
+from logwarden.session import stage
 
 #: Words of a k-mer and of an s-mer.
 K, S = 6, 2
@@ -119,9 +120,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = tops.select(
         "block", F.coalesce(F.lead("top").over(below), F.first("top").over(whole)).alias("top")
     )
+    # Written, so that Spark knows its size before it plans the join: a small one spares a shuffle of all texts.
+    heads = stage(heads, "heads")
     texts = (
         _placed(id_and_text(docs)).withColumnRenamed("place", "top")
-        .join(heads.select("top").distinct(), "top")
+        .join(heads.select("top"), "top")
         .groupBy("top").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
         .select("top", F.col("first.text").alias("head_text"))
     )
