@@ -3,8 +3,9 @@
 Pages are sorted by host and URL path, so pages of near addresses are neighbours. A page's text lines, one for
 each block of markup, are aligned with those of the nearest page that is not a copy of it by longest common
 subsequence. Lines that both share, at the same place in the markup, are the site's frame and are deleted.
-Markup that names its part (``nav``, ``footer``, ``class="sidebar"`` and so on) is left out before; lines
-inside ``article`` are what the page is about and are kept even when a neighbour quotes them.
+Markup that names its part (``nav``, ``footer``, ``class="sidebar"`` and so on) is left out before. Lines
+inside ``article`` may be quoted, so one neighbour is not enough to delete them: all different
+pages nearby must share them.
 """
 
 from __future__ import annotations
@@ -218,23 +219,33 @@ def _nearness(a: Page, b: Page) -> int:
     return n
 
 
+def _top(page: Page) -> int:
+    """The highest part that has text counts: ``article``, ``main``, a named block, else the whole page."""
+    return max((line.part for line in page.lines), default=OTHER)
+
+
+def _keys(page: Page, part: int) -> list[tuple[str, str]]:
+    return [(line.path, line.text) for line in page.lines if line.part == part]
+
+
 def kept_lines(page: Page, neighbours: list[Page]) -> list[Line]:
-    """The page's lines without those of its site's frame.
+    """The page's lines without those of its site's frame, which the nearest page that is no copy shares.
 
-    The highest part that has text counts: ``article``, ``main``, a named block, else the whole page.
+    Lines inside ``article`` are prose that a neighbour may quote: they go only if at least two neighbours that are
+    no copies have such a part and every one of these shares the line.
     """
-    top = max((line.part for line in page.lines), default=OTHER)
+    top = _top(page)
     own = [line for line in page.lines if line.part == top]
-    if top == ARTICLE:
-        return own
     size = sum(len(line.text) for line in own)
-    for other in sorted(neighbours, key=lambda p: -_nearness(page, p)):
-        theirs = [line for line in other.lines if line.part == top]
-        shared = common_lines([(x.path, x.text) for x in own], [(x.path, x.text) for x in theirs])
-        if sum(len(own[i].text) for i in shared) > COPY_SHARE * size:
-            continue
-        return [line for i, line in enumerate(own) if i not in shared or line.text.count(" ") >= PROSE_WORDS]
-    return own
+    near = sorted(neighbours, key=lambda p: -_nearness(page, p))
+    found = [common_lines(_keys(page, top), theirs) for p in near if (theirs := _keys(p, top)) or top != ARTICLE]
+    found = [shared for shared in found if sum(len(own[i].text) for i in shared) <= COPY_SHARE * size]
+    if not found:
+        return own
+    if top == ARTICLE:
+        by_all = set.intersection(*found) if len(found) > 1 else set()
+        return [line for i, line in enumerate(own) if i not in by_all]
+    return [line for i, line in enumerate(own) if i not in found[0] or line.text.count(" ") >= PROSE_WORDS]
 
 
 def _differenced(pages: Iterator[Page]) -> Iterator[tuple[Page, str]]:

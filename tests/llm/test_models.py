@@ -245,6 +245,20 @@ def test_pages_table(spark, sf_dir):
     assert html_text.main_text(table(spark, sf_dir, "pages").limit(0)).count() == 0
 
 
+def test_article_is_differenced(spark):
+    """Frame inside ``article`` goes, a line that one neighbour quotes stays."""
+    box = "<div>Share this</div><p>Licensed to all readers</p>"
+    quoted = {1: "<p>A sentence that two quote</p>", 2: "<p>A sentence that two quote</p>"}
+    got = extracted(spark, [
+        (i, f"http://a.com/x/{i}", f"<article><h1>Title {i}</h1>{quoted.get(i, '')}<p>own words of number {i} {'abcde'[i] * 9}</p>{box}</article>")
+        for i in range(5)
+    ] + [(9, "http://b.com/1", f"<article><p>alone</p>{box}</article>"), (10, "http://b.com/2", f"<article><p>both of two</p>{box}</article>")])
+    for i in range(5):
+        said = "A sentence that two quote " if i in quoted else ""
+        assert got[i] == f"Title {i} {said}own words of number {i} {'abcde'[i] * 9}"
+    assert got[9] == "alone Share this Licensed to all readers" and "Share this" in got[10]
+
+
 def test_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(200):
