@@ -4,7 +4,7 @@ Pages are sorted by host and URL path, so pages of near addresses are neighbours
 each block of markup, are aligned with those of the nearest page that is not a copy of it by longest common
 subsequence. Lines that both share, at the same place in the markup, are the site's frame and are deleted.
 Markup that names its part (``nav``, ``footer``, ``class="sidebar"`` and so on) is left out before. Lines
-inside ``article`` may be quoted, so one neighbour is not enough to delete them: all different
+inside ``article`` and long ones may be quoted, so one neighbour is not enough to delete them: all different
 pages nearby must share them.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import deque
+from collections import Counter, OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Neighbours on each side among which the nearest page is sought.
+#: Different pages on each side among which the nearest is sought; copies in between do not count.
 REACH = 3
-#: A page that shares more of its characters than this is a copy and tells nothing about the frame.
+#: A page that shares more than this of what is not frame is a copy and tells nothing about the frame.
 COPY_SHARE = 0.8
-#: Shared lines of more words are prose that both pages quote.
+#: Lines of more words may be prose that pages quote.
 PROSE_WORDS = 40
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
@@ -174,6 +174,8 @@ def common_lines(a: list, b: list) -> set[int]:
     place (Hunt and Szymanski), so time follows the number of matching pairs.
     """
     start, end_a, end_b = 0, len(a), len(b)
+    if set(a).isdisjoint(b):
+        return set()
     while start < end_a and start < end_b and a[start] == b[start]:
         start += 1
     while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
@@ -228,46 +230,120 @@ def _keys(page: Page, part: int) -> list[tuple[str, str]]:
     return [(line.path, line.text) for line in page.lines if line.part == part]
 
 
+def is_copy(a: Page, b: Page) -> bool:
+    """Whether two pages of a host have the same lines, or lines that differ in a few words only.
+
+    Lines that both share do not count, so a large frame around different text makes no copy.
+    """
+    part = _top(a)
+    if part != _top(b):
+        return False
+    own, theirs = _keys(a, part), _keys(b, part)
+    if own == theirs:
+        return True
+    mine, other = common_lines(own, theirs), common_lines(theirs, own)
+    rest_a = " ".join(text for i, (_, text) in enumerate(own) if i not in mine)
+    rest_b = " ".join(text for i, (_, text) in enumerate(theirs) if i not in other)
+    few, many = sorted((rest_a.count(" ") + bool(rest_a), rest_b.count(" ") + bool(rest_b)))
+    return few > COPY_SHARE * many and (Counter(rest_a.split(" ")) & Counter(rest_b.split(" "))).total() > COPY_SHARE * many
+
+
 def kept_lines(page: Page, neighbours: list[Page]) -> list[Line]:
     """The page's lines without those of its site's frame, which the nearest page that is no copy shares.
 
-    Lines inside ``article`` are prose that a neighbour may quote: they go only if at least two neighbours that are
-    no copies have such a part and every one of these shares the line.
+    What all neighbours share tells nothing about copies; a neighbour that also shares nearly all other lines
+    is a copy. Lines inside ``article`` and long ones are prose that a neighbour may quote: they go only if at
+    least two neighbours that are no copies have such a part and every one of these shares the line.
     """
     top = _top(page)
     own = [line for line in page.lines if line.part == top]
-    size = sum(len(line.text) for line in own)
+    keys = _keys(page, top)
     near = sorted(neighbours, key=lambda p: -_nearness(page, p))
-    found = [common_lines(_keys(page, top), theirs) for p in near if (theirs := _keys(p, top)) or top != ARTICLE]
-    found = [shared for shared in found if sum(len(own[i].text) for i in shared) <= COPY_SHARE * size]
+    pairs = [(common_lines(keys, theirs), theirs) for p in near if (theirs := _keys(p, top))]
+    # A page without a line of its own beside this one, or the other way round, may be a copy with more text.
+    found = [shared for shared, theirs in pairs if len(shared) < min(len(own), len(theirs))]
+    always = set.intersection(*found) if found else set()
+    found = [shared for shared in found if len(shared - always) <= COPY_SHARE * (len(own) - len(always))]
     if not found:
         return own
-    if top == ARTICLE:
-        by_all = set.intersection(*found) if len(found) > 1 else set()
-        return [line for i, line in enumerate(own) if i not in by_all]
-    return [line for i, line in enumerate(own) if i not in found[0] or line.text.count(" ") >= PROSE_WORDS]
+    by_all = set.intersection(*found) if len(found) > 1 else set()
+    prose = top == ARTICLE
+    return [
+        line for i, line in enumerate(own)
+        if i not in found[0] or (prose or line.text.count(" ") >= PROSE_WORDS) and i not in by_all
+    ]
 
 
-def _differenced(pages: Iterator[Page]) -> Iterator[tuple[Page, str]]:
-    """Each page and its text; holds a page and its neighbours only."""
-    near: deque[Page] = deque()
-    done = 0
+class Nearest:
+    """Settles the pages of one host in their order, each with the ``REACH`` different pages nearest on each side.
 
-    def settle(i: int) -> tuple[Page, str]:
-        page = near[i]
-        others = [near[j] for j in range(max(0, i - REACH), min(len(near), i + REACH + 1)) if j != i and near[j].host == page.host]
+    Copies of a page are one group, which the first of them stands for; a page waits until ``REACH`` other groups
+    have followed it, however many copies lie between. Waiting pages share the text of equal lines.
+    """
+
+    def __init__(self) -> None:
+        #: Number of the newest page of each group, oldest first.
+        self.seen: OrderedDict[int, int] = OrderedDict()
+        self.first: dict[int, Page] = {}
+        self.waiting: deque[tuple[int, int, Page, list[int]]] = deque()
+        self.lines: dict[Line, Line] = {}
+        self.n = 0
+
+    def add(self, page: Page) -> Iterator[tuple[Page, str]]:
+        page.lines = [self.lines.setdefault(line, line) for line in page.lines]
+        group = next((g for g in reversed(self.seen) if is_copy(page, self.first[g])), self.n)
+        self.first.setdefault(group, page)
+        before = [g for g in reversed(self.seen) if g != group][:REACH]
+        self.seen[group] = self.n
+        self.seen.move_to_end(group)
+        self.waiting.append((self.n, group, page, before))
+        self.n += 1
+        while self.waiting and len(self._after(*self.waiting[0][:2])) >= REACH:
+            yield self._settle()
+        self._forget()
+
+    def end(self) -> Iterator[tuple[Page, str]]:
+        while self.waiting:
+            yield self._settle()
+
+    def _after(self, number: int, group: int) -> list[int]:
+        out = []
+        for g in reversed(self.seen):
+            if self.seen[g] <= number:
+                break
+            if g != group:
+                out.append(g)
+        return out[::-1]
+
+    def _settle(self) -> tuple[Page, str]:
+        number, group, page, before = self.waiting.popleft()
+        others = [self.first[g] for g in dict.fromkeys(before + self._after(number, group))]
         return page, " ".join(line.text for line in kept_lines(page, others))
 
+    def _forget(self) -> None:
+        """Drop groups that no waiting page and no later one can meet, and lines once nobody holds many of them."""
+        needed = {g for _, _, _, before in self.waiting for g in before} if len(self.first) > 4 * REACH else set(self.first)
+        oldest = self.waiting[0][0] if self.waiting else self.n
+        for g in list(self.seen)[: -REACH - 1]:
+            if self.seen[g] >= oldest:
+                break
+            if g not in needed:
+                del self.seen[g]
+        for g in [g for g in self.first if g not in self.seen and g not in needed]:
+            del self.first[g]
+        if len(self.lines) > 10_000 and len(self.waiting) <= REACH:
+            self.lines.clear()
+
+
+def _differenced(pages: Iterator[Page]) -> Iterator[tuple[Page, str]]:
+    """Each page and its text, host by host."""
+    near, host = Nearest(), None
     for page in pages:
-        near.append(page)
-        if len(near) > done + REACH:
-            yield settle(done)
-            done += 1
-        if done > REACH:
-            near.popleft()
-            done -= 1
-    for i in range(done, len(near)):
-        yield settle(i)
+        if page.host != host:
+            yield from near.end()
+            near, host = Nearest(), page.host
+        yield from near.add(page)
+    yield from near.end()
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -259,6 +259,23 @@ def test_article_is_differenced(spark):
     assert got[9] == "alone Share this Licensed to all readers" and "Share this" in got[10]
 
 
+def test_frame_behind_copies_and_large_frames(spark):
+    """A run of copies does not hide the frame, nor does a frame larger than the text, nor a long notice."""
+    notice = "<div>" + " ".join(f"clause{i}" for i in range(60)) + "</div>"
+    bodies = [f"<p>{c * 6}</p>" for c in "abcd"]
+    got = extracted(spark, [(i, f"http://a.com/{i:03d}", page("<p>copied text</p>")) for i in range(40)] + [(99, "http://a.com/099", page("<p>other words</p>"))]
+                    + [(100 + i, f"http://c.com/{i}", page(b, notice)) for i, b in enumerate(bodies)])
+    assert {got[i] for i in range(40)} == {"copied text"} and got[99] == "other words"
+    assert [got[100 + i] for i in range(4)] == [c * 6 for c in "abcd"]
+
+
+def test_near_copies_tell_nothing(spark):
+    prose = ["first paragraph with some words", "second paragraph goes on here", "third one ends the text of it"]
+    text = lambda n: "".join(f"<p>{line}</p>" for line in prose) + f"<p>a last line that was edited in place {n} and then goes on</p>"
+    got = extracted(spark, [(i, f"http://a.com/{i}", page(text(i))) for i in range(5)] + [(9, "http://a.com/9", page("<p>other words</p>"))])
+    assert got[3] == " ".join(prose) + " a last line that was edited in place 3 and then goes on"
+
+
 def test_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(200):
