@@ -2,14 +2,17 @@
 
 Only lengths matter for a packing, and there are at most ``capacity`` of them. So the solver works on how
 many pieces there are of each length, a table bounded by the capacity whatever the corpus. It makes
-patterns: the largest length left, completed by the best undominated filling, used as often as the counts
-allow. Spark cuts the documents, counts lengths, ranks the pieces of each length and looks up the sequence
+patterns: the largest length left, completed by an undominated filling, used a number of times. A first packing
+takes the best filling as often as the counts allow; a branch and bound then goes back on fillings and on how
+often they are used, until the packing meets a lower bound or the search has made ``STEPS`` steps. Spark cuts the documents, counts lengths, ranks the pieces of each length and looks up the sequence
 and place of each rank.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,9 +25,15 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import id_and_text, text_encoder
 from logwarden.session import stage
 
+log = logging.getLogger(__name__)
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces of one length that one window group ranks, about.
 RANK_GROUP = 200_000
+#: Steps after which the search for fewer sequences ends, with the best packing so far.
+STEPS = 2_000_000
+#: Undominated fillings of one length that the search compares, times its allowance.
+FILLINGS = 64
 
 
 @dataclass(frozen=True)
@@ -36,12 +45,12 @@ class Pattern:
 
 
 class Completion:
-    """Bin completion on counts by length.
+    """A first packing by bin completion on counts by length; no filling is revisited.
 
     Around the largest length left, the search enumerates fillings from large pieces to small ones, so a
-    filling that another one dominates (same room, larger pieces) comes later and is not taken. Branches
-    whose room cannot beat the incumbent are cut; the incumbent at the start is the best-fit filling. A
-    filling that wastes nothing ends the search; so does ``nodes``, which leaves the incumbent.
+    filling that another one dominates (same room, larger pieces) comes later and is not taken. The incumbent
+    at the start is the best-fit filling. A filling that wastes nothing ends the search of one pattern; so does
+    ``nodes``, which leaves the incumbent.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 400):
@@ -108,35 +117,183 @@ class Completion:
         exact = self._pair(room, room, Counter())
         if exact:
             return list(exact)
-        stack: list[tuple[int, int, tuple[int, ...]]] = [(room, room, ())]
+        # Room, largest piece to add, pieces so far, and whether larger pieces were tried before.
+        stack: list[tuple[int, int, tuple[int, ...], bool]] = [(room, room, (), False)]
         while stack and budget and waste:
-            space, most, chosen = stack.pop()
-            budget -= 1
+            space, most, chosen, again = stack.pop()
             taken = Counter(chosen)
-            exact = self._pair(space, min(most, space), taken) if space else ()
-            if exact is not None:
-                return [*chosen, *exact]
-            fits = [x for x in np.flatnonzero(self.left[: min(most, space) + 1]).tolist() if self.left[x] > taken[x]]
-            if not fits:
-                if space < waste:
-                    best, waste = list(chosen), space
-                continue
-            for x in fits[-8:]:
-                stack.append((space - x, x, (*chosen, x)))
+            if not again:
+                budget -= 1
+                exact = self._pair(space, min(most, space), taken) if space else ()
+                if exact is not None:
+                    return [*chosen, *exact]
+            fits = np.flatnonzero(self.left[: min(most, space) + 1])
+            largest = next((int(x) for x in fits[::-1] if self.left[x] > taken[int(x)]), 0)
+            if largest:
+                stack.append((space, largest - 1, chosen, True))
+                stack.append((space - largest, largest, (*chosen, largest), False))
+            elif space < waste:
+                best, waste = list(chosen), space
         return best
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: Martello and Toth's bound L2."""
+    n = np.zeros(capacity + 1, np.int64)
+    for length, times in counts.items():
+        n[length] += times
+    upto, room = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    best = 0
+    for k in range(half + 1):
+        # Pieces over half need a sequence each; those of at most capacity - k leave room for the ones from k to half.
+        small = int(room[half] - (room[k - 1] if k else 0))
+        paired = int(upto[capacity - k] - upto[half])
+        free = paired * capacity - int(room[capacity - k] - room[half])
+        best = max(best, int(upto[capacity] - upto[half]) + max(0, -(-(small - free) // capacity)))
+    return best
+
+
+class Search:
+    """Branch and bound over undominated fillings of the largest length left and how often each is used.
+
+    ``waste`` is the room lost so far. A packing with one sequence less than the best has a fixed waste in
+    all, so a branch that wastes more is cut. Ways to go on are ordered by room left and by times (as often as
+    counts allow, half of that, and so on to once); a way costs its places in these orders, and rounds of
+    growing allowance try cheap deviations anywhere in a packing first. A packing at the lower bound ends the
+    search, as does ``steps``.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int, best: list[Pattern], steps: int = STEPS):
+        self.capacity, self.best, self.steps = capacity, best, steps
+        self.lengths = sorted((length for length, n in counts.items() if n), reverse=True)
+        self.rising = [-length for length in self.lengths]
+        self.left = [counts[length] for length in self.lengths]
+        self.total = sum(length * n for length, n in counts.items())
+        self.n = sum(p.times for p in best)
+        self.least = lower_bound(counts, capacity)
+
+    def patterns(self) -> list[Pattern]:
+        allowed = 1
+        while self.n > self.least and self.steps > 0 and self._round(allowed):
+            allowed += 1
+        return self.best
+
+    def _slack(self) -> int:
+        """Waste of a packing that is better by one sequence."""
+        return (self.n - 1) * self.capacity - self.total
+
+    def _round(self, allowed: int) -> bool:
+        """Try all packings of this allowance; whether a larger one may give others."""
+        path: list[tuple[int, int, Counter]] = []
+        waste = used = 0
+        self.cut = False
+        frames = [(0, self._ways(0, self._slack(), allowed))]
+        while frames and self.steps > 0 and self.n > self.least:
+            spent, ways = frames[-1]
+            way = next(ways, None)
+            if way is None:
+                frames.pop()
+                if path:
+                    times, room, uses = path.pop()
+                    waste, used = waste - times * room, used - times
+                    self._give(uses, times)
+                continue
+            self.steps -= 1
+            cost, room, times, uses = way
+            if waste + times * room > self._slack():
+                continue
+            self._give(uses, -times)
+            waste, used = waste + times * room, used + times
+            path.append((times, room, uses))
+            largest = next((i for i in range(min(uses), len(self.left)) if self.left[i]), None)
+            if largest is not None:
+                frames.append((spent + cost, self._ways(largest, self._slack() - waste, allowed - spent - cost)))
+                continue
+            self.n = used
+            self.best = [Pattern(tuple(self.lengths[i] for i in sorted(u.elements())), t) for t, _, u in path]
+            frames.append((0, iter(())))
+        for times, _, uses in path:
+            self._give(uses, times)
+        return self.cut
+
+    def _give(self, uses: Counter, times: int) -> None:
+        for i, n in uses.items():
+            self.left[i] += n * times
+
+    def _ways(self, largest: int, slack: int, allowed: int) -> Iterator[tuple[int, int, int, Counter]]:
+        """Cost, room left, times and use of lengths, cheapest first."""
+        found: list[tuple[int, int, Counter]] = []
+        fillings = self._fillings(largest, slack)
+        for filling, room in fillings:
+            found.append((room, len(found), Counter(filling)))
+            if len(found) >= FILLINGS * (allowed + 1):
+                self.cut = True
+                fillings.close()
+        found.sort(key=lambda f: f[:2])
+        self.cut = self.cut or len(found) > allowed + 1
+        ways = []
+        for rank, (room, _, uses) in enumerate(found[: allowed + 1]):
+            times = min(self.left[i] // n for i, n in uses.items())
+            times = min(times, slack // room) if room else times
+            cost = rank
+            while times and cost <= allowed:
+                ways.append((cost, room, times, uses))
+                times, cost = times // 2, cost + 1
+            self.cut = self.cut or times > 0
+        return iter(sorted(ways, key=lambda w: w[:2]))
+
+    def _fillings(self, largest: int, slack: int) -> Iterator[tuple[list[int], int]]:
+        """Undominated fillings that waste at most ``slack``, as places in ``lengths``, large pieces first."""
+        lengths, left = self.lengths, self.left
+        chosen, room, at = [largest], self.capacity - lengths[largest], largest
+        left[largest] -= 1
+        try:
+            while True:
+                at = max(at, bisect_left(self.rising, -room))
+                while at < len(left) and not left[at]:
+                    at += 1
+                    self.steps -= 1
+                self.steps -= 1
+                if at < len(left):
+                    chosen.append(at)
+                    left[at] -= 1
+                    room -= lengths[at]
+                    continue
+                if room <= slack and not self._dominated(chosen, room):
+                    yield list(chosen), room
+                if len(chosen) == 1 or self.steps < 0:
+                    break
+                at = chosen.pop()
+                left[at] += 1
+                room += lengths[at]
+                at += 1
+        finally:
+            for i in chosen:
+                left[i] += 1
+
+    def _dominated(self, chosen: list[int], room: int) -> bool:
+        """Whether a piece left over fits in the room, alone or in place of a smaller one."""
+        lengths, left = self.lengths, self.left
+        if any(left[i] for i in range(bisect_left(self.rising, -room), len(left))):
+            return True
+        for i in set(chosen[1:]):
+            if any(left[j] for j in range(bisect_left(self.rising, -(lengths[i] + room)), i)):
+                return True
+        return False
+
+
 def best_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """The packing with the fewest sequences among searches of growing effort; ends at the lower bound."""
-    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    """The packing with the fewest sequences among first packings of growing effort and the search from there."""
+    least = lower_bound(counts, capacity)
     best: list[Pattern] = []
     for nodes in (50, 400, 2_000):
         found = Completion(counts, capacity, nodes).patterns()
         if not best or sum(p.times for p in found) < sum(p.times for p in best):
             best = found
         if sum(p.times for p in best) <= least:
-            break
-    return best
+            return best
+    return Search(counts, capacity, best).patterns()
 
 
 @dataclass(frozen=True)
@@ -222,7 +379,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int, capacity:
     """
     pieces = stage(cut_documents(docs, path, end_id, capacity), "pieces")
     counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = Slots.of(best_patterns(counts, capacity))
+    patterns = best_patterns(counts, capacity)
+    log.info("%d sequences, at least %d needed", sum(p.times for p in patterns), lower_bound(counts, capacity))
+    slots = Slots.of(patterns)
     place = spark.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,3 +169,30 @@ def test_hot_length_is_ranked_in_parts(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_GROUP", 10)
     pieces = spark.range(500).selectExpr("id % 400 AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "7L AS ids_crc32")
     assert sorted(r["rank"] for r in packing.ranked(pieces, 500).collect()) == list(range(500))
+
+
+def test_fillings_are_revisited():
+    """Few lengths, many pieces: committing the first filling found gave 3,250 sequences here."""
+    counts = {1912: 1000, 1774: 1000, 1638: 2000, 1502: 1000, 1366: 1000, 1092: 1000, 956: 1000}
+    patterns = packing.best_patterns(counts, 4096)
+    used = Counter()
+    for p in patterns:
+        assert sum(p.lengths) <= 4096 and p.times > 0
+        for length in p.lengths:
+            used[length] += p.times
+    assert used == counts
+    assert packing.lower_bound(counts, 4096) == 2900 <= sum(p.times for p in patterns) <= 3000
+
+
+def test_search_finds_the_fewest(monkeypatch):
+    monkeypatch.setattr(packing, "FILLINGS", 2)
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = sorted(rng.integers(5, 16, 9).tolist(), reverse=True)
+        counts = dict(Counter(lengths))
+        alone = [packing.Pattern((length,), 1) for length in lengths]
+        search = packing.Search(counts, 30, alone)
+        patterns = search.patterns()
+        assert Counter(x for p in patterns for x in p.lengths * p.times) == Counter(lengths)
+        assert search.left == [counts[length] for length in search.lengths]
+        assert packing.lower_bound(counts, 30) <= sum(p.times for p in patterns) == fewest(lengths, 30)
