@@ -2,13 +2,12 @@
 
 Words are hashed; an s-mer is two words in a row, a k-mer is six. A k-mer is a closed syncmer when the
 smallest hash among its five s-mers is the first or the last one. Whether it is chosen depends on its own
-words alone, so equal passages keep equal anchors wherever they stand. A fingerprint holds the 64 anchors
-with the smallest hashes, in text order; two fingerprints are as alike as the share of the 64 smallest
-anchors of both that both hold.
+words alone, so equal passages keep equal anchors wherever they stand. All anchors are kept: two texts are as
+alike as the share of the anchors of both that both hold.
 
-Texts with fewer than four anchors use their word hashes instead. A text without words has the empty
-fingerprint. Letter case and white space do not count. Equal fingerprints have likeness 1, an empty one
-against any other 0.
+A text with fewer than four anchors is compared by its words instead. A fingerprint as text is a digest of bounded length: the 64 anchors with the smallest hashes, in text order, or the words if
+there are fewer than four anchors. A text without words has the empty fingerprint. Letter case and white space
+do not count. Equal texts have likeness 1, an empty one against any other 0.
 """
 
 from __future__ import annotations
@@ -21,16 +20,16 @@ from logwarden.session import stage
 
 #: Words of a k-mer and of an s-mer.
 K, S = 6, 2
-#: Anchors that a fingerprint keeps.
+#: Anchors in a fingerprint as text; nothing is compared by it.
 KEPT = 64
-#: With fewer anchors the words themselves are the anchors.
+#: A text with fewer anchors is compared by its words.
 LEAST = 4
 #: Documents next to each other in ``doc_id`` that one window group holds at most, when ids are distinct.
 ID_BLOCK = 8_192
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the array of anchor hashes, distinct and in text order.
+    """Add the array of anchor hashes and, as ``{out}_words``, that of word hashes; distinct and in text order.
 
     Each step is a column of its own, so no step is computed twice.
     """
@@ -60,39 +59,44 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         )
     """
     step = step.withColumn(chosen, F.expr(f"if(size({hashes}) < {K}, array(), {closed})"))
-    enough = F.when(F.size(chosen) >= LEAST, F.col(chosen)).otherwise(F.col(hashes))
-    return step.withColumn(out, F.array_distinct(enough)).drop(hashes, pairs, chosen)
+    step = step.withColumn(out, F.array_distinct(chosen)).withColumn(f"{out}_words", F.array_distinct(hashes))
+    return step.drop(hashes, pairs, chosen)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the fingerprint: the ``KEPT`` anchors of least hash, in text order."""
-    anchors, least = f"{out}__anchors", f"{out}__least"
-    step = with_anchors(df, text, anchors)
-    step = step.withColumn(least, F.get(F.sort_array(anchors), F.lit(KEPT - 1)))
-    kept = F.when(F.col(least).isNull(), F.col(anchors)).otherwise(
-        F.filter(F.col(anchors), lambda a: a <= F.col(least))
-    )
-    return step.withColumn(out, kept).drop(anchors, least)
+def with_fingerprint_text(df: DataFrame, anchors: str, out: str) -> DataFrame:
+    """Add sixteen hex digits for each of the ``KEPT`` least anchors, in text order, of a column of ``with_anchors``."""
+    own, least = f"{out}__own", f"{out}__least"
+    step = df.withColumn(own, F.when(F.size(anchors) >= LEAST, F.col(anchors)).otherwise(F.col(f"{anchors}_words")))
+    # A column of its own, asked for twice, so that it is not computed for each anchor.
+    step = step.withColumn(least, F.get(F.sort_array(own), F.lit(KEPT - 1)))
+    kept = F.when(F.col(least).isNull(), F.col(own)).otherwise(F.filter(own, lambda a: a <= F.col(least)))
+    digits = F.concat_ws("", F.transform(kept, lambda a: F.lpad(F.hex(a), 16, "0")))
+    return step.withColumn(out, digits).drop(own, least)
 
 
-def fingerprint_text(fingerprint: Column) -> Column:
-    """Sixteen hex digits for each anchor."""
-    return F.concat_ws("", F.transform(fingerprint, lambda a: F.lpad(F.hex(a), 16, "0")))
+def _shared(a: Column, b: Column) -> Column:
+    """Share of the values of two arrays of distinct values that both hold; 1 if both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0)), F.lit(1.0))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the least anchors of both that both hold, 0 to 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
-        F.coalesce(shared.cast("double") / F.nullif(F.size(union), F.lit(0)), F.lit(0.0))
-    )
+    """Share of the anchors of both that both hold, 0 to 1, for two columns of ``with_anchors``.
+
+    A text with few anchors has its words in their place.
+    """
+    own = lambda x: F.when(F.size(x) >= LEAST, F.col(x)).otherwise(F.col(f"{x}_words"))
+    return _shared(own(a), own(b))
 
 
 def anchor_positions(docs: DataFrame) -> DataFrame:
-    """``doc_id, anchor, place``: the kept anchors and their order, for positional matching by a join."""
-    marked = with_fingerprint(id_and_text(docs), "text", "anchors")
-    return marked.select("doc_id", F.posexplode("anchors").alias("place", "anchor"))
+    """``doc_id, anchor, place``: all anchors and their order, for positional matching by a join.
+
+    A text with few anchors holds its words instead.
+    """
+    marked = with_anchors(id_and_text(docs), "text", "anchors")
+    own = F.when(F.size("anchors") >= LEAST, F.col("anchors")).otherwise(F.col("anchors_words"))
+    return marked.select("doc_id", F.posexplode(own).alias("place", "anchor"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -103,16 +107,15 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, fp`` with ``next_text, next_fp``: the next document by descending id, cyclic.
+    """``doc_id, text`` with ``next_text``: the next document by descending id, cyclic.
 
     Blocks of ids are window groups. What follows the lowest document of a block is the highest one of
     the next block below that has any; these heads are one row per block. Equal ids follow each other by
-    text; a null id counts as the least.
+    text; a null id counts as the least. Only texts are exchanged; anchors are made after.
     """
-    own = with_fingerprint(id_and_text(docs), "text", "fp")
-    rows = _placed(own)
+    rows = _placed(id_and_text(docs))
     order = Window.partitionBy("block").orderBy(F.col("place").desc(), F.xxhash64("text"), "text")
-    following = F.lead(F.struct("text", "fp")).over(order)
+    following = F.lead("text").over(order)
 
     tops = _placed(id_and_text(docs).select("doc_id")).groupBy("block").agg(F.max("place").alias("top"))
     below = Window.orderBy(F.col("block").desc())
@@ -128,13 +131,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         .groupBy("top").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
         .select("top", F.col("first.text").alias("head_text"))
     )
-    heads = with_fingerprint(heads.join(texts, "top").drop("top"), "head_text", "head_fp")
+    heads = heads.join(texts, "top").drop("top")
     linked = rows.withColumn("following", following).join(heads, "block")
-    return linked.select(
-        "doc_id", "text", "fp",
-        F.coalesce("following.text", "head_text").alias("next_text"),
-        F.coalesce("following.fp", "head_fp").alias("next_fp"),
-    )
+    return linked.select("doc_id", "text", F.coalesce("following", "head_text").alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -147,13 +146,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     step = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     )
-    step = step.drop("text", "next_text")
-    step = with_fingerprint(step, "edited", "edited_fp")
+    for text, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
+        step = with_anchors(step, text, out)
+    step = with_fingerprint_text(step, "fp", "fingerprint")
+    step = with_fingerprint_text(step, "edited_fp", "edited_fingerprint")
     return step.select(
         "doc_id", "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint_text(F.col("fp")).alias("fingerprint"),
-        fingerprint_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "fingerprint", "edited_fingerprint",
         likeness("fp", "edited_fp").alias("near_edited"),
         likeness("fp", "next_fp").alias("near_next"),
     )

@@ -127,6 +127,24 @@ def test_syncmers_depend_on_their_words_alone(spark):
     assert sets[1] <= sets[2] and sets[1] <= sets[3]
 
 
+def test_long_texts_share_a_short_passage(spark):
+    """A passage in two long texts leaves common anchors, however many anchors the texts have."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = lambda mark: " ".join(f"{mark}{i}" for i in range(4000))
+    rows = [(2, f"{long('a')} {passage} {long('b')}"), (1, f"{long('c')} {passage} {long('d')}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(docs).collect()}
+    own = fingerprints.anchor_positions(docs)
+    places = {doc_id: [r.anchor for r in own.where(f"doc_id = {doc_id}").orderBy("place").collect()] for doc_id in (1, 2)}
+    shared = set(places[1]) & set(places[2])
+    assert len(places[1]) > 2000 and 10 < len(shared) < 56
+    assert [a for a in places[1] if a in shared] == [a for a in places[2] if a in shared]
+    expected = len(shared) / (len(places[1]) + len(places[2]) - len(shared))
+    assert near[1] == near[2] == pytest.approx(expected)
+    texts = {len(r.fingerprint) for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert texts == {16 * fingerprints.KEPT}
+
+
 def brute_nearest(rows, k=20):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
     return {int(ids[i]): sorted((-float(x[j] @ x[i]), int(ids[j])) for j in range(len(ids)) if j != i)[:k] for i in range(len(ids)) if ids[i] % 20 == 0}
