@@ -5,7 +5,8 @@ smallest hash among its five s-mers is the first or the last one. Whether it is
 words alone, so equal passages keep equal anchors wherever they stand. All anchors are kept: two texts are as
 alike as the share of the anchors of both that both hold.
 
-A text with fewer than four anchors is compared by its words instead. A fingerprint as text is a digest of bounded length: the 64 anchors with the smallest hashes, in text order, or the words if
+When one of two texts has fewer than four anchors, the words of both are compared instead. A fingerprint as
+text is a digest of bounded length: the 64 anchors with the smallest hashes, in text order, or the words if
 there are fewer than four anchors. A text without words has the empty fingerprint. Letter case and white space
 do not count. Equal texts have likeness 1, an empty one against any other 0.
 """
@@ -74,7 +75,7 @@ def with_fingerprint_text(df: DataFrame, anchors: str, out: str) -> DataFrame:
     return step.withColumn(out, digits).drop(own, least)
 
 
-def _shared(a: Column, b: Column) -> Column:
+def _shared(a: str, b: str) -> Column:
     """Share of the values of two arrays of distinct values that both hold; 1 if both are empty."""
     shared = F.size(F.array_intersect(a, b))
     return F.coalesce(shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0)), F.lit(1.0))
@@ -83,19 +84,19 @@ def _shared(a: Column, b: Column) -> Column:
 def likeness(a: str, b: str) -> Column:
     """Share of the anchors of both that both hold, 0 to 1, for two columns of ``with_anchors``.
 
-    A text with few anchors has its words in their place.
+    Anchors are compared with anchors, or words with words if either text has few anchors.
     """
-    own = lambda x: F.when(F.size(x) >= LEAST, F.col(x)).otherwise(F.col(f"{x}_words"))
-    return _shared(own(a), own(b))
+    enough = (F.size(a) >= LEAST) & (F.size(b) >= LEAST)
+    return F.when(enough, _shared(a, b)).otherwise(_shared(f"{a}_words", f"{b}_words"))
 
 
 def anchor_positions(docs: DataFrame) -> DataFrame:
     """``doc_id, anchor, place``: all anchors and their order, for positional matching by a join.
 
-    A text with few anchors holds its words instead.
+    A text with few anchors holds its words after them, so that it meets other short texts too.
     """
     marked = with_anchors(id_and_text(docs), "text", "anchors")
-    own = F.when(F.size("anchors") >= LEAST, F.col("anchors")).otherwise(F.col("anchors_words"))
+    own = F.when(F.size("anchors") >= LEAST, F.col("anchors")).otherwise(F.concat("anchors", "anchors_words"))
     return marked.select("doc_id", F.posexplode(own).alias("place", "anchor"))
 
 

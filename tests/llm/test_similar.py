@@ -127,6 +127,18 @@ def test_syncmers_depend_on_their_words_alone(spark):
     assert sets[1] <= sets[2] and sets[1] <= sets[3]
 
 
+def test_short_texts_are_compared_alike(spark):
+    """Texts on both sides of the least number of anchors share words, so their likeness is not 0."""
+    words = [f"v{i * 7 % 31}" for i in range(24)]
+    docs = spark.createDataFrame([(n, " ".join(words[:n])) for n in range(1, 25)], "doc_id long, text string")
+    marked = {r.doc_id: len(r.a) for r in fingerprints.with_anchors(docs, "text", "a").collect()}
+    assert min(marked.values()) < fingerprints.LEAST <= max(marked.values())
+    got = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(docs).collect()}
+    sides = [n for n in range(2, 25) if (marked[n] < fingerprints.LEAST) != (marked[n - 1] < fingerprints.LEAST)]
+    assert sides and all(got[n] == pytest.approx((n - 1) / n) for n in sides)
+    assert min(got[n] for n in range(2, 25)) > 0
+
+
 def test_long_texts_share_a_short_passage(spark):
     """A passage in two long texts leaves common anchors, however many anchors the texts have."""
     passage = " ".join(f"p{i}" for i in range(60))
