@@ -1,5 +1,28 @@
-"""DuckDB SQL for the queries of this folder that SQL can express."""
+"""DuckDB SQL of the registered queries of this folder that SQL can express."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+THRESHOLD_NEGATIVES = """
+WITH sound AS (
+  SELECT vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same,
+    CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM sound a JOIN sound r ON a.vec_id % 100 = 0 AND (a.vec_id <> r.vec_id OR a.label <> r.label)),
+positives AS (
+  SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5),
+mined AS (
+  SELECT p.anchor_id, p.positive_id, n.row_id AS negative_id, p.positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.row_id) AS rank
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM mined WHERE rank <= 5"""
+
+ORACLE: dict[str, str] = {"op11_threshold_negatives": THRESHOLD_NEGATIVES}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import (
-    bpe, fingerprints, html_text, jaccard, lm, neighbours, packing, quality, token_blocks, toxicity,
+    bpe, fingerprints, hard_negatives, html_text, jaccard, lm, neighbours, packing, quality, repair, token_blocks,
+    toxicity, weak_rules,
 )
 from logwarden.llm.common import table, vocabulary_path
 
@@ -59,6 +60,21 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(spark, table(spark, sf, "embeddings"))
 
 
+def threshold_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(spark, table(spark, sf, "embeddings"), moved, lambda vec_id: vec_id % 100 == 0)
+
+
+def conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair_digests(repair.damaged(table(spark, sf, "conversations")))
+
+
+def rule_quality(spark: SparkSession, sf: str) -> DataFrame:
+    judged, _ = weak_rules.quality_votes(table(spark, sf, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, "p_good")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_scores": lm_scores,
@@ -71,4 +87,7 @@ def registered() -> dict[str, Query]:
         "op8_best_fit_packing": best_fit,
         "op9_hilbert_neighbours": nearest_vectors,
         "op10_forced_boundary_bpe": bpe_coding,
+        "op11_threshold_negatives": threshold_negatives,
+        "op12_conversation_repair": conversation_repair,
+        "op13_weak_supervision": rule_quality,
     }
