@@ -12,28 +12,16 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logwarden.llm.common import CACHE_ENTRIES, id_and_text, id_bytes
+from logwarden.llm.common import Cache, byte_letters, id_and_text, id_bytes, kept_coder
 
 CODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies (a fixed format).
-
-    Printable Latin-1 bytes stand for themselves; the others follow from U+0100 on, in byte order.
-    """
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = (b for b in range(256) if b not in printable)
-    shifted = {b: chr(0x100 + i) for i, b in enumerate(others)}
-    return {b: chr(b) if b in printable else shifted[b] for b in range(256)}
-
-
 def inner_model(model: dict):
     """The vocabulary's merges without its end-of-word mark, for fragments that do not end a word."""
     from tokenizers.models import BPE
@@ -63,8 +51,8 @@ class ForcedBoundaryCoder:
             self.tokens[i] = token
         letters = byte_letters()
         self.bytes_of = {letter: byte for byte, letter in letters.items()}
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.inner, self.last = Cache(self._merge_inner), Cache(self._merge_last)
+        self.words = Cache(lambda word: self._part(word.decode()))
         self.joined = self._joined_pairs()
         spaces = {letters[byte] for byte in b" \t\n\x0b\x0c\r"}
         #: No token holds white space beside another byte, and white space alone has no ids.
@@ -89,19 +77,12 @@ class ForcedBoundaryCoder:
         ends.append(len(letters))
         return [letters[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def fragment(self, letters: str, last: bool) -> list[int]:
-        """Ids of one fragment; ``last``: it ends its word."""
-        known = self.fragments.get((letters, last))
-        if known is None:
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            known = self.fragments[letters, last] = self._merge(letters, last)
-        return known
+    def _merge_inner(self, letters: str) -> list[int]:
+        """The library's merges of a fragment that does not end its word, so that it has no end-of-word mark."""
+        return [token.id for token in self.inner_model.tokenize(letters)]
 
-    def _merge(self, letters: str, last: bool) -> list[int]:
-        """The library's merges; only the last fragment of a word carries the end-of-word mark."""
-        model = self.library.model if last else self.inner_model
-        return [token.id for token in model.tokenize(letters)]
+    def _merge_last(self, letters: str) -> list[int]:
+        return [token.id for token in self.library.model.tokenize(letters)]
 
     def _segment(self, text: str) -> list[int]:
         """Ids of text without added tokens: normalised and pre-tokenised by the library, then cut."""
@@ -112,8 +93,8 @@ class ForcedBoundaryCoder:
         for letters, _ in library.pre_tokenizer.pre_tokenize_str(text):
             pieces = self.cut(letters)
             for piece in pieces[:-1]:
-                ids += self.fragment(piece, False)
-            ids += self.fragment(pieces[-1], True)
+                ids += self.inner[piece]
+            ids += self.last[pieces[-1]]
         return ids
 
     def _part(self, text: str) -> bytes:
@@ -131,15 +112,7 @@ class ForcedBoundaryCoder:
         """Little-endian 32-bit ids of a whole text."""
         if not self.spaces_cut:
             return self._part(text)
-        known, out = self.words, []
-        for word in text.encode().split():
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE_ENTRIES:
-                    known.clear()
-                ids = known[word] = self._part(word.decode())
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def decode(self, ids: bytes) -> str:
         tokens = map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())
@@ -154,9 +127,8 @@ class ForcedBoundaryCoder:
         return b"".join(parts).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> ForcedBoundaryCoder:
-    return ForcedBoundaryCoder(path)
+    return kept_coder(ForcedBoundaryCoder, path)
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-#: Entries that a worker's cache holds at most; it is emptied and filled anew when full.
-CACHE_ENTRIES = 600_000
+#: Bytes that one generation of a worker's cache holds, about, and what an entry costs beside its key and value.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 130
 
 #: White space beyond ASCII, fixed by Unicode.
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -52,43 +52,104 @@ _RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _MARKS = b".,;:!?#$%&*"
 
 
-class PieceCache(dict):
-    """Little-endian 32-bit ids by piece of text; what is missing is encoded once by the library."""
+class Cache(dict):
+    """Values made on demand and kept for two generations, so that memory is bounded and what recurs stays.
 
-    def __init__(self, encode, before: str = ""):
+    When a generation has its bytes it becomes the older one; an entry met again in the older one is
+    carried over, the others go with it.
+    """
+
+    def __init__(self, make, room: int | None = None):
         super().__init__()
-        self._encode, self._before = encode, before
-        self._marks = _Marks(encode)
+        self._make, self._older = make, {}
+        self._room = self._left = CACHE_BYTES if room is None else room
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, key):
+        value = self._older.get(key)
+        return self._kept(key, self._make(key) if value is None else value)
+
+    def _kept(self, key, value):
+        self._left -= len(key) + len(value) + ENTRY_BYTES
+        if self._left < 0:
+            self._older, self._left = dict(self), self._room
             self.clear()
-        word = piece.rstrip(_MARKS)
-        if word[-1:].isalpha() and len(word) < len(piece):
-            # A mark after a letter starts a pre-token of its own; words come with many marks.
-            ids = self[word] + self._marks[piece[len(word) :]]
-        else:
-            ids = id_bytes(self._encode(self._before + piece.decode()))
-        self[piece] = ids
-        return ids
+        self[key] = value
+        return value
 
 
-class _Marks(dict):
-    """Ids of runs of marks."""
+class PieceCache(Cache):
+    """Little-endian 32-bit ids by piece of text, for pieces without white space.
 
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
+    ``make_marks`` gives those of the marks that follow a piece's last letter.
+    """
 
-    def __missing__(self, marks: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self[marks] = id_bytes(self._encode(marks.decode()))
-        return ids
+    def __init__(self, make, make_marks):
+        super().__init__(make)
+        self._of_marks = Cache(make_marks)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self._older.get(piece)
+        if ids is None:
+            word = piece.rstrip(_MARKS)
+            if len(word) < len(piece) and word[-1:].isalpha():
+                # A mark after a letter starts a pre-token of its own. Only words that have come before
+                # are stored with their marks too, as most words come once.
+                known = word in self
+                ids = self[word] + self._of_marks[piece[len(word) :]]
+                if not known:
+                    return ids
+            else:
+                ids = self._make(piece)
+        return self._kept(piece, ids)
+
+
+#: Packs so many ids; longer pieces are rare.
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies (a fixed format).
+
+    Printable Latin-1 bytes stand for themselves; the others follow from U+0100 on, in byte order.
+    """
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    shifted = {b: chr(0x100 + i) for i, b in enumerate(others)}
+    return {b: chr(b) if b in printable else shifted[b] for b in range(256)}
+
+
+class _Words:
+    """Ids of single words straight from the vocabulary's merges, without normaliser and pre-tokeniser.
+
+    Only for words of letters that the library itself takes one by one: ASCII letters, and those Latin ones
+    of which it makes the same pre-token as this class does when asked at the start.
+    """
+
+    def __init__(self, library):
+        self._tokenize = library.model.tokenize
+        self._letters = {byte: letter for byte, letter in byte_letters().items()}
+        self._lowers = library.normalizer is not None and library.normalizer.normalize_str("A") == "a"
+        split = library.pre_tokenizer.pre_tokenize_str
+        normal = library.normalizer.normalize_str if library.normalizer is not None else str
+
+        def is_plain(letter: str) -> bool:
+            word = f"a{letter}{letter}a"
+            return [piece for piece, _ in split(normal(word))] == [self._pre_token(word)]
+
+        letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+        self.plain = re.compile("[" + "".join(filter(is_plain, letters)) + "]+").fullmatch
+
+    def _pre_token(self, word: str) -> str:
+        word = word.lower() if self._lowers else word
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+
+    def ids(self, word: str, space: str = "") -> bytes:
+        """Of a plain word; ``space`` is the letter of a space before it."""
+        return id_bytes([token.id for token in self._tokenize(space + self._pre_token(word))])
 
 
 class TextEncoder:
@@ -107,8 +168,20 @@ class TextEncoder:
         library.no_padding()
         library.no_truncation()
         self._whole = lambda text: library.encode(text, add_special_tokens=False).ids
-        self._cache = PieceCache(self._whole)
-        self._after_space = PieceCache(self._whole, " ")
+        words, space = _Words(library), byte_letters()[32]
+
+        def first(piece: bytes) -> bytes:
+            text = piece.decode()
+            return words.ids(text) if words.plain(text) else id_bytes(self._whole(text))
+
+        def after_space(piece: bytes) -> bytes:
+            text = piece.decode()
+            return words.ids(text, space) if words.plain(text) else id_bytes(self._whole(" " + text))
+
+        def alone(piece: bytes) -> bytes:
+            return id_bytes(self._whole(piece.decode()))
+
+        self._cache, self._after_space = PieceCache(first, alone), PieceCache(after_space, alone)
         self._line_end = id_bytes(self._whole("\n"))
         self._special = [t.content for t in library.get_added_tokens_decoder().values()]
         # A vocabulary that keeps white space gives ids for a space alone.
@@ -133,10 +206,25 @@ class TextEncoder:
         return b"".join(parts[1:])
 
 
-@lru_cache(maxsize=2)
+#: The one coder that a Python worker keeps, by its class and vocabulary.
+_kept: dict[tuple, object] = {}
+
+
+def kept_coder(kind, path: str):
+    """A worker's coder of this kind, kept from task to task until another one is asked for."""
+    if (kind, path) not in _kept:
+        drop_coder()
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
+
+
+def drop_coder() -> None:
+    """Free a worker's coder and its caches; called where tasks need the memory for something else."""
+    _kept.clear()
+
+
 def text_encoder(path: str) -> TextEncoder:
-    """One encoder for each vocabulary and Python worker, kept from task to task."""
-    return TextEncoder(path)
+    return kept_coder(TextEncoder, path)
 
 
 def vocabulary_path(name: str) -> str:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import words
+from logwarden.llm.common import drop_coder, words
 from logwarden.session import stage
 
 #: A chunk ends when it has so many bytes of text or documents. One text is never split.
@@ -55,6 +55,7 @@ def token_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write chunks of ``doc_id, text, mark`` (a long that callers may use) and read them back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coder()
         base, n = TaskContext.get().partitionId() << 24, 0
         ids, marks, lengths, parts, size = [], [], [], [], 0
         local: defaultdict[bytes, int] = defaultdict()

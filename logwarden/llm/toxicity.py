@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logwarden.llm.common import CACHE_ENTRIES, id_and_text
+from logwarden.llm.common import Cache, id_and_text
 from logwarden.llm.learning import collected, labelled_texts, logistic, minimised
 
 #: Hashed features; a weight each, 8 MB.
@@ -76,20 +76,6 @@ def text_features(text: str) -> np.ndarray:
     return np.stack([number[order], value[order]])
 
 
-class _Telling(dict):
-    """Places of the weighted features of a word, filled as words are met."""
-
-    def __init__(self, place: dict[int, int]):
-        super().__init__()
-        self._place = place
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = tuple(self._place[f] for f in hashed(word) if f in self._place)
-        return found
-
-
 @dataclass
 class OrdinalModel:
     """Shared weights, ascending thresholds, and the chance from which a text is toxic."""
@@ -100,7 +86,9 @@ class OrdinalModel:
     cut: float = 0.5
 
     def scorer(self):
-        telling = _Telling({f: i for i, f in enumerate(self.features.tolist())})
+        place = {f: i for i, f in enumerate(self.features.tolist())}
+        #: Places of the weighted features of a word.
+        telling = Cache(lambda word: tuple(place[f] for f in hashed(word) if f in place))
 
         def score(text: str) -> float:
             own = words_of(text)
