@@ -95,6 +95,53 @@ def batch_metadata(rows: DataFrame, passes: Column, batch_id: str) -> DataFrame:
     ).withColumn("batch_id", F.lit(batch_id))
 
 
+FIGURE_KEYS = ["attacker", "status", "time", "prediction", "endpoint", "display_severity"]
+
+
+def batch_figures(rows: DataFrame, grain: str = "hour") -> DataFrame:
+    """Counts by each of ``FIGURE_KEYS`` alone, from one scan; ``key`` names the one that a row counts by.
+
+    One row for each value of each key, so the six figures of a batch can be read from it.
+    """
+    keys = rows.select(
+        F.when(is_anomaly(), F.col("ip")).alias("attacker"),
+        "status",
+        F.date_trunc(grain, "event_time").alias("time"),
+        "prediction",
+        F.col("url").alias("endpoint"),
+        "display_severity",
+    )
+    sets = keys.groupingSets([[name] for name in FIGURE_KEYS], *FIGURE_KEYS)
+    counted = sets.agg(F.grouping_id().alias("_set"), F.count("*").alias("count"))
+    # A key that a row is grouped by has bit 0; the first key has the highest bit.
+    every = (1 << len(FIGURE_KEYS)) - 1
+    names = {every ^ (1 << i): name for i, name in enumerate(reversed(FIGURE_KEYS))}
+    key = F.coalesce(*[F.when(F.col("_set") == number, F.lit(name)) for number, name in names.items()])
+    return counted.select(key.alias("key"), *FIGURE_KEYS, "count")
+
+
+def figures_of(figures: DataFrame) -> dict[str, DataFrame]:
+    """The six figures of ``plans.pipeline.analyze`` from ``batch_figures``."""
+
+    def by(key: str, name: str | None = None) -> DataFrame:
+        return figures.filter(F.col("key") == key).select(F.col(key).alias(name or key), "count")
+
+    def total(key: str, values: dict[str, str]) -> DataFrame:
+        own = by(key)
+        return own.agg(
+            *[F.coalesce(F.sum(F.when(F.col(key) == value, F.col("count"))), F.lit(0)).alias(name) for value, name in values.items()]
+        )
+
+    return {
+        "top_attackers": top_by_count(by("attacker", "ip").filter("ip IS NOT NULL"), "ip", 5),
+        "status_counts": by("status").orderBy(F.desc("count"), "status"),
+        "request_trends": last_keys(by("time").filter("time IS NOT NULL"), "time", 10),
+        "anomaly_counts": total("prediction", {"Normal": "normal", "Anomaly": "anomaly"}),
+        "endpoint_analytics": top_by_count(by("endpoint"), "endpoint", 5),
+        "severity_distribution": total("display_severity", SEVERITY_COLUMNS),
+    }
+
+
 def anomaly_rate(rows: DataFrame) -> DataFrame:
     counts = rows.agg(F.count("*").alias("n"), F.count_if(is_anomaly()).alias("a"))
     return counts.select(percent(F.col("a"), F.col("n"), 2).alias("anomaly_rate"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unquote
 from ..functions.threats import is_sensitive_path, rule_number, rule_verdict, signature_name
+from ..session import stage
 from .rates import add_counts_over_limit, add_trailing_counts
 
 
@@ -26,10 +27,11 @@ def add_rules(rows: DataFrame, earlier_cells: DataFrame | None = None) -> DataFr
 def add_rules_in_two_jobs(rows: DataFrame) -> DataFrame:
     """The same verdicts; the counts of rows within the limits are NULL.
 
-    For large tables: the rate limits are checked first, on narrow columns, and the wide rows are
-    then judged without a shuffle unless very many of them break a limit.
+    For large tables: the parsed rows are written once, so that lines are read and parsed once. The rate limits
+    are checked first, on five narrow columns of that table, and the wide rows are then judged without a
+    shuffle unless very many of them break a limit.
     """
-    return _add_verdict(_match_url(add_counts_over_limit(rows)))
+    return _add_verdict(_match_url(add_counts_over_limit(stage(rows, "parsed"))))
 
 
 def add_url_rules(rows: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..operators.parse import add_rebuilt_line, parse_lines, tag_batch
 from ..operators.rules import add_rules, add_rules_in_two_jobs
 from ..session import stage
 from ..sinks.tables import append_raw, write_store
+from ..sources.text import read_lines
 from .training import retrain
 
 STORE_ROWS = 10_000
@@ -112,14 +115,8 @@ def analyze(
     return Analysis(
         records=records,
         metadata=metadata,
-        aggregations={
-            "top_attackers": metrics.top_attackers(records),
-            "status_counts": metrics.status_breakdown(records),
-            "request_trends": metrics.request_trend(records),
-            "anomaly_counts": metrics.verdict_counts(records),
-            "endpoint_analytics": metrics.top_endpoints(records),
-            "severity_distribution": metrics.severity_distribution(records),
-        },
+        # One scan of the records for all six; each figure then reads a table of counts.
+        aggregations=metrics.figures_of(stage(metrics.batch_figures(records), "figures")),
     )
 
 
@@ -135,9 +132,66 @@ def parse_statistics(lines: DataFrame) -> dict[str, DataFrame]:
 
 
 # --- the store ---------------------------------------------------------------------------------
+# The first version lies in the store's folder, later ones in folders whose names Spark's readers of the
+# first one pass over. The ledger has a row for each batch of a version, so that no ingest scans the store.
+LEDGER_SCHEMA = "version string, batch int, rows bigint, next_seq bigint, done boolean"
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each batch of every version; none for a folder without a store."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(f"{path.rstrip('/')}/_ledger")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], LEDGER_SCHEMA)
+        raise
+
+
+def _enter(spark: SparkSession, path: str, version: str, batch: int, rows: int, next_seq: int, done: bool) -> None:
+    """Write a batch's ledger row, replacing what it had."""
+    row = spark.createDataFrame([(version, batch, rows, next_seq, done)], LEDGER_SCHEMA).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_ledger/entry={version or 'first'}-{batch}")
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """Name of the version that readers see; empty for the first one."""
+    try:
+        return spark.read.schema("version string").parquet(f"{path.rstrip('/')}/_current").first()[0]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return ""
+        raise
+
+
+def _folder(path: str, version: str) -> str:
+    return f"{path.rstrip('/')}/_{version}" if version else path
+
+
+def _write_batch(rows: DataFrame, path: str, version: str, batch: int, mode: str, gather_dates: bool) -> int:
+    """Write a batch and enter it in the ledger; the next free number."""
+    spark, seen = rows.sparkSession, Observation(f"batch {batch}")
+    counted = rows.observe(seen, F.count("*").alias("rows"), F.max("ingest_seq").alias("newest"))
+    write_store(counted, _folder(path, version), mode, gather_dates=gather_dates)
+    got = seen.get
+    next_seq = 0 if got["newest"] is None else got["newest"] + 1
+    _enter(spark, path, version, batch, got["rows"], next_seq, True)
+    return next_seq
+
+
 def build_store(lines: DataFrame, path: str, models: Models | None = None) -> None:
-    """Write the store anew from the whole raw log."""
-    write_store(_store_rows(lines, 0, models, True, 1), path, "overwrite", gather_dates=True)
+    """Write the store anew from the whole raw log, as a new version if there is one already."""
+    _build(lines.sparkSession, [(1, lines)], path, models)
+
+
+def _build(spark: SparkSession, batches: list[tuple[int, DataFrame]], path: str, models: Models | None) -> None:
+    """Judge all batches into a new version, then let readers see it."""
+    version = "" if _ledger(spark, path).isEmpty() else f"v{uuid.uuid4().hex[:12]}"
+    start = 0
+    for place, (batch, lines) in enumerate(batches):
+        rows = _store_rows(lines, start, models, True, batch)
+        start = max(start, _write_batch(rows, path, version, batch, "overwrite" if place == 0 else "append", True))
+    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
+    pointer.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_current")
 
 
 def ingest(
@@ -151,15 +205,28 @@ def ingest(
     """Add lines to the store after its newest row, and to the raw archive.
 
     A batch number can be used once; a second use raises instead of adding the rows again. The archive is
-    written first: a repeat after a failure writes the same archive folder again, then the store.
+    written first: a repeat after a failure writes the same archive folder again, then the store. Only the
+    ledger is read; the store itself is only after a failure that left a batch begun, to see whether its rows came.
     """
-    store = lines.sparkSession.read.parquet(path)
-    if store.filter(F.col("batch_id") == f"RDD-0{batch_number}").take(1):
+    spark = lines.sparkSession
+    version = current_version(spark, path)
+    entries = {r["batch"]: r for r in _ledger(spark, path).filter(F.col("version") == version).collect()}
+    own = entries.get(batch_number)
+    if own is not None and not own["done"]:
+        there = spark.read.parquet(_folder(path, version)).filter(F.col("batch_id") == f"RDD-0{batch_number}")
+        found = there.agg(F.count("*").alias("rows"), F.max("ingest_seq").alias("newest")).first()
+        if found["rows"]:
+            _enter(spark, path, version, batch_number, found["rows"], found["newest"] + 1, True)
+            own = found
+        else:
+            own = None
+    if own is not None:
         raise ValueError(f"batch {batch_number} is already in the store")
-    newest = store.agg(F.max("ingest_seq")).first()[0]
-    start = 0 if newest is None else newest + 1
+    start = max((r["next_seq"] for r in entries.values()), default=0)
     append_raw(lines, archive, batch_number)
-    write_store(_store_rows(lines, start, models, not full_places, batch_number), path, "append")
+    _enter(spark, path, version, batch_number, 0, start, False)
+    rows = _store_rows(lines, start, models, not full_places, batch_number)
+    _write_batch(rows, path, version, batch_number, "append", False)
 
 
 def _store_rows(
@@ -174,7 +241,8 @@ def _store_rows(
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows of the current version."""
+    return spark.read.parquet(_folder(path, current_version(spark, path)))
 
 
 def latest_store(spark: SparkSession, path: str, n: int = STORE_ROWS) -> DataFrame:
@@ -182,10 +250,28 @@ def latest_store(spark: SparkSession, path: str, n: int = STORE_ROWS) -> DataFra
     return keep_latest(newest_part(read_store(spark, path), n), n)
 
 
-def retrain_store(lines: DataFrame, models_path: str, path: str) -> Models:
-    """Fit on the whole raw log, then judge it again with the new models."""
-    models = retrain(lines, models_path)
-    build_store(lines, path, models)
+def retrain_store(lines: DataFrame, models_path: str, path: str, archive: str | None = None) -> Models:
+    """Fit on the whole raw log, then judge it again with the new models, as a new version of the store.
+
+    The whole raw log is ``lines`` and every batch that was ingested since, which ``archive`` holds; without
+    it a store that has such batches raises, since they would be lost. Readers see the old version to the end.
+    """
+    spark = lines.sparkSession
+    added = sorted(
+        r["batch"]
+        for r in _ledger(spark, path).filter(F.col("version") == current_version(spark, path)).collect()
+        if r["done"] and r["batch"] != 1
+    )
+    if added and archive is None:
+        raise ValueError(f"batches {added} were ingested: name the archive that holds their lines")
+    batches = [(1, lines), *[(n, read_lines(spark, f"{archive.rstrip('/')}/batch={n}")) for n in added]]
+    whole, start = lines, 0
+    for before, (_, own) in zip(batches, batches[1:]):
+        newest = before[1].agg(F.max("line_no")).first()[0]
+        start += 0 if newest is None else newest + 1
+        whole = whole.unionByName(own.withColumn("line_no", F.col("line_no") + start))
+    models = retrain(whole, models_path)
+    _build(spark, batches, path, models)
     return models
 
 

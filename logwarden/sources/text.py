@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line
@@ -11,6 +11,9 @@ from ..schemas import RAW_LINE
 UPLOAD_NAMES = "*.{log,txt,csv}"
 RAW_LOG_SETTING = "spark.logwarden.rawLog"
 
+# A broadcast of where each block of the files begins: at most so many rows of a path and three numbers.
+BROADCAST_BLOCKS = 200_000
+
 
 def use_all_cores(df: DataFrame) -> DataFrame:
     """Spread an input of fewer splits than cores; a larger input is returned as it is."""
@@ -29,9 +32,9 @@ def read_lines(
     partitions: int | None = None,
     names: str | None = None,
 ) -> DataFrame:
-    """``line_no, value`` of text files; ``line_no`` grows along each file.
+    """``line_no, value`` of text files; lines are numbered from 0 along the files, in order of their paths.
 
-    It depends on the files and their splits only, so it is the same each time the result is read.
+    Blank lines have numbers but no rows. The numbers depend on the files alone, not on how they are split.
     Without a path it reads the raw log that ``RAW_LOG_SETTING`` names. ``names`` is a file-name
     pattern (``UPLOAD_NAMES`` for uploaded files). ``partitions`` asks for at least that many input
     partitions.
@@ -44,12 +47,31 @@ def read_lines(
     if names is not None:
         reader = reader.option("pathGlobFilter", names)
     raw = reader.text(path)
-    numbered = clean_lines(raw).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    numbered = clean_lines(numbered_lines(raw))
     if partitions is not None and raw.rdd.getNumPartitions() < partitions:
         return numbered.repartition(partitions)
     return numbered
 
 
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """``line_no, value`` of a text scan, numbered by path and place in the file.
+
+    Spark packs blocks of files into partitions by size, so neither partitions nor row ids follow the files. A
+    row's number is its place in its block plus the lines of all blocks before: a sum over one row a
+    block, from a scan that counts lines and keeps no text.
+    """
+    block = {"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start")}
+    rows = raw.select("value", *[c.alias(n) for n, c in block.items()], F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy(*block).agg(F.count("*").alias("_lines"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
+    starts = blocks.select(*block, (before - F.col("_first")).alias("_shift"))
+    # Every file and every partition begins a block; the number of both is known without a job.
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, list(block)).select((F.col("_row") + F.col("_shift")).alias("line_no"), "value")
+
+
 def partition_count(df: DataFrame) -> DataFrame:
     """One row: how many partitions hold rows."""
     return df.select(F.spark_partition_id().alias("p")).agg(

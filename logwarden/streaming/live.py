@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -31,7 +32,7 @@ ROW_BITS = 24
 PARTITION_BITS = 14
 EARLIER_BLOCK = -1  # cells of earlier batches come before every cell of this one
 
-IDLE_BATCHES = 10_000  # an address without rows for so many batches loses its history
+IDLE_SECONDS = 86_400  # an address that sends nothing for a day of wall time loses its history
 
 CELL_SCHEMA = (
     "ip string, _second bigint, _block bigint, _cell bigint, _requests bigint, _failures bigint"
@@ -70,10 +71,11 @@ def save_cells(parsed: DataFrame, earlier: DataFrame, state: str, batch_id: int)
     """Write the history after this batch: one row per address and second still in reach.
 
     Reach is counted back from an address's own newest second, so another address's wrong clock cannot
-    cut it; addresses go after ``IDLE_BATCHES`` without rows. A repeated batch reads the same history
-    again and writes the same result.
+    cut it; addresses go ``IDLE_SECONDS`` of wall time after their last rows came, however many batches that
+    is. A repeated batch reads the same history again and writes the same counts.
     """
-    cells = count_cells(with_cell(parsed)).withColumn("_seen", F.lit(batch_id).cast("bigint"))
+    now = int(time.time())
+    cells = count_cells(with_cell(parsed)).withColumn("_seen", F.lit(now).cast("bigint"))
     seconds = cells.unionByName(earlier, allowMissingColumns=True).groupBy("ip", "_second").agg(
         F.sum("_requests").alias("_requests"),
         F.sum("_failures").alias("_failures"),
@@ -84,7 +86,7 @@ def save_cells(parsed: DataFrame, earlier: DataFrame, state: str, batch_id: int)
     )
     in_reach = F.col("_second") >= F.col("_newest") - (OVERLAP_SECONDS + ALLOWED_LATENESS_SECONDS)
     kept = seconds.join(newest, seconds["ip"].eqNullSafe(newest["ip"])).drop(newest["ip"])
-    kept = kept.filter(in_reach & (F.col("_last_seen") > batch_id - IDLE_BATCHES))
+    kept = kept.filter(in_reach & (F.col("_last_seen") > now - IDLE_SECONDS))
     merged = kept.withColumn("_block", F.lit(EARLIER_BLOCK).cast("bigint"))
     merged.withColumn("_cell", cell_hash()).drop("_newest", "_last_seen").write.mode(
         "overwrite"
@@ -131,6 +133,34 @@ def trailing_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingest_batch(
+    store: str,
+    state: str,
+    figures: str | None = None,
+    models: Models | None = None,
+    classifier: str = "isolation_forest",
+    profile_places: bool = True,
+    strict: bool = False,
+) -> Callable[[DataFrame, int], None]:
+    """What ``ingest_stream`` does with each batch of lines and its number.
+
+    Every batch owns the folder ``batch=<id>`` of the store and of the ``figures``: a repeated batch
+    replaces its rows and its partial figures, so neither is counted twice.
+    """
+
+    def use(parsed: DataFrame, earlier: DataFrame, batch_id: int) -> None:
+        rows = judge(parsed, models, classifier, profile_places, True, earlier)
+        tagged = tag_batch(rows, batch_id).select(*STORE_COLUMNS)
+        own = f"{store}/batch={batch_id}"
+        write_store(tagged, own, "overwrite")
+        if figures is not None:
+            # From the stored columns, not by judging the lines again.
+            stored = parsed.sparkSession.read.schema(tagged.schema).parquet(own)
+            figure_counts(stored).write.mode("overwrite").parquet(f"{figures}/batch={batch_id}")
+
+    return _with_history(state, lambda batch: parse_lines(batch, "apache", strict=strict), use)
+
+
 def ingest_stream(
     lines: DataFrame,
     store: str,
@@ -141,18 +171,13 @@ def ingest_stream(
     profile_places: bool = True,
     strict: bool = False,
     trigger: dict | None = None,
+    figures: str | None = None,
 ) -> StreamingQuery:
     """Parse, judge and place each batch and add it to the store, exactly once per batch.
 
-    Every batch owns the folder ``batch=<id>`` of the store; a repeated batch replaces its folder.
+    With ``figures``, each batch's partial counts are kept there for ``read_kpis`` and ``read_counts``.
     """
-
-    def use(parsed: DataFrame, earlier: DataFrame, batch_id: int) -> None:
-        rows = judge(parsed, models, classifier, profile_places, True, earlier)
-        tagged = tag_batch(rows, batch_id).select(*STORE_COLUMNS)
-        write_store(tagged, f"{store}/batch={batch_id}", "overwrite")
-
-    run = _with_history(state, lambda batch: parse_lines(batch, "apache", strict=strict), use)
+    run = ingest_batch(store, state, figures, models, classifier, profile_places, strict)
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -167,8 +192,58 @@ def stream_store(spark: SparkSession, store: str, files_per_batch: int | None =
 
 
 # --- running figures ---------------------------------------------------------------------------
+FIGURES_SCHEMA = (
+    "prediction string, display_severity string, label string, failed boolean, high boolean,"
+    " count bigint"
+)
+
+
+def figure_counts(rows: DataFrame) -> DataFrame:
+    """Partial figures of some rows: counts that add up over batches, a few dozen rows at most."""
+    label = F.when(is_anomaly(), attack_label(F.col("url"))).otherwise("")
+    return rows.groupBy(
+        "prediction",
+        "display_severity",
+        label.alias("label"),
+        F.coalesce(is_failed_request(), F.lit(False)).alias("failed"),
+        F.coalesce(is_high_alert(), F.lit(False)).alias("high"),
+    ).agg(F.count("*").alias("count"))
+
+
+def read_figures(spark: SparkSession, figures: str) -> DataFrame:
+    """The newest partial counts of every batch."""
+    return spark.read.schema(FIGURES_SCHEMA).parquet(figures)
+
+
+def read_kpis(spark: SparkSession, figures: str) -> DataFrame:
+    """One row of totals over all batches."""
+
+    def total(condition: Column | None = None) -> Column:
+        counted = F.col("count") if condition is None else F.when(condition, F.col("count"))
+        return F.coalesce(F.sum(counted), F.lit(0))
+
+    totals = read_figures(spark, figures).agg(
+        total().alias("total_logs"),
+        total(is_anomaly()).alias("total_anomalies"),
+        total(F.col("failed")).alias("failed_requests"),
+        total(is_anomaly() & F.col("high")).alias("high_severity_alerts"),
+    )
+    rate = percent(F.col("total_anomalies"), F.col("total_logs"), 2)
+    return totals.withColumn("detection_rate", rate)
+
+
+def read_counts(spark: SparkSession, figures: str) -> DataFrame:
+    """Counts per verdict, display severity and attack label over all batches."""
+    by = ["prediction", "display_severity", "label"]
+    return read_figures(spark, figures).groupBy(*by).agg(F.sum("count").alias("count"))
+
+
 def running_kpis(rows: DataFrame) -> DataFrame:
-    """One row of totals; output mode ``complete``."""
+    """One row of totals of a stream of rows; output mode ``complete``.
+
+    The stream must bring every row once. A store whose batches may be written again brings them again:
+    use ``ingest_stream(figures=...)`` and ``read_kpis`` for one.
+    """
     return rows.agg(
         F.count("*").alias("total_logs"),
         F.count_if(is_anomaly()).alias("total_anomalies"),
@@ -178,13 +253,44 @@ def running_kpis(rows: DataFrame) -> DataFrame:
 
 
 def running_counts(rows: DataFrame) -> DataFrame:
-    """Counts per verdict, display severity and attack label; modes ``update`` or ``complete``."""
+    """Counts per verdict, display severity and attack label; modes ``update`` or ``complete``.
+
+    As with ``running_kpis``, every row must come once; else use ``read_counts``.
+    """
     label = F.when(is_anomaly(), attack_label(F.col("url"))).otherwise("")
     return rows.groupBy("prediction", "display_severity", label.alias("label")).agg(
         F.count("*").alias("count")
     )
 
 
+def pane_alerts(parsed: DataFrame, delay: str = "2 minutes") -> tuple[DataFrame, DataFrame]:
+    """``window_alerts`` in output mode ``append``, from panes of one second.
+
+    Rows are counted once per address and second; only these counts, not the rows, go to the 10 and 60 windows
+    they lie in. A window is given out once, when the watermark passes its end, and its state and panes
+    are dropped.
+    """
+    timed = with_decoded_url(parsed).withWatermark("event_time", delay)
+    failed = is_failed_login(F.col("decoded_url"), F.col("status"))
+
+    def alerts(rows: DataFrame, seconds: int, at_least: int, name: str) -> DataFrame:
+        panes = rows.groupBy(F.window("event_time", "1 second").alias("pane"), "ip").agg(
+            F.count("*").alias("n")
+        )
+        span = F.window(F.window_time("pane"), f"{seconds} seconds", "1 second")
+        counts = panes.groupBy(span.alias("w"), "ip").agg(F.sum("n").alias("count"))
+        return counts.filter(F.col("count") >= at_least).select(
+            F.lit(name).alias("alert"), "ip", F.col("w.start").alias("window_start"), "count"
+        )
+
+    return (
+        alerts(timed, V.FLOOD_SECONDS, V.FLOOD_MORE_THAN + 1, "flood"),
+        alerts(
+            timed.filter(failed), V.FAILED_LOGIN_SECONDS, V.FAILED_LOGIN_AT_LEAST, "failed logins"
+        ),
+    )
+
+
 def window_alerts(
     parsed: DataFrame, slide: str = "1 second", delay: str = "2 minutes"
 ) -> tuple[DataFrame, DataFrame]:
