@@ -745,3 +745,67 @@ ORACLE: dict[str, str] = {
         WHERE failed = 1 GROUP BY ALL HAVING count(*) >= 5""",
     ),
 }
+
+NUMBERED = """,
+numbered AS (SELECT line_no AS id, row_number() OVER (ORDER BY line_no) - 1 AS place FROM lines)"""
+
+_FIGURES = """
+SELECT 'top_attackers' AS figure, * FROM (SELECT ip AS key, count(*) AS count FROM store
+  WHERE prediction = 'Anomaly' GROUP BY ip ORDER BY count DESC, key LIMIT 5)
+UNION ALL SELECT 'status_counts', CAST(status AS VARCHAR), count(*) FROM store GROUP BY status
+UNION ALL SELECT 'request_trends', * FROM (SELECT strftime(to_timestamp(second - second % 3600), '%Y-%m-%d %H:%M') AS key,
+  count(*) FROM store GROUP BY 1 ORDER BY key DESC LIMIT 10)
+UNION ALL SELECT 'anomaly_counts', lower(v), count(*) FILTER (prediction = v) FROM store, (VALUES ('Normal'), ('Anomaly')) AS t(v) GROUP BY v
+UNION ALL SELECT 'endpoint_analytics', * FROM (SELECT url AS key, count(*) AS count FROM store GROUP BY url ORDER BY count DESC, key LIMIT 5)
+UNION ALL SELECT 'severity_distribution', lower(replace(v, ' ', '_')), count(*) FILTER (display_severity = v)
+  FROM store, (VALUES ('Normal'), ('Suspicious'), ('High Threat'), ('Critical')) AS t(v) GROUP BY v"""
+
+ORACLE |= {
+    "scan_text_files": _with(
+        APACHE_LINES + NUMBERED, "SELECT place AS line_no, value FROM lines JOIN numbered ON id = line_no"
+    ),
+    "latest_rows_files": _with(
+        PARSED + NUMBERED,
+        """SELECT place AS line_no, ip, timestamp, url, status FROM parsed JOIN numbered ON id = line_no
+        ORDER BY place DESC LIMIT 100""",
+    ),
+    "analyze_records": _store(f"SELECT {GEO_ROW} FROM store WHERE contains(lower(url), 'api')"),
+    "analyze_figures": _store(_FIGURES),
+    "analyze_metadata": _store(
+        """SELECT count(*) AS records_processed, count(*) FILTER (status = 404) AS records_filtered,
+        'RDD-01' AS batch_id FROM store"""
+    ),
+    **{
+        name: _store(
+            """SELECT timestamp, ip, method, url, status, size, prediction, severity, threat_type,
+            anomaly_score FROM store"""
+        )
+        for name in ("ingest_store", "rebuild_store")
+    },
+    "export_csv_back": ORACLE["export_rows"],
+    "export_json_back": ORACLE["export_rows"],
+    "append_raw_back": _with(APACHE_LINES, "SELECT value, count(*) AS count FROM lines GROUP BY value"),
+    "parse_statistics": _with(
+        PARSED,
+        """SELECT 'total' AS figure, '' AS key, count(*) AS count FROM parsed
+        UNION ALL SELECT 'status_distribution', CAST(status AS VARCHAR), count(*) FROM parsed GROUP BY status
+        UNION ALL SELECT 'top_ips', * FROM (SELECT ip, count(*) AS n FROM parsed GROUP BY ip ORDER BY n DESC, ip LIMIT 10)""",
+    ),
+    "stream_kpis_text": ORACLE["stream_kpis"],
+    "stream_counts_text": ORACLE["stream_counts"],
+    "stream_flood_text": _with(
+        COUNTED,
+        "SELECT ip, timestamp, requests_10s, failed_logins_60s, count(*) AS count FROM counted GROUP BY ALL",
+    ),
+    "stream_windows_text": _with(
+        COUNTED,
+        """SELECT * FROM (
+        SELECT 'flood' AS alert, ip, second - o AS window_start, count(*) AS count
+        FROM logins, range(0, 10) AS r(o) GROUP BY ALL HAVING count(*) > 30)
+        WHERE window_start + 10 <= (SELECT max(second) FROM logins) - 120
+        UNION ALL SELECT * FROM (
+        SELECT 'failed logins', ip, second - o AS window_start, count(*) FROM logins, range(0, 60) AS r(o)
+        WHERE failed = 1 GROUP BY ALL HAVING count(*) >= 5)
+        WHERE window_start + 60 <= (SELECT max(second) FROM logins WHERE failed = 1) - 120""",
+    ),
+}

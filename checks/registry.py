@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from logwarden.operators.rules import (
     flat_rule,
     with_decoded_url,
 )
+from logwarden.plans import pipeline
 from logwarden.plans.pipeline import enrich, score_lines
 from logwarden.plans.training import label_lines, retrain
 from logwarden.plans.views import LOG_COLUMNS as LOG_ROW
@@ -42,7 +44,7 @@ from logwarden.schemas import CLASSIFIERS
 from logwarden.session import prepare, scratch_folder
 from logwarden.sinks import tables
 from logwarden.sources import samples
-from logwarden.sources.text import use_all_cores
+from logwarden.sources.text import clean_lines, read_lines, stream_lines, use_all_cores
 from logwarden.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,6 +340,132 @@ SQL_QUERIES: dict[str, Query] = {
 }
 
 
+# --- files and whole jobs ------------------------------------------------------------------------
+LINES_PER_FILE = 200_000
+LEAST_FILES = 4
+
+
+def log_files(spark: SparkSession, sf: str) -> list[str]:
+    """The web log as text files of growing size, oldest lines first; one folder each."""
+    lines = samples.log_lines(spark, sf)
+    n, last = lines.agg(F.count("*"), F.max("line_no")).first()
+    files = max(LEAST_FILES, -(-n // LINES_PER_FILE))
+    bounds = [round((last + 1) * (i / files) ** 1.5) for i in range(files + 1)]
+    folder = scratch_folder(spark, "log-files")
+    paths = []
+    for i, (first, end) in enumerate(zip(bounds, bounds[1:])):
+        part = lines.filter(F.col("line_no").between(first, end - 1)).coalesce(1)
+        paths.append(f"{folder}/{i:06d}")
+        part.sortWithinPartitions("line_no").select("value").write.text(paths[-1])
+    return paths
+
+
+def scan_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    return read_lines(spark, log_files(spark, sf))
+
+
+def latest_rows_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest rows over all files, in order of files and lines."""
+    rows = parse_lines(read_lines(spark, log_files(spark, sf)), "apache")
+    newest = paging.keep_latest(rows.withColumn("ingest_seq", F.col("line_no")), 100)
+    return newest.select("line_no", "ip", "timestamp", "url", "status")
+
+
+def analysis(spark: SparkSession, sf: str, **conditions) -> pipeline.Analysis:
+    return pipeline.analyze(samples.log_lines(spark, sf), "apache", mode="drop", **conditions)
+
+
+def analyze_records(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis(spark, sf, search_url="api").records.select(*GEO_ROW)
+
+
+def analyze_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """The six aggregations of a whole job as ``figure, key, count``."""
+    found = analysis(spark, sf).aggregations
+    parts = []
+    for name, figure in found.items():
+        if "count" in figure.columns:
+            key = next(c for c in figure.columns if c != "count")
+            text = F.date_format(key, "yyyy-MM-dd HH:mm") if key == "time" else F.col(key).cast("string")
+            parts.append(figure.select(F.lit(name).alias("figure"), text.alias("key"), "count"))
+        else:
+            pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("count")) for c in figure.columns]))
+            parts.append(figure.select(F.lit(name).alias("figure"), pairs))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def analyze_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows read and rows that pass, without the measured seconds."""
+    found = analysis(spark, sf, status_code=404).metadata
+    return found.select("records_processed", "records_filtered", "batch_id")
+
+
+def stored(spark: SparkSession, sf: str, again: bool) -> DataFrame:
+    """Store from the older half of the blocks, the others ingested; ``again`` builds it anew before."""
+    lines = samples.log_lines(spark, sf)
+    # Blocks of a thousand lines lie ten minutes apart: no rate reaches over their ends.
+    middle = lines.agg(F.floor(F.max("line_no") / 2000) * 1000).first()[0]
+    folder = scratch_folder(spark, "store")
+    old = lines.filter(F.col("line_no") < middle)
+    pipeline.build_store(old, f"{folder}/store")
+    if again:
+        pipeline.build_store(old, f"{folder}/store")
+    new = lines.filter(F.col("line_no") >= middle)
+    pipeline.ingest(new, f"{folder}/store", f"{folder}/archive", full_places=True)
+    columns = ["timestamp", "ip", "method", "url", "status", "size", "prediction", "severity", "threat_type", "anomaly_score"]
+    return pipeline.read_store(spark, f"{folder}/store").select(*columns)
+
+
+def read_back(kind: str) -> Query:
+    """Export the store, then read the files with the exported schema."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = tables.export_rows(store(spark, sf))
+        path = scratch_folder(spark, f"export-{kind}")
+        if kind == "csv":
+            tables.write_csv(rows, path)
+            return spark.read.schema(rows.schema).options(header=True, escape='"').csv(path)
+        tables.write_json(rows, path)
+        return spark.read.schema(rows.schema).json(path)
+
+    return run
+
+
+def append_raw_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches in the raw archive, one of them written twice; how often each line is there."""
+    lines = samples.log_lines(spark, sf)
+    folder = scratch_folder(spark, "archive")
+    for batch in (1, 2, 2):
+        tables.append_raw(lines.filter(F.col("line_no") % 2 == batch - 1), folder, batch)
+    archived = spark.read.text(folder)
+    return archived.groupBy("value").agg(F.count("*").alias("count"))
+
+
+def parse_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    found = pipeline.parse_statistics(samples.log_lines(spark, sf))
+    total = found["total_logs"].select(F.lit("total").alias("figure"), F.lit("").alias("key"), F.col("total_logs").alias("count"))
+    parts = [
+        found[name].select(F.lit(name).alias("figure"), F.col(key).cast("string").alias("key"), "count")
+        for name, key in (("status_distribution", "status"), ("top_ips", "ip"))
+    ]
+    return reduce(DataFrame.unionByName, parts, total)
+
+
+SQL_QUERIES |= {
+    "scan_text_files": scan_text_files,
+    "latest_rows_files": latest_rows_files,
+    "analyze_records": analyze_records,
+    "analyze_figures": analyze_figures,
+    "analyze_metadata": analyze_metadata,
+    "ingest_store": lambda spark, sf: stored(spark, sf, False),
+    "rebuild_store": lambda spark, sf: stored(spark, sf, True),
+    "export_csv_back": read_back("csv"),
+    "export_json_back": read_back("json"),
+    "append_raw_back": append_raw_back,
+    "parse_statistics": parse_statistics,
+}
+
+
 # --- streams, drained ----------------------------------------------------------------------------
 def ingested(spark: SparkSession, sf: str) -> str:
     """Run the live ingest over the event files; the store's path."""
@@ -369,6 +497,46 @@ def running(figure: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def ingested_text(spark: SparkSession, sf: str) -> str:
+    """Live ingest of text files, a batch each, the last batch written twice; the figures' path."""
+    files = log_files(spark, sf)
+    folder = scratch_folder(spark, "ingest-text")
+    paths = [f"{folder}/store", f"{folder}/state"]
+    figures = f"{folder}/figures"
+    lines = stream_lines(spark, f"{files[0].rsplit('/', 1)[0]}/*")
+    live.drain(
+        live.ingest_stream(
+            lines, *paths, f"{folder}/checkpoint", profile_places=False, strict=True, figures=figures
+        )
+    )
+    again = live.ingest_batch(*paths, figures, profile_places=False, strict=True)
+    again(clean_lines(spark.read.text(files[-1])), len(files) - 1)
+    return figures
+
+
+def stream_flood_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Trailing counts over text files, a batch each: how many rows have which counts."""
+    files = log_files(spark, sf)
+    folder = scratch_folder(spark, "trailing-text")
+    lines = stream_lines(spark, f"{files[0].rsplit('/', 1)[0]}/*")
+    live.drain(live.trailing_stream(lines, f"{folder}/rows", f"{folder}/state", f"{folder}/checkpoint"))
+    by = ["ip", "timestamp", "requests_10s", "failed_logins_60s"]
+    return spark.read.parquet(f"{folder}/rows").groupBy(*by).agg(F.count("*").alias("count"))
+
+
+def stream_windows_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts given out once by the watermark: windows that end two minutes before the newest row or earlier."""
+    files = log_files(spark, sf)
+    folder = scratch_folder(spark, "panes")
+    parsed_lines = parse_lines(stream_lines(spark, f"{files[0].rsplit('/', 1)[0]}/*"))
+    parts = []
+    for alerts in live.pane_alerts(parsed_lines):
+        path = f"{folder}/{len(parts)}"
+        live.drain(live.write_result(alerts, path, f"{path}-checkpoint", "append"))
+        parts.append(spark.read.parquet(f"{path}/batch=*"))
+    return sets.merge(*parts).withColumn("window_start", epoch_seconds(F.col("window_start")))
+
+
 def stream_flood(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark, "trailing")
     query = live.trailing_stream(
@@ -452,8 +620,12 @@ STREAM_QUERIES: dict[str, Query] = {
     "stream_ingest": stream_ingest,
     "stream_kpis": running(live.running_kpis),
     "stream_counts": running(live.running_counts),
+    "stream_kpis_text": lambda spark, sf: live.read_kpis(spark, ingested_text(spark, sf)),
+    "stream_counts_text": lambda spark, sf: live.read_counts(spark, ingested_text(spark, sf)),
     "stream_flood": stream_flood,
+    "stream_flood_text": stream_flood_text,
     "stream_windows": stream_windows,
+    "stream_windows_text": stream_windows_text,
 }
 
 MODEL_QUERIES: dict[str, Query] = {

@@ -235,3 +235,69 @@ def test_time_range_prunes_the_store(spark, store):
     assert 0 < rows.count() < pipeline.read_store(spark, store).count()
     oldest = rows.agg(F.min("event_time")).first()[0]
     assert (newest - oldest).total_seconds() <= 3600
+
+
+def test_line_numbers_follow_files_and_not_partitions(spark, tmp_path):
+    """Files of different size, split into small blocks: numbers go file by file at any number of partitions."""
+    sizes, texts = [3, 900, 40], []
+    for i, n in enumerate(sizes):
+        own = [f"file {i} line {k} " + "x" * (k % 50) for k in range(n)]
+        (tmp_path / f"day-{i}.log").write_text("\n".join(own) + "\n")
+        texts += own
+    found = []
+    for most in ("128m", "4k", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            rows = read_lines(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        found.append(sorted((r.line_no, r.value) for r in rows))
+    assert found[0] == found[1] == found[2] == [(i, t.strip()) for i, t in enumerate(texts)]
+
+
+def test_blank_lines_keep_their_numbers(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\n\n \nfour\n")
+    (tmp_path / "b.log").write_text("five\n")
+    rows = read_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.line_no, r.value) for r in rows) == [(0, "one"), (3, "four"), (4, "five")]
+
+
+WEB = '10.0.0.{} - - [21/May/2026:10:{:02d}:00 +0000] "GET /p HTTP/1.1" 200 5'
+
+
+def test_ledger_saves_scans_and_survives_a_lost_entry(spark, lines, tmp_path):
+    store, archive = str(tmp_path / "store"), str(tmp_path / "archive")
+    pipeline.build_store(lines([WEB.format(1, i) for i in range(3)]), store)
+    pipeline.ingest(lines([WEB.format(2, i) for i in range(2)]), store, archive, batch_number=2)
+    entries = {r["batch"]: r for r in pipeline._ledger(spark, store).collect()}
+    assert {b: (r["rows"], r["next_seq"], r["done"]) for b, r in entries.items()} == {1: (3, 3, True), 2: (2, 5, True)}
+    # As after a failure between the rows and their entry: the rows are found and not added again.
+    pipeline._enter(spark, store, "", 2, 0, 3, False)
+    with pytest.raises(ValueError, match="already"):
+        pipeline.ingest(lines([WEB.format(2, i) for i in range(2)]), store, archive, batch_number=2)
+    assert pipeline.read_store(spark, store).count() == 5
+    # As after a failure before the rows: the batch is begun but nothing of it is there.
+    pipeline._enter(spark, store, "", 3, 0, 5, False)
+    pipeline.ingest(lines([WEB.format(3, 1)]), store, archive, batch_number=3)
+    seqs = sorted(r.ingest_seq for r in pipeline.read_store(spark, store).select("ingest_seq").collect())
+    assert seqs == list(range(6))
+
+
+def test_a_new_build_is_a_new_version(spark, lines, tmp_path):
+    store = str(tmp_path / "store")
+    pipeline.build_store(lines([WEB.format(1, i) for i in range(3)]), store)
+    before = pipeline.read_store(spark, store)
+    pipeline.build_store(lines([WEB.format(2, i) for i in range(4)]), store)
+    assert before.count() == 3
+    assert pipeline.read_store(spark, store).count() == 4
+    assert pipeline.current_version(spark, store) != ""
+
+
+def test_parsed_rows_are_staged_once(spark, sf_dir):
+    """Judging in two jobs reads the written rows, never the lines again."""
+    from logwarden.operators.parse import parse_lines
+    from logwarden.operators.rules import add_rules_in_two_jobs
+
+    judged = add_rules_in_two_jobs(parse_lines(log_lines(spark, sf_dir), "apache"))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan

@@ -127,3 +127,43 @@ def test_another_clock_does_not_cut_history(spark, lines, tmp_path):
     earlier = live.earlier_cells(spark, state, 1).drop("_seen")
     counted = add_trailing_counts(parse_lines(lines(second), "apache"), earlier)
     assert max(r.requests_10s for r in counted.collect()) == 40
+
+
+def test_repeated_batch_is_counted_once(spark, lines, tmp_path):
+    paths = [str(tmp_path / name) for name in ("store", "state", "figures")]
+    run = live.ingest_batch(*paths)
+    text = '9.9.9.9 - - [21/May/2026:10:00:{:02d} +0000] "GET /{} HTTP/1.1" {} 1'
+    parts = [[text.format(s, "wp-login.php" if s % 2 else "a", 404) for s in range(n)] for n in (20, 20, 7)]
+    for batch_id, part in [(0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2]), (2, parts[2])]:
+        run(lines(part).select("value"), batch_id)
+    kpis = live.read_kpis(spark, paths[2]).first()
+    assert (kpis.total_logs, kpis.failed_requests) == (47, 47)
+    assert 0 < kpis.total_anomalies < 47
+    assert sum(r["count"] for r in live.read_counts(spark, paths[2]).collect()) == 47
+
+
+def test_panes_give_each_window_once_and_drop_their_state(spark, folder, tmp_path):
+    floods, _ = live.pane_alerts(parse_lines(source(spark, folder), "apache"))
+    path = str(tmp_path / "alerts")
+    query = live.write_result(floods, path, str(tmp_path / "checkpoint"), "append")
+    live.drain(query)
+    rows = spark.read.parquet(f"{path}/batch=*")
+    assert rows.count() == rows.select("ip", "window_start").distinct().count()
+    plan = floods._jdf.queryExecution().logical().toString()
+    assert plan.count("Aggregate") == 2
+
+
+def test_history_outlives_many_fast_batches(spark, lines, tmp_path):
+    """An address keeps its history while others send thousands of batches within its reach."""
+    from logwarden.operators.rates import add_trailing_counts
+
+    def web(ip, second, n):
+        return [f'{ip} - - [21/May/2026:10:00:{second:02d} +0000] "GET /p HTTP/1.1" 200 5'] * n
+
+    state = str(tmp_path / "state")
+    live.save_cells(parse_lines(lines(web("10.0.0.1", 0, 20)), "apache"), live.earlier_cells(spark, state, 0), state, 0)
+    late = 20_001  # a batch number far beyond; its earlier history is that of an odd or even one
+    live.save_cells(parse_lines(lines(web("10.0.0.2", 3, 1)), "apache"), live.earlier_cells(spark, state, 1), state, late - 2 + 1)
+    earlier = live.earlier_cells(spark, state, late).drop("_seen")
+    counted = add_trailing_counts(parse_lines(lines(web("10.0.0.1", 5, 15)), "apache"), earlier)
+    assert max(r.requests_10s for r in counted.collect()) == 35
