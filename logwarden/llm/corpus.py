@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import drop_coder, words
@@ -22,6 +22,8 @@ from logwarden.session import stage
 #: A chunk ends when it has so many bytes of text or documents. One text is never split.
 CHUNK_BYTES = 16 << 20
 CHUNK_DOCS = 100_000
+#: Chunks that one partition may have, as a power of two.
+PART_SHIFT = 32
 
 CHUNK = pa.schema([
     ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())),
@@ -52,11 +54,11 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def token_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write chunks of ``doc_id, text, mark`` (a long that callers may use) and read them back."""
+    """Write chunks, numbered from 0 without gaps, of ``doc_id, text, mark`` (a long that callers may use) and read them back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_coder()
-        base, n = TaskContext.get().partitionId() << 24, 0
+        base, n = TaskContext.get().partitionId() << PART_SHIFT, 0
         ids, marks, lengths, parts, size = [], [], [], [], 0
         local: defaultdict[bytes, int] = defaultdict()
         local.default_factory = local.__len__
@@ -85,7 +87,16 @@ def token_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield chunk()
 
-    return stage(docs.select("doc_id", "text", "mark").mapInArrow(run, CHUNK_DDL), "chunks")
+    written = stage(docs.select("doc_id", "text", "mark").mapInArrow(run, CHUNK_DDL), "chunks")
+    # Numbers from 0 without gaps, so that they stay small however many partitions there are. The table of where
+    # a partition's numbers begin has 16 bytes for each input partition.
+    part = F.shiftright("chunk", PART_SHIFT)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")
+    )
+    numbered = written.withColumn("part", part).join(F.broadcast(starts), "part")
+    return numbered.withColumn("chunk", F.col("begin") + F.col("chunk") % (1 << PART_SHIFT)).drop("part", "begin")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

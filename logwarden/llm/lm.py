@@ -35,6 +35,10 @@ END = b"\n"
 BEGIN = -1
 #: Marks the ids of words that only one chunk has; chunk and dictionary place follow.
 OWN_WORD = 1 << 62
+#: Bits of a place in a dictionary; chunks are numbered without gaps, so 2^30 of them fit above.
+PLACE_BITS = 32
+#: Words and documents of a chunk that one sortable number holds beside a context; beyond, columns are sorted.
+PACKED_WORDS, PACKED_DOCS = 1 << 23, 1 << 18
 
 PARTIAL = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("stats", pa.bool_())])
 PARTIAL_DDL = "chunk bigint, docs binary, sums binary, stats boolean"
@@ -84,7 +88,7 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         # What other chunks do not have is counted here, and needs no name that others know.
         trains_here = np.repeat(np.array(row["marks"]) == 0, lengths)
         counts = np.bincount(tokens[trains_here], minlength=size)
-        ids = OWN_WORD | row["chunk"] << 24 | np.arange(size)
+        ids = OWN_WORD | row["chunk"] << PLACE_BITS | np.arange(size)
         place = words["place"].to_numpy()
         ids[place], counts[place] = words["id"].to_numpy(), words["n"].to_numpy()
         doc = np.repeat(np.arange(n_docs_here), lengths)
@@ -97,16 +101,8 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         context = np.zeros(len(tokens), np.uint64)
         context[1:] = tokens[:-1] + 1
         context[np.cumsum(lengths) - lengths] = 0
-        # Context, word and document in one number: 23, 23 and 18 bits hold any chunk.
-        key = context << np.uint64(41) | tokens.astype(np.uint64) << np.uint64(18) | doc.astype(np.uint64)
-        del context, tokens, doc
-        key.sort()
-        at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        times = np.diff(np.append(at, len(key))).astype(np.uint32)
-        key = key[at]
-        context, word = (key >> np.uint64(41)).astype(np.int32), (key >> np.uint64(18)).astype(np.int32) & 0x7FFFFF
-        doc = key.astype(np.uint32) & np.uint32(0x3FFFF)
-        del key, at
+        context, word, doc, times = _distinct(context, tokens, doc, size < PACKED_WORDS and n_docs_here <= PACKED_DOCS)
+        del tokens
         context_ids = np.concatenate([[BEGIN], ids])
         context_counts = np.concatenate([[n_docs], counts])
         parts = np.maximum(1, -(-context_counts // limit)).astype(np.uint32)
@@ -115,7 +111,7 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         order = np.argsort(shard, kind="stable")
         shard, context, word, doc, times = shard[order].astype(np.int64), context[order], word[order], doc[order], times[order]
         bounds = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-        trains = squeeze((np.array(row["marks"]) == 0).astype(np.uint8))
+        trains = np.array(row["marks"])[doc] == 0
         for a, b in zip(bounds, bounds[1:], strict=False):
             own_contexts, c = np.unique(context[a:b], return_inverse=True)
             own_words, w = np.unique(word[a:b], return_inverse=True)
@@ -124,13 +120,32 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
                 "context": squeeze(np.diff(c, prepend=0).astype(np.uint32)), "word": squeeze(w.astype(np.uint32)),
                 "doc": squeeze(doc[a:b]), "times": squeeze(times[a:b]),
                 "contexts": squeeze(np.concatenate([context_ids[own_contexts], context_counts[own_contexts]])),
-                "words": squeeze(np.concatenate([ids[own_words], counts[own_words]])), "trains": trains,
+                "words": squeeze(np.concatenate([ids[own_words], counts[own_words]])), "trains": np.packbits(trains[a:b]).tobytes(),
             })
         return pa.Table.from_pylist(out, schema=PAIRS)
 
     return run
 
 
+def _distinct(context: np.ndarray, word: np.ndarray, doc: np.ndarray, packed: bool):
+    """Distinct (context, word, document), sorted, and how often each comes; ``packed``: they fit one number."""
+    if packed:
+        key = context << np.uint64(41) | word.astype(np.uint64) << np.uint64(18) | doc.astype(np.uint64)
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        times = np.diff(np.append(at, len(key))).astype(np.uint32)
+        key = key[at]
+        context, word = (key >> np.uint64(41)).astype(np.int64), (key >> np.uint64(18)).astype(np.int64) & 0x7FFFFF
+        return context, word, key.astype(np.uint32) & np.uint32(0x3FFFF), times
+    order = np.lexsort((doc, word, context))
+    columns = [c.astype(np.int64)[order] for c in (context, word, doc)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    context, word, doc = (c[at] for c in columns)
+    return context, word, doc.astype(np.uint32), np.diff(np.append(at, len(order))).astype(np.uint32)
+
+
 def _hashed(ids: np.ndarray) -> np.ndarray:
     """32 well-mixed bits of each number."""
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +167,7 @@ def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> li
         words.append(unsqueeze(row["word"]))
         docs.append(doc)
         times.append(unsqueeze(row["times"]))
-        trains.append(unsqueeze(row["trains"])[doc] > 0)
+        trains.append(np.unpackbits(np.frombuffer(row["trains"], np.uint8), count=len(doc)) > 0)
         of_row.append(np.full(len(doc), k, np.int32))
     table_c, table_w = np.concatenate(context_tables, axis=1), np.concatenate(word_tables, axis=1)
     context_ids, first = np.unique(table_c[0], return_index=True)
@@ -209,7 +224,7 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column, prior:
     chunks = token_chunks(rows)
     # One shuffle by word: its count everywhere, in how many chunks it is, and its first place as its name.
     word = Window.partitionBy("word")
-    place = F.shiftleft("chunk", 24) + F.col("place")
+    place = F.shiftleft("chunk", PLACE_BITS) + F.col("place")
     named = _word_counts(chunks).select(
         "chunk", "place", F.sum("n").over(word).alias("n"), (F.count(F.lit(1)).over(word) > 1).alias("shared"),
         F.min(place).over(word).alias("id"), (F.min(place).over(word) == place).alias("first"), (F.col("word") == F.lit(END)).alias("ends"),

@@ -315,3 +315,57 @@ def test_pipeline(spark, sf_dir):
     assert whole == sorted((r.doc_id, r.piece, r.length) for r in placed)
     assert max(Counter({r.sequence_id: r.offset + r.length for r in placed}).values()) <= 4096
     assert packing.best_patterns({}, 4096) == []
+
+
+def test_chunks_are_numbered_without_gaps(spark, texts, monkeypatch):
+    from logwarden.llm import corpus
+
+    rows = [(i, f"w{i} " * 30) for i in range(60)]
+    df = texts(rows, parts=13).withColumn("mark", F.lit(0).cast("long")).select("doc_id", "text", "mark")
+    chunks = corpus.token_chunks(df, chunk_bytes=200).select("chunk", "doc_ids").collect()
+    assert sorted(r["chunk"] for r in chunks) == list(range(len(chunks)))
+    assert sorted(i for r in chunks for i in r["doc_ids"]) == list(range(60))
+
+
+def test_scores_do_not_depend_on_how_high_chunk_numbers_are(spark, texts, monkeypatch):
+    """Chunks as of partitions 0, 16,384, 70,000 and beyond, without closing the gaps: their words stay apart."""
+    from logwarden.llm import corpus
+
+    rows = [(i, f"only{i} shared words here {'x' * (i % 3)} again only{i}") for i in range(30)]
+    close = corpus.token_chunks
+    numbers = F.expr("element_at(array(0L, 16384L, 70000L, 536870911L), int(chunk) + 1)")
+    monkeypatch.setattr(lm, "token_chunks", lambda docs: close(docs).withColumn("chunk", numbers))
+    docs = texts(rows, parts=4)
+    same_scores(lm.score_corpus(spark, docs, F.expr(HELD)).collect(), brute_scores(rows, lm.PRIOR), 1e-6)
+
+
+def test_pairs_of_a_large_chunk_are_those_of_a_packed_one():
+    draw = np.random.default_rng(0)
+    context, word, doc = (draw.integers(0, 9, 500).astype(kind) for kind in (np.uint64, np.uint32, np.int64))
+    packed, sorted_ = (lm._distinct(context, word, doc, how) for how in (True, False))
+    for a, b in zip(packed, sorted_, strict=True):
+        assert a.astype(np.int64).tolist() == b.astype(np.int64).tolist()
+
+
+def test_toxic_passage_in_long_clean_texts(spark):
+    """A toxic text among thousands of clean words is found; the clean words alone are not flagged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 3 != 0"))
+    held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").orderBy("doc_id").collect()
+    clean = [r["text"] for r in held if not r["toxic"] and r["text"]]
+    short = [r["text"] for r in held if r["toxic"] and 60 <= len((r["text"] or "").split()) <= 400]
+    score = model.scorer()
+    flagged = lambda texts: model.above(np.array([score(t) for t in texts]))[:, 0] >= model.cut
+    found = [t for t, f in zip(short, flagged(short), strict=True) if f][:60]
+    assert len(found) >= 40
+    assert flagged(clean).mean() < 0.01
+    for n in (500, 2_000, 20_000):
+        planted = []
+        for i, text in enumerate(found):
+            words, k = [], i
+            while len(words) < 2 * n:
+                words += clean[k % len(clean)].split()
+                k += 1
+            planted.append(" ".join([*words[:n], *text.split(), *words[n : 2 * n]]))
+        assert flagged(planted).mean() >= 0.9
