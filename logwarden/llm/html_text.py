@@ -30,11 +30,8 @@ PROSE_WORDS = 40
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.S,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,6 +55,14 @@ _PARTS_LEFT_OUT = {
     "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
     "widget", "toolbar", "pagination", "pager", "banner", "masthead", "copyright", "disclaimer", "search", "skip", "paywall",
 }
+#: Words that class names join to those; a name of other words too ("share-of-market") names something else.
+_PARTS_NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "column", "container", "content", "count", "form", "group", "icon",
+    "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post",
+    "posts", "right", "row", "section", "site", "text", "title", "top", "wrap", "wrapper",
+}
+#: Elements of running text; inside an article their class names tell nothing about the site.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "td", "th", "dd", "dt", "b", "i", "em", "strong", "a", "span"}
 #: A class name with one of these describes a layout ("with-sidebar"), not the part itself.
 _LAYOUT = {"with", "has", "no", "layout"}
 _ARTICLE_PARTS = {"article", "post", "entry", "story", "content"}
@@ -70,7 +75,7 @@ class Line:
     """A block's text, the open elements around it, and what part of the page it is in."""
 
     text: str
-    path: str
+    path: int
     part: int
 
 
@@ -91,8 +96,10 @@ def _part(name: str, attributes: dict[str, str], around: int) -> int:
     parts: set[str] = set()
     for value in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         own = {p.lower() for p in _NAME_PART.findall(value)}
-        if not own & _LAYOUT:
+        if not own & _LAYOUT and own <= _PARTS_LEFT_OUT | _PARTS_NEUTRAL | _ARTICLE_PARTS | {"header"}:
             parts |= own
+    if around == ARTICLE and name in _PROSE:
+        parts = set()
     if name not in ("body", "html", "article", "main") and parts & _PARTS_LEFT_OUT:
         return OUT
     if name == "article":
@@ -108,13 +115,82 @@ def _part(name: str, attributes: dict[str, str], around: int) -> int:
     return around
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag; comments have no name.
+
+    Quotes in attributes may hold ``>``; one that is never closed is a sign like any other. Each search goes on
+    from the last one's end, so that time follows the page's length whatever its markup.
+    """
+    last = {quote: html.rfind(quote) for quote in "\"'"}
+    at, size = 0, len(html)
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith(("<!", "<?"), start):
+            ends = "-->" if html.startswith("<!--", start) else "]]>" if html.startswith("<![CDATA[", start) else ">"
+            found = html.find(ends, start + 2)
+            at = size if found < 0 else found + len(ends)
+            yield start, at, "", False, ""
+            continue
+        name = _NAME.match(html, start)
+        if not name:
+            at = start + 1
+            continue
+        place = name.end()
+        while (found := _QUOTE_OR_END.search(html, place)) and found[0] != ">":
+            place = found.end()
+            if last[found[0]] >= place:
+                place = html.find(found[0], place) + 1
+        end = found.start() if found else size
+        at = min(end + 1, size)
+        yield start, at, name[1].lower(), html[start + 1] == "/", html[name.end() : end]
+
+
+class _Open:
+    """The open elements, with the part of the page and the blocks around that each stands for."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = []
+        self.count: Counter[str] = Counter()
+
+    @property
+    def part(self) -> int:
+        return self.stack[-1][1] if self.stack else OTHER
+
+    @property
+    def path(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
+    def push(self, name: str, part: int) -> None:
+        # Blocks around are told by a number, which costs the same at any depth.
+        self.stack.append((name, part, hash((self.path, name)) if name in _BLOCK else self.path))
+        self.count[name] += 1
+
+    def close(self, name: str, walls: set[str]) -> None:
+        """Close the innermost element of this name, unless one of ``walls`` stands before it."""
+        if not self.count[name]:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == name:
+                for other, _, _ in self.stack[i:]:
+                    self.count[other] -= 1
+                del self.stack[i:]
+                return
+            if self.stack[i][0] in walls:
+                return
+
+
 def page_lines(html: str) -> list[Line]:
     """The lines of a page that no markup leaves out, in page order; markup may be broken or cut off."""
     lines: list[Line] = []
     pieces: list[str] = []
-    stack: list[tuple[str, int]] = []
-    part, opened = OTHER, OTHER
-    path = ""
+    open_ = _Open()
+    path, opened, at, raw_until = 0, OTHER, 0, 0
+
+    def text_to(end: int) -> None:
+        nonlocal path, opened
+        if open_.part != OUT and end > at:
+            if not pieces:
+                opened, path = open_.part, open_.path
+            pieces.append(html[at:end])
 
     def end_line() -> None:
         text = " ".join(unescape("".join(pieces)).split())
@@ -122,47 +198,30 @@ def page_lines(html: str) -> list[Line]:
             lines.append(Line(text, path, opened))
         pieces.clear()
 
-    at, size = 0, len(html)
-    while at < size:
-        found = _MARKUP.search(html, at)
-        text = html[at : found.start() if found else size]
-        if part != OUT and text:
-            if not pieces:
-                opened, path = part, "/".join(n for n, _ in stack if n in _BLOCK)
-            pieces.append(text)
-        if not found:
-            break
-        at = found.end()
-        name = (found["name"] or "").lower()
+    for start, end, name, closes, attributes in tags(html):
+        if start < raw_until:
+            continue
+        text_to(start)
+        at = end
         if not name:
             continue
         if name in _BLOCK:
             end_line()
-        if found["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in _BOX and stack[i][0] in _BOX:
-                    break
-            part = stack[-1][1] if stack else OTHER
+        if closes:
+            open_.close(name, set() if name in _BOX else _BOX)
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else size
+            # What is inside is no markup; without an end the rest of the page is inside.
+            found = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, end)
+            at = raw_until = found.end() if found else len(html)
             continue
-        if name in _VOID or found["attributes"].endswith("/") and name not in _BLOCK:
+        if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             continue
         if name == "p" or name == "li":
             # A paragraph or item that was not closed ends where the next one begins.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BOX - {name}:
-                    break
-        part = _part(name, _attributes(found["attributes"]), stack[-1][1] if stack else OTHER)
-        stack.append((name, part))
+            open_.close(name, _BOX - {name})
+        open_.push(name, _part(name, _attributes(attributes), open_.part))
+    text_to(len(html))
     end_line()
     return lines
 
@@ -222,12 +281,29 @@ def _nearness(a: Page, b: Page) -> int:
 
 
 def _top(page: Page) -> int:
-    """The highest part that has text counts: ``article``, ``main``, a named block, else the whole page."""
-    return max((line.part for line in page.lines), default=OTHER)
+    """The part that holds the article: the highest one, unless one below has more text than all above it.
+
+    The lines that count are those of this part and of higher ones. A page may have a story in a named block
+    and a short ``article`` that only points to another one.
+    """
+    sizes = [0] * (ARTICLE + 1)
+    for line in page.lines:
+        sizes[line.part] += len(line.text)
+    top = max((line.part for line in page.lines), default=OTHER)
+    above = sizes[top]
+    for part in range(top - 1, OTHER, -1):
+        if sizes[part] > above:
+            top = part
+        above += sizes[part]
+    return top
+
+
+def _own_lines(page: Page, part: int) -> list[Line]:
+    return [line for line in page.lines if line.part >= part]
 
 
-def _keys(page: Page, part: int) -> list[tuple[str, str]]:
-    return [(line.path, line.text) for line in page.lines if line.part == part]
+def _keys(page: Page, part: int) -> list[tuple[int, str]]:
+    return [(line.path, line.text) for line in _own_lines(page, part)]
 
 
 def is_copy(a: Page, b: Page) -> bool:
@@ -256,7 +332,7 @@ def kept_lines(page: Page, neighbours: list[Page]) -> list[Line]:
     least two neighbours that are no copies have such a part and every one of these shares the line.
     """
     top = _top(page)
-    own = [line for line in page.lines if line.part == top]
+    own = _own_lines(page, top)
     keys = _keys(page, top)
     near = sorted(neighbours, key=lambda p: -_nearness(page, p))
     pairs = [(common_lines(keys, theirs), theirs) for p in near if (theirs := _keys(p, top))]
@@ -267,10 +343,9 @@ def kept_lines(page: Page, neighbours: list[Page]) -> list[Line]:
     if not found:
         return own
     by_all = set.intersection(*found) if len(found) > 1 else set()
-    prose = top == ARTICLE
     return [
         line for i, line in enumerate(own)
-        if i not in found[0] or (prose or line.text.count(" ") >= PROSE_WORDS) and i not in by_all
+        if i not in found[0] or (line.part == ARTICLE or line.text.count(" ") >= PROSE_WORDS) and i not in by_all
     ]
 
 

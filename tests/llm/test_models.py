@@ -369,3 +369,37 @@ def test_toxic_passage_in_long_clean_texts(spark):
                 k += 1
             planted.append(" ".join([*words[:n], *text.split(), *words[n : 2 * n]]))
         assert flagged(planted).mean() >= 0.9
+
+
+def article(html):
+    page = html_text.Page(1, "u", "h", "/p", html_text.page_lines(html))
+    return " ".join(line.text for line in html_text._own_lines(page, html_text._top(page)))
+
+
+def test_class_names_drop_parts_of_the_site_but_no_prose():
+    html = (
+        '<article><h1>T</h1><p id="share-of-market">The share.</p><p class="reply">Reply prose.</p>'
+        '<div class="notice">Cookies!</div><div class="share-links">Send</div><div id="comments"><p>First!</p></div><p>End</p></article>'
+    )
+    assert article(html) == "T The share. Reply prose. End"
+
+
+def test_a_teaser_does_not_hide_the_story():
+    html = '<div id="content"><h1>Story</h1><p>The long story of this page goes on here.</p></div><article class="teaser">More</article>'
+    assert article(html) == "Story The long story of this page goes on here. More"
+
+
+def test_unclosed_quotes_leave_no_markup_in_the_text():
+    assert article('<p title="a > b">one <a title="open>two</a> three</p>') == "one two three"
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", '<a href="x>', "<div>", "<b></section>", "<p><b></i>", "<li><div></p>", "<!-- <", "<script>", "<x y='", "</", "<b><i></p>"]
+)
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    html = "<article>" + part * (1_000_000 // len(part)) + '"'
+    start = time.process_time()
+    html_text.page_lines(html)
+    assert time.process_time() - start < 6
