@@ -809,3 +809,27 @@ ORACLE |= {
         WHERE window_start + 60 <= (SELECT max(second) FROM logins WHERE failed = 1) - 120""",
     ),
 }
+
+#: What deals the lines of a log over files: the same bounds as ``registry.log_files`` for its least number of files.
+_FILES = """, sizes AS (SELECT count(*) AS n, max(line_no) + 1 AS top FROM lines),
+file_of AS (
+  SELECT line_no AS id, (SELECT max(k) FROM range(0, 1000) AS r(k), sizes
+    WHERE k < greatest(4, (n + 199999) // 200000)
+      AND round_even(top * power(k / greatest(4, (n + 199999) // 200000), 1.5), 0) <= line_no) AS file
+  FROM lines)"""
+
+ORACLE |= {
+    "flood_trailing_spread": _with(
+        COUNTED.replace("lines AS (\n  SELECT event_id AS line_no", "lines AS (\n  SELECT event_id * 1000003 % 1073741827 AS line_no"),
+        "SELECT line_no, ip, requests_10s, failed_logins_60s FROM counted",
+    ),
+    "log_page_view": _store(
+        f"""SELECT {LOG_ROW} FROM store WHERE contains(lower(url), 'api') OR contains(lower(ip), 'api')
+        OR contains(lower(threat_type), 'api') ORDER BY ingest_seq DESC LIMIT 7 OFFSET 140"""
+    ),
+    "stream_metadata": _with(
+        PARSED + _FILES,
+        """SELECT 'RDD-0' || file AS batch_id, count(*) AS records_processed, TRUE AS measured
+        FROM parsed JOIN file_of ON id = line_no GROUP BY file""",
+    ),
+}

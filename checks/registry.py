@@ -34,7 +34,7 @@ from logwarden.operators.rules import (
     flat_rule,
     with_decoded_url,
 )
-from logwarden.plans import pipeline
+from logwarden.plans import pipeline, views
 from logwarden.plans.pipeline import enrich, score_lines
 from logwarden.plans.training import label_lines, retrain
 from logwarden.plans.views import LOG_COLUMNS as LOG_ROW
@@ -49,6 +49,9 @@ from logwarden.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Deal line numbers out over a large range: multiplied modulo a prime, so that they stay different.
+SPREAD, SPREAD_PRIME = 1_000_003, 1_073_741_827
+
 FORMAT_ROW = ["line_no", "log_type", "timestamp", "ip", "method", "url", "status"]
 
 
@@ -155,6 +158,12 @@ def trailing(column: str) -> Query:
     return lambda spark, sf: add_trailing_counts(parsed(spark, sf)).select("line_no", "ip", column)
 
 
+def trailing_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Both rates of lines whose numbers do not run with time, so that nearly every row is a cell of its own."""
+    rows = parsed(spark, sf).withColumn("line_no", F.col("line_no") * SPREAD % SPREAD_PRIME)
+    return add_trailing_counts(rows).select("line_no", "ip", "requests_10s", "failed_logins_60s")
+
+
 def signature_match(spark: SparkSession, sf: str) -> DataFrame:
     logs = with_decoded_url(parsed(spark, sf)).select(
         F.col("line_no").alias("id"), F.lit("log").alias("kind"), F.col("decoded_url").alias("text")
@@ -267,6 +276,7 @@ SQL_QUERIES: dict[str, Query] = {
     "display_labels": display_labels,
     "flood_trailing": trailing("requests_10s"),
     "brute_force_trailing": trailing("failed_logins_60s"),
+    "flood_trailing_spread": trailing_spread,
     "signature_match": signature_match,
     "sensitive_path": sensitive_path,
     "rule_verdicts": lambda spark, sf: flat_rule(ruled(spark, sf), "line_no"),
@@ -371,6 +381,28 @@ def latest_rows_files(spark: SparkSession, sf: str) -> DataFrame:
     return newest.select("line_no", "ip", "timestamp", "url", "status")
 
 
+def log_page_view(rows: DataFrame) -> DataFrame:
+    """A page deep in the filtered log, found by the count index."""
+    return views.log_page(rows, 21, 7, search="API").rows
+
+
+def stream_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each batch of a live ingest of text files, and whether its other figures are there."""
+    files = log_files(spark, sf)
+    folder = scratch_folder(spark, "ingest-metadata")
+    lines = stream_lines(spark, f"{files[0].rsplit('/', 1)[0]}/*")
+    live.drain(
+        live.ingest_stream(
+            lines, f"{folder}/store", f"{folder}/state", f"{folder}/checkpoint", strict=True,
+            metadata=f"{folder}/metadata",
+        )
+    )
+    measured = (F.col("execution_time_sec") > 0) & (F.col("partitions") > 0) & (F.col("processing_speed_lps") >= 0)
+    return live.read_metadata(spark, f"{folder}/metadata").select(
+        "batch_id", "records_processed", measured.alias("measured")
+    )
+
+
 def analysis(spark: SparkSession, sf: str, **conditions) -> pipeline.Analysis:
     return pipeline.analyze(samples.log_lines(spark, sf), "apache", mode="drop", **conditions)
 
@@ -452,6 +484,7 @@ def parse_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_QUERIES |= {
+    "log_page_view": on_store(log_page_view),
     "scan_text_files": scan_text_files,
     "latest_rows_files": latest_rows_files,
     "analyze_records": analyze_records,
@@ -626,6 +659,7 @@ STREAM_QUERIES: dict[str, Query] = {
     "stream_flood_text": stream_flood_text,
     "stream_windows": stream_windows,
     "stream_windows_text": stream_windows_text,
+    "stream_metadata": stream_metadata,
 }
 
 MODEL_QUERIES: dict[str, Query] = {

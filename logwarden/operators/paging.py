@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PAGE = 500
+INDEX_BITS = 16
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
@@ -39,6 +40,39 @@ def page_before(rows: DataFrame, ingest_seq: int, size: int = 50) -> DataFrame:
     return keep_latest(rows.filter(F.col("ingest_seq") < ingest_seq), size)
 
 
+def page_index(rows: DataFrame, bits: int = INDEX_BITS) -> DataFrame:
+    """``range, count``: rows in each range of 2^``bits`` numbers; one pass over one column.
+
+    Written once (and added to with each batch), it finds any page without a sort of the table.
+    """
+    return rows.groupBy(F.shiftright("ingest_seq", bits).alias("range")).agg(F.count("*").alias("count"))
+
+
+def page_by_index(
+    rows: DataFrame, index: DataFrame, number: int = 1, size: int = 50, bits: int = INDEX_BITS
+) -> DataFrame:
+    """``page`` by the counts of ``page_index``: only the ranges that hold the page are read and sorted.
+
+    A sum over the index, newest range first, finds them; one row with their bounds comes to the driver. The index must be that of the same rows, filters included.
+    """
+    if number < 1 or not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"page {number} of {size} rows (at most {MAX_PAGE})")
+    first = (number - 1) * size
+    newer = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = index.withColumn("newer", F.coalesce(F.sum("count").over(newer), F.lit(0)))
+    reached = placed.filter(
+        (F.col("newer") < first + size) & (F.col("newer") + F.col("count") > first)
+    )
+    found = reached.agg(
+        F.min("range").alias("oldest"), F.max("range").alias("newest"), F.min("newer").alias("newer")
+    ).first()
+    if found["oldest"] is None:
+        return newest_first(rows).limit(0)
+    low, high = found["oldest"] << bits, (found["newest"] + 1) << bits
+    near = rows.filter((F.col("ingest_seq") >= low) & (F.col("ingest_seq") < high))
+    return newest_first(near).offset(first - found["newer"]).limit(size)
+
+
 def page_counts(rows: DataFrame, condition: Column, size: int = 50) -> DataFrame:
     """One row: all rows, rows that pass ``condition``, and pages they fill."""
     counts = rows.agg(

@@ -1,8 +1,9 @@
 """Trailing per-address counts that stay exact and balanced when one address is very hot.
 
 Rows of one address are never one task. They are split into cells (address, second, block of 65,536
-row numbers); cells are pre-aggregated, and the trailing sums run over cells, one group per address
-and ten minutes, with the last minute of the ten minutes before. Each row adds its rank in its cell.
+row numbers), which are pre-aggregated. The trailing sums run over seconds, one group per address and
+ten minutes, with the last minute of the ten minutes before; a second's cells are summed among themselves.
+Each row adds its rank in its cell.
 """
 
 from __future__ import annotations
@@ -54,33 +55,60 @@ def count_cells(rows: DataFrame) -> DataFrame:
 
 
 def trailing_before_cell(cells: DataFrame) -> DataFrame:
-    """Requests and failed logins of the trailing windows that precede each cell's first row."""
+    """Requests and failed logins of the trailing windows that precede each cell's first row.
+
+    Two levels of sums. Over the seconds of a span there is one row a second, however many cells a second has;
+    within a second there is one row a block of line numbers. So no group grows with an address's rows, also
+    where line numbers do not run with time and every row is a cell of its own.
+    """
     span = F.expr(f"_second div {SPAN_SECONDS}")
     near_end = F.col("_second") % SPAN_SECONDS >= SPAN_SECONDS - OVERLAP_SECONDS
+    cells = cells.withColumn("_span", span)
+    in_second = Window.partitionBy("_span", "ip", "_second").orderBy("_block")
+    so_far = in_second.rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier_here(column: str) -> Column:
+        return F.coalesce(F.sum(column).over(so_far), F.lit(0))
+
+    here = cells.withColumns(
+        {"_requests_here": earlier_here("_requests"), "_failures_here": earlier_here("_failures")}
+    )
 
     def copy(offset: int) -> Column:
         return F.struct(
-            (span + offset).alias("_span"), F.lit(offset > 0).alias("_overlap")
+            (F.col("_span") + offset).alias("_in"), F.lit(offset > 0).alias("_overlap")
         )
 
     copies = F.when(near_end, F.array(copy(0), copy(1))).otherwise(F.array(copy(0)))
-    spread = cells.select("*", F.inline(copies))
-    in_span = Window.partitionBy("ip", "_span")
-    first = Window.unboundedPreceding
-    earlier = in_span.orderBy("_second", "_block").rowsBetween(first, -1)
-
-    def before(column: str, seconds: int) -> Column:
-        # Running totals minus what is out of reach: both grow row by row, however many cells a
-        # second has, where a sliding frame would be summed again for every second.
-        too_old = in_span.orderBy("_second").rangeBetween(first, -seconds - 1)
-        reached = F.coalesce(F.sum(column).over(earlier), F.lit(0))
-        return reached - F.coalesce(F.sum(column).over(too_old), F.lit(0))
+    seconds = cells.groupBy("_span", "ip", "_second").agg(
+        F.sum("_requests").alias("_requests"), F.sum("_failures").alias("_failures")
+    )
+    in_span = Window.partitionBy("ip", "_in_span").orderBy("_second")
 
-    return (
-        spread.withColumn("_requests_before", before("_requests", V.FLOOD_SECONDS))
-        .withColumn("_failures_before", before("_failures", V.FAILED_LOGIN_SECONDS))
+    def earlier_seconds(column: str, reach: int) -> Column:
+        return F.coalesce(F.sum(column).over(in_span.rangeBetween(-reach, -1)), F.lit(0))
+
+    before = (
+        seconds.select("*", F.inline(copies)).withColumnRenamed("_in", "_in_span")
+        .withColumn("_requests_before", earlier_seconds("_requests", V.FLOOD_SECONDS))
+        .withColumn("_failures_before", earlier_seconds("_failures", V.FAILED_LOGIN_SECONDS))
         .filter(~F.col("_overlap"))
-        .select(*CELL, "_requests", "_failures", "_requests_before", "_failures_before")
+        .select(
+            F.col("_span").alias("_span_of"), F.col("ip").alias("_ip"), F.col("_second").alias("_at"),
+            "_requests_before", "_failures_before",
+        )
+    )
+    same = (
+        (here["_span"] == before["_span_of"])
+        & (here["_second"] == before["_at"])
+        & here["ip"].eqNullSafe(before["_ip"])
+    )
+    return here.join(before, same).select(
+        *CELL,
+        "_requests",
+        "_failures",
+        (F.col("_requests_before") + F.col("_requests_here")).alias("_requests_before"),
+        (F.col("_failures_before") + F.col("_failures_here")).alias("_failures_before"),
     )
 
 

@@ -23,21 +23,33 @@ MAP_COLUMNS = [
 ]
 
 
+#: Pages so near the newest row that a few rows of each task are enough to find them.
+NEAR_PAGES = 20
+
+
 @dataclass
 class LogPage:
     rows: DataFrame
     counts: DataFrame
 
 
-def log_page(store: DataFrame, number: int = 1, size: int = 50, **conditions) -> LogPage:
+def log_page(
+    store: DataFrame, number: int = 1, size: int = 50, index: DataFrame | None = None, **conditions
+) -> LogPage:
     """One page of the filtered log, newest first, with total, filtered and page counts.
 
-    ``conditions`` are the arguments of ``filters.log_condition``.
+    ``conditions`` are the arguments of ``filters.log_condition``. Pages beyond the first ``NEAR_PAGES`` are found
+    by ``index`` (``paging.page_index`` of the filtered rows), which is counted here if it is not given.
     """
     condition = log_condition(**conditions)
-    near = paging.newest_part(store.filter(condition), number * size)
+    chosen = store.filter(condition)
+    if number <= NEAR_PAGES:
+        rows = paging.page(paging.newest_part(chosen, number * size), number, size)
+    else:
+        counts = paging.page_index(chosen) if index is None else index
+        rows = paging.page_by_index(chosen, counts, number, size)
     return LogPage(
-        paging.page(near, number, size).select(*LOG_COLUMNS),
+        rows.select(*LOG_COLUMNS),
         paging.page_counts(store, condition, size),
     )
 

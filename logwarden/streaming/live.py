@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -141,18 +141,26 @@ def ingest_batch(
     classifier: str = "isolation_forest",
     profile_places: bool = True,
     strict: bool = False,
+    metadata: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """What ``ingest_stream`` does with each batch of lines and its number.
 
-    Every batch owns the folder ``batch=<id>`` of the store and of the ``figures``: a repeated batch
-    replaces its rows and its partial figures, so neither is counted twice.
+    Every batch owns the folder ``batch=<id>`` of the store, the ``figures`` and the ``metadata``: a repeated
+    batch replaces its rows, partial figures and metadata, so nothing is counted twice.
     """
 
     def use(parsed: DataFrame, earlier: DataFrame, batch_id: int) -> None:
         rows = judge(parsed, models, classifier, profile_places, True, earlier)
-        tagged = tag_batch(rows, batch_id).select(*STORE_COLUMNS)
+        seen, start = Observation(f"batch {batch_id}"), time.perf_counter()
+        tagged = tag_batch(rows, batch_id).select(*STORE_COLUMNS).observe(seen, F.count("*").alias("rows"))
         own = f"{store}/batch={batch_id}"
         write_store(tagged, own, "overwrite")
+        if metadata is not None:
+            seconds = max(time.perf_counter() - start, 1e-3)
+            n = seen.get["rows"]
+            row = (n, round(seconds, 3), int(n / seconds), parsed.rdd.getNumPartitions(), f"RDD-0{batch_id}")
+            one = parsed.sparkSession.createDataFrame([row], METADATA_SCHEMA).coalesce(1)
+            one.write.mode("overwrite").parquet(f"{metadata}/batch={batch_id}")
         if figures is not None:
             # From the stored columns, not by judging the lines again.
             stored = parsed.sparkSession.read.schema(tagged.schema).parquet(own)
@@ -172,12 +180,14 @@ def ingest_stream(
     strict: bool = False,
     trigger: dict | None = None,
     figures: str | None = None,
+    metadata: str | None = None,
 ) -> StreamingQuery:
     """Parse, judge and place each batch and add it to the store, exactly once per batch.
 
-    With ``figures``, each batch's partial counts are kept there for ``read_kpis`` and ``read_counts``.
+    With ``figures``, each batch's partial counts are kept there for ``read_kpis`` and ``read_counts``; with
+    ``metadata``, a row for each batch (``METADATA_SCHEMA``) for ``read_metadata``.
     """
-    run = ingest_batch(store, state, figures, models, classifier, profile_places, strict)
+    run = ingest_batch(store, state, figures, models, classifier, profile_places, strict, metadata)
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -198,6 +208,17 @@ FIGURES_SCHEMA = (
 )
 
 
+METADATA_SCHEMA = (
+    "records_processed bigint, execution_time_sec double, processing_speed_lps bigint,"
+    " partitions int, batch_id string"
+)
+
+
+def read_metadata(spark: SparkSession, metadata: str) -> DataFrame:
+    """The newest row of every batch."""
+    return spark.read.schema(METADATA_SCHEMA).parquet(metadata)
+
+
 def figure_counts(rows: DataFrame) -> DataFrame:
     """Partial figures of some rows: counts that add up over batches, a few dozen rows at most."""
     label = F.when(is_anomaly(), attack_label(F.col("url"))).otherwise("")

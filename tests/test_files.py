@@ -301,3 +301,26 @@ def test_parsed_rows_are_staged_once(spark, sf_dir):
     judged = add_rules_in_two_jobs(parse_lines(log_lines(spark, sf_dir), "apache"))
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan
+
+
+@pytest.mark.parametrize("bits", [3, 6, 16])
+def test_deep_pages_by_index(spark, bits):
+    """Every page of numbers with gaps, past the end too, as a plain sort gives it."""
+    numbers = [n for n in range(900) if n % 7 and not 200 < n < 420]
+    rows = spark.createDataFrame([(n,) for n in numbers], "ingest_seq bigint").repartition(5)
+    index = paging.page_index(rows, bits)
+    newest = sorted(numbers, reverse=True)
+    for number in (1, 2, 9, 17, 29, 30, 40):
+        page = paging.page_by_index(rows, index, number, 20, bits)
+        assert [r.ingest_seq for r in page.collect()] == newest[(number - 1) * 20 : number * 20]
+
+
+def test_deep_page_reads_few_ranges(spark, lines, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(400_000).withColumnRenamed("id", "ingest_seq").repartitionByRange(40, "ingest_seq")
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    page = paging.page_by_index(stored, paging.page_index(stored, 10), 5_000, 50, 10)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ingest_seq" in plan and "LessThan(ingest_seq" in plan
+    assert [r.ingest_seq for r in page.limit(1).collect()] == [399_999 - 4_999 * 50]

@@ -130,3 +130,17 @@ def test_no_shuffle_by_address_alone(spark, sf_dir):
         for line in exchanges:
             keys = line.split("hashpartitioning(")[1].split(")")[0]
             assert "_span" in keys or "_block" in keys, line
+
+
+def test_no_group_of_the_sums_holds_an_address(spark):
+    """One address, line numbers spread over a large range: windows run over seconds and over blocks of one second."""
+    from logwarden.operators.rates import trailing_before_cell
+
+    rows = [("9.9.9.9", 60 + i // 40, (i * 7919) % 2000, i, 1, i % 2) for i in range(2000)]
+    cells = spark.createDataFrame(rows, "ip string, _second bigint, _block bigint, _cell bigint, _requests bigint, _failures bigint")
+    got = {r["_cell"]: (r["_requests_before"], r["_failures_before"]) for r in trailing_before_cell(cells).collect()}
+    for _, second, block, cell, _, _ in rows[::37]:
+        earlier = [r for r in rows if (r[1], r[2]) < (second, block)]
+        want = (sum(r[1] >= second - 10 for r in earlier), sum(r[5] for r in earlier if r[1] >= second - 60))
+        assert got[cell] == want
+    assert len(got) == 2000
