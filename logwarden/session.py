@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +37,36 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_folder(spark, "checkpoints"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: later passes read columns instead of parsing again."""
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write once, read back: later passes read columns instead of parsing again.
+
+    ``keep``: the table outlives the ``passing_tables`` it is written in.
+    """
     path = scratch_folder(df.sparkSession, name)
+    made = _passing.get()
+    if made is not None and not keep:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside, but for tables that were staged with ``keep``.
+
+    For a job whose result is itself staged: nothing reads the tables on the way any more, and the shared
+    folder does not fill up with them. After an error they stay.
+    """
+    made: list[str] = []
+    token = _passing.set(made)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+    conf = spark._jsc.hadoopConfiguration()
+    for path in made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)

@@ -324,3 +324,19 @@ def test_deep_page_reads_few_ranges(spark, lines, tmp_path):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ingest_seq" in plan and "LessThan(ingest_seq" in plan
     assert [r.ingest_seq for r in page.limit(1).collect()] == [399_999 - 4_999 * 50]
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    from logwarden.session import passing_tables, stage
+
+    with passing_tables(spark):
+        first = stage(spark.range(5), "first")
+        result = stage(first.selectExpr("id * 2 AS id"), "result", keep=True)
+    assert [r.id for r in result.orderBy("id").collect()] == [0, 2, 4, 6, 8]
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|FAILED_READ_FILE"):
+        first.collect()
+    with pytest.raises(ValueError):
+        with passing_tables(spark):
+            left = stage(spark.range(3), "left")
+            raise ValueError
+    assert left.count() == 3
