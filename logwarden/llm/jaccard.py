@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.common import id_and_text, text_or_empty
 from logwarden.llm.corpus import components, rows_of, squeeze, token_chunks, unsqueeze
-from logwarden.session import stage
+from logwarden.session import passing_tables, stage
 
 #: Shingles that one task counts, about.
 COUNTED = 2_000_000
@@ -41,6 +41,8 @@ HANDED = 2 << 20
 BLOCK = 256
 #: Upper bits of a shingle by which document counts are kept. Equal ones only make a token look more common.
 COUNT_BITS = 48
+#: Documents that go, of which a broadcast holds at most so many (16 bytes each, about 64 MB as a hash table).
+BROADCAST_ROWS = 1_000_000
 #: Stands for a null document id.
 NO_ID = -(1 << 63)
 #: Tie breakers of the orders.
@@ -340,15 +342,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
 
     Documents without words all stay. Of repeated rows one stays.
     """
-    groups = stage(jaccard_groups(spark, docs, size, percent), "groups").where("group_key is not null")
+    with passing_tables(spark):
+        groups = stage(jaccard_groups(spark, docs, size, percent), "groups", keep=True).where("group_key is not null")
     key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"), F.col("mark").alias("gone_mark")]
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "mark")
     kept = groups.groupBy("group_key").agg(F.min(first).alias("kept"))
     told = groups.join(kept, "group_key")
-    gone = told.where(first != F.col("kept")).select(*key).distinct()
+    gone = stage(told.where(first != F.col("kept")).select(*key).distinct(), "gone")
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text_or_empty(F.col("text")))]
     same = lambda other: (own[0] == other["gone_id"]) & (own[1] == other["gone_mark"])
-    left = docs.join(gone, same(gone), "left_anti")
+    # Two numbers a row: up to so many are sent to every task, so that no text is shuffled; more are not.
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same(gone), "left_anti")
     again = told.where(first == F.col("kept")).select(*key).groupBy("gone_id", "gone_mark").count().where("count > 1").drop("count")
     if again.isEmpty():
         return left
