@@ -5,10 +5,10 @@ smallest hash among its five s-mers is the first or the last one. Whether it is
 words alone, so equal passages keep equal anchors wherever they stand. All anchors are kept: two texts are as
 alike as the share of the anchors of both that both hold.
 
-When one of two texts has fewer than four anchors, the words of both are compared instead. A fingerprint as
-text is a digest of bounded length: the 64 anchors with the smallest hashes, in text order, or the words if
-there are fewer than four anchors. A text without words has the empty fingerprint. Letter case and white space
-do not count. Equal texts have likeness 1, an empty one against any other 0.
+The fingerprint is all anchors as 32-bit numbers, in text order. A text of fewer than 16 anchors holds its words
+beside them; when one of two such texts has fewer than four anchors, words are compared with words. Likeness
+follows from the fingerprints as they are returned. A text without words has the empty fingerprint. Letter case
+and white space do not count. Equal texts have likeness 1, an empty one against any other 0.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from logwarden.session import stage
 
 #: Words of a k-mer and of an s-mer.
 K, S = 6, 2
-#: Anchors in a fingerprint as text; nothing is compared by it.
-KEPT = 64
-#: A text with fewer anchors is compared by its words.
-LEAST = 4
+#: A text with fewer anchors holds its words too; one with fewer than ``LEAST`` is compared by them.
+HELD, LEAST = 16, 4
 #: Documents next to each other in ``doc_id`` that one window group holds at most, when ids are distinct.
 ID_BLOCK = 8_192
 
@@ -64,15 +62,22 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return step.drop(hashes, pairs, chosen)
 
 
-def with_fingerprint_text(df: DataFrame, anchors: str, out: str) -> DataFrame:
-    """Add sixteen hex digits for each of the ``KEPT`` least anchors, in text order, of a column of ``with_anchors``."""
-    own, least = f"{out}__own", f"{out}__least"
-    step = df.withColumn(own, F.when(F.size(anchors) >= LEAST, F.col(anchors)).otherwise(F.col(f"{anchors}_words")))
-    # A column of its own, asked for twice, so that it is not computed for each anchor.
-    step = step.withColumn(least, F.get(F.sort_array(own), F.lit(KEPT - 1)))
-    kept = F.when(F.col(least).isNull(), F.col(own)).otherwise(F.filter(own, lambda a: a <= F.col(least)))
-    digits = F.concat_ws("", F.transform(kept, lambda a: F.lpad(F.hex(a), 16, "0")))
-    return step.withColumn(out, digits).drop(own, least)
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add a text's fingerprint: ``out``, its anchors as 32-bit numbers, and ``{out}_words``, its words alike.
+
+    Words are held by texts of fewer than ``HELD`` anchors only, else null. Both are distinct and in text order.
+    """
+    step = with_anchors(df, text, out)
+    short = lambda c: F.array_distinct(F.transform(c, lambda x: F.shiftrightunsigned(x, 32)))
+    words = F.when(F.size(out) < HELD, short(F.col(f"{out}_words")))
+    return step.withColumn(f"{out}_words", words).withColumn(out, short(F.col(out)))
+
+
+def fingerprint_text(fingerprint: str) -> Column:
+    """Eight hex digits for each anchor; where words are held, a colon and eight for each word."""
+    digits = lambda c: F.concat_ws("", F.transform(c, lambda x: F.lpad(F.hex(x), 8, "0")))
+    words = F.col(f"{fingerprint}_words")
+    return F.concat(digits(F.col(fingerprint)), F.when(words.isNull() | (F.size(words) == 0), "").otherwise(F.concat(F.lit(":"), digits(words))))
 
 
 def _shared(a: str, b: str) -> Column:
@@ -82,12 +87,14 @@ def _shared(a: str, b: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the anchors of both that both hold, 0 to 1, for two columns of ``with_anchors``.
+    """Share of the anchors of two fingerprints that both hold, 0 to 1.
 
-    Anchors are compared with anchors, or words with words if either text has few anchors.
+    If either has fewer than ``LEAST`` and both hold words, the share of words. So it follows from the
+    fingerprints alone, and two short texts are compared by words also when one has a few anchors more.
     """
-    enough = (F.size(a) >= LEAST) & (F.size(b) >= LEAST)
-    return F.when(enough, _shared(a, b)).otherwise(_shared(f"{a}_words", f"{b}_words"))
+    few = (F.size(a) < LEAST) | (F.size(b) < LEAST)
+    by_words = few & F.col(f"{a}_words").isNotNull() & F.col(f"{b}_words").isNotNull()
+    return F.when(by_words, _shared(f"{a}_words", f"{b}_words")).otherwise(_shared(a, b))
 
 
 def anchor_positions(docs: DataFrame) -> DataFrame:
@@ -148,13 +155,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     )
     for text, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
-        step = with_anchors(step, text, out)
-    step = with_fingerprint_text(step, "fp", "fingerprint")
-    step = with_fingerprint_text(step, "edited_fp", "edited_fingerprint")
+        step = with_fingerprint(step, text, out)
     return step.select(
         "doc_id", "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint",
+        fingerprint_text("fp").alias("fingerprint"), fingerprint_text("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"),
         likeness("fp", "next_fp").alias("near_next"),
     )

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logwarden.llm import fingerprints, jaccard, neighbours, registry
 from logwarden.llm.common import table, words
@@ -153,8 +154,45 @@ def test_long_texts_share_a_short_passage(spark):
     assert [a for a in places[1] if a in shared] == [a for a in places[2] if a in shared]
     expected = len(shared) / (len(places[1]) + len(places[2]) - len(shared))
     assert near[1] == near[2] == pytest.approx(expected)
-    texts = {len(r.fingerprint) for r in fingerprints.edited_fingerprints(docs).collect()}
-    assert texts == {16 * fingerprints.KEPT}
+    # Every anchor is in the fingerprint, eight digits each.
+    sizes = {r.doc_id: len(r.fingerprint) for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert sizes == {doc_id: 8 * len(places[doc_id]) for doc_id in (1, 2)}
+
+
+def parts_of(fingerprint):
+    """Anchors and words (None if not held) of a fingerprint as text."""
+    anchors, colon, words = fingerprint.partition(":")
+    cut = lambda text: {text[i : i + 8] for i in range(0, len(text), 8)}
+    return cut(anchors), cut(words) if colon or not fingerprint else None
+
+
+def likeness_of(a, b):
+    (x, v), (y, w) = parts_of(a), parts_of(b)
+    if min(len(x), len(y)) < fingerprints.LEAST and v is not None and w is not None:
+        x, y = v, w
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_likeness_follows_from_the_returned_fingerprints(spark, sf_dir):
+    rows = sorted(registry.syncmer_fingerprints(spark, sf_dir).collect(), key=lambda r: -r.doc_id)
+    assert any(":" in r.fingerprint for r in rows) and any(":" not in r.fingerprint for r in rows)
+    for row, following in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert row.near_edited == pytest.approx(likeness_of(row.fingerprint, row.edited_fingerprint))
+        assert row.near_next == pytest.approx(likeness_of(row.fingerprint, following.fingerprint))
+
+
+def test_anchors_are_the_closed_syncmers_of_the_words(spark):
+    """Word hashes and pair hashes by Spark, the rest in plain Python."""
+    words = [f"v{i * i % 61}" for i in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(words).upper())], "doc_id long, text string")
+    h = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", F.xxhash64("w").alias("h")).orderBy("i").collect()
+    h = [r.h for r in h]
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    pairs = [r.p for r in frame([(i, *h[i : i + 2]) for i in range(79)], "i int, a long, b long").orderBy("i").select(F.xxhash64("a", "b").alias("p")).collect()]
+    closed = [i for i in range(75) if min(pairs[i], pairs[i + 4]) <= min(pairs[i + 1 : i + 4])]
+    want = frame([(i, pairs[i], pairs[i + 2], pairs[i + 4]) for i in closed], "i int, a long, b long, c long").orderBy("i")
+    want = list(dict.fromkeys(r.p for r in want.select(F.xxhash64("a", "b", "c").alias("p")).collect()))
+    assert fingerprints.with_anchors(docs, "text", "a").first().a == want
 
 
 def brute_nearest(rows, k=20):
