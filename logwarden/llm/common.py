@@ -35,7 +35,7 @@ def words(text: str) -> list[bytes]:
 
 
 #: Bytes that one generation of a worker's cache holds, about, and what an entry costs beside its key and value.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 130
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 130
 
 #: White space beyond ASCII, fixed by Unicode.
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")

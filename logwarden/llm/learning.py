@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logwarden.llm.common import id_and_text
+from logwarden.llm.common import drop_coder, id_and_text
 
 #: Labelled documents that a fit uses at most: those whose ids have the least hashes.
 SAMPLE = 12_000
@@ -30,6 +30,7 @@ def collected(sample: DataFrame, features: Callable[[str], np.ndarray], dtype: s
     """Feature arrays and labels of a bounded sample, computed in tasks, in ``doc_id`` order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coder()
         for batch in batches:
             rows = [features(text.as_py()).astype(dtype).tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -62,6 +63,7 @@ def with_column(df: DataFrame, text: str, name: str, value: Callable[[list[str]]
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coder()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value(texts), pa.float64())], [*batch.schema.names, name])

@@ -35,6 +35,8 @@ FULL_TIMES, FULL_SHARE = 3, 0.01
 #: Words of a window: a toxic passage is graded beside so many words, however long its text is. There are many
 #: windows in a long text, so one counts only with this much more evidence (log odds; 0.8 instead of 0.5).
 WINDOW, WINDOW_MARGIN = 100, 1.4
+#: Bytes of one generation of the words whose features are known.
+TELLING_BYTES = 16 << 20
 #: Labelled documents that the fit uses at most.
 SAMPLE = 8_000
 #: A feature gets a weight if its log odds are so many standard errors from none.
@@ -91,7 +93,7 @@ class OrdinalModel:
     def scorer(self):
         place = {f: i for i, f in enumerate(self.features.tolist())}
         #: Places of the weighted features of a word.
-        telling = Cache(lambda word: tuple(place[f] for f in hashed(word) if f in place))
+        telling = Cache(lambda word: tuple(place[f] for f in hashed(word) if f in place), TELLING_BYTES)
 
         def score(text: str) -> float:
             own = words_of(text)
