@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +39,10 @@ def collected(sample: DataFrame, features: Callable[[str], np.ndarray], dtype: s
             )
 
     rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, features binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    return [np.frombuffer(f, dtype) for f in rows["features"].to_pylist()], rows["label"].to_numpy()
+    # Views of the collected table in order of ids, not copies of it.
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("features", "ascending")]).to_pylist()
+    cells = rows["features"]
+    return [np.frombuffer(cells[i].as_buffer(), dtype) for i in order], rows["label"].to_numpy()[order]
 
 
 def minimised(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rate: float = 0.1, steps: int = 300) -> np.ndarray:

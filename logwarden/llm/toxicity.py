@@ -158,11 +158,13 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, pull: float = PULL)
     telling = np.flatnonzero(np.abs(log_odds(rows, grades)[1]) >= LEAST_ERRORS)
     if not len(telling):
         return none
-    flat = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    place = np.minimum(np.searchsorted(telling, flat), len(telling) - 1)
-    kept = telling[place] == flat
-    column, row = place[kept], np.repeat(np.arange(n), [r.shape[1] for r in rows])[kept]
-    value = np.concatenate([r[1] for r in rows])[kept].astype(float)
+    # Row by row, so that only the telling features of all texts are in memory twice.
+    tells = np.zeros(WIDTH, bool)
+    tells[telling] = True
+    rows = [r[:, tells[r[0].astype(np.int64)]] for r in rows]
+    column = np.searchsorted(telling, np.concatenate([r[0] for r in rows]).astype(np.int64))
+    row = np.repeat(np.arange(n), [r.shape[1] for r in rows])
+    value = np.concatenate([r[1] for r in rows]).astype(float)
     size = len(telling)
 
     def gradient(x: np.ndarray) -> np.ndarray:
