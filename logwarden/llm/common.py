@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,6 +222,7 @@ def kept_coder(kind, path: str):
 def drop_coder() -> None:
     """Free a worker's coder and its caches; called where tasks need the memory for something else."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def text_encoder(path: str) -> TextEncoder:

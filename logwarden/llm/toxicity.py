@@ -204,7 +204,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Ord
     """Fit on at most ``limit`` labelled documents (``labels``: ``doc_id, toxic``)."""
     rows, toxic = collected(labelled_texts(docs, labels, "toxic", limit), text_features, "f4")
     rows = [r.reshape(2, -1) for r in rows]
-    return OrdinalModel(*fit_ordinal(rows, severity_grades(rows, toxic)))
+    model = OrdinalModel(*fit_ordinal(rows, severity_grades(rows, toxic)))
+    # The driver gives back the memory of the features, which only the fit needs.
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def grade_texts(docs: DataFrame, model: OrdinalModel) -> DataFrame:
