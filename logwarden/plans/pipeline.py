@@ -17,7 +17,7 @@ from ..operators.models import Models, add_scores, chosen
 from ..operators.paging import keep_latest, newest_part
 from ..operators.parse import add_rebuilt_line, parse_lines, tag_batch
 from ..operators.rules import add_rules, add_rules_in_two_jobs
-from ..session import stage
+from ..session import observed, stage
 from ..sinks.tables import append_raw, write_store
 from ..sources.text import read_lines
 from .training import retrain
@@ -103,12 +103,13 @@ def analyze(
         enriched.select(*STORE_COLUMNS).observe(seen, F.count("*").alias("rows")), "analysis"
     )
     seconds = time.perf_counter() - start
+    n = observed(seen, rows=0)["rows"]
     records = filters.filter_batch(rows, **conditions)
     metadata = records.agg(F.count("*").alias("records_filtered")).select(
-        F.lit(seen.get["rows"]).cast("bigint").alias("records_processed"),
+        F.lit(n).cast("bigint").alias("records_processed"),
         "records_filtered",
         F.lit(round(seconds, 3)).alias("execution_time_sec"),
-        F.lit(int(seen.get["rows"] / seconds)).cast("bigint").alias("processing_speed_lps"),
+        F.lit(int(n / seconds)).cast("bigint").alias("processing_speed_lps"),
         F.lit(lines.rdd.getNumPartitions()).alias("partitions"),
         F.lit(f"RDD-0{batch_number}").alias("batch_id"),
     )
@@ -172,7 +173,7 @@ def _write_batch(rows: DataFrame, path: str, version: str, batch: int, mode: str
     spark, seen = rows.sparkSession, Observation(f"batch {batch}")
     counted = rows.observe(seen, F.count("*").alias("rows"), F.max("ingest_seq").alias("newest"))
     write_store(counted, _folder(path, version), mode, gather_dates=gather_dates)
-    got = seen.get
+    got = observed(seen, rows=0, newest=None)
     next_seq = 0 if got["newest"] is None else got["newest"] + 1
     _enter(spark, path, version, batch, got["rows"], next_seq, True)
     return next_seq

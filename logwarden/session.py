@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,6 +38,16 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_folder(spark, "checkpoints"))
 
 
+def observed(seen: Observation, **nothing: object) -> dict:
+    """The figures of a written table; ``nothing`` if Spark found it empty before it ran, and observed none."""
+    try:
+        return seen.get
+    except Py4JJavaError as error:
+        if "AssertionError" not in str(error.java_exception):
+            raise
+        return dict(nothing)
+
+
 _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 

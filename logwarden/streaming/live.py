@@ -25,6 +25,7 @@ from ..operators.rates import (
 )
 from ..operators.rules import with_decoded_url
 from ..plans.pipeline import STORE_COLUMNS, judge
+from ..session import observed
 from ..sinks.tables import write_store
 
 ALLOWED_LATENESS_SECONDS = 120
@@ -157,7 +158,7 @@ def ingest_batch(
         write_store(tagged, own, "overwrite")
         if metadata is not None:
             seconds = max(time.perf_counter() - start, 1e-3)
-            n = seen.get["rows"]
+            n = observed(seen, rows=0)["rows"]
             row = (n, round(seconds, 3), int(n / seconds), parsed.rdd.getNumPartitions(), f"RDD-0{batch_id}")
             one = parsed.sparkSession.createDataFrame([row], METADATA_SCHEMA).coalesce(1)
             one.write.mode("overwrite").parquet(f"{metadata}/batch={batch_id}")
