@@ -16,6 +16,8 @@ from logwarden.llm.common import drop_coder, id_and_text
 #: Labelled documents that a fit uses at most: those whose ids have the least hashes.
 SAMPLE = 12_000
 
+FEATURED = "doc_id bigint, label int, features binary"
+
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> DataFrame:
     """``doc_id, text, label`` of at most ``limit`` labelled ids; equal ids count once, null labels not at all.
@@ -27,8 +29,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id")
 
 
-def collected(sample: DataFrame, features: Callable[[str], np.ndarray], dtype: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature arrays and labels of a bounded sample, computed in tasks, in ``doc_id`` order."""
+def featured(sample: DataFrame, features: Callable[[str], np.ndarray], dtype: str) -> DataFrame:
+    """``doc_id, label, features``: the feature array of each text of a sample, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_coder()
@@ -38,7 +40,12 @@ def collected(sample: DataFrame, features: Callable[[str], np.ndarray], dtype: s
                 [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "features"]
             )
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, features binary").toArrow()
+    return sample.select("doc_id", "text", "label").mapInArrow(run, FEATURED)
+
+
+def collected(rows: DataFrame, dtype: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature arrays and labels of a bounded sample (``FEATURED``), in ``doc_id`` order."""
+    rows = rows.toArrow()
     # Views of the collected table in order of ids, not copies of it.
     order = pc.sort_indices(rows, [("doc_id", "ascending"), ("features", "ascending")]).to_pylist()
     cells = rows["features"]

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.learning import SAMPLE, collected, labelled_texts, logistic, minimised, with_column
+from logwarden.llm.learning import SAMPLE, collected, featured, labelled_texts, logistic, minimised, with_column
 from logwarden.session import stage
 
 #: Bins of a statistic, by quantiles of the sample.
@@ -92,7 +92,7 @@ def fit_shapes(shapes: np.ndarray, good: np.ndarray) -> ShapeModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ShapeModel:
     """Fit on at most ``limit`` labelled documents (``labels``: ``doc_id, quality``)."""
-    rows, good = collected(labelled_texts(docs, labels, "quality", limit), shape, "f8")
+    rows, good = collected(featured(labelled_texts(docs, labels, "quality", limit), shape, "f8"), "f8")
     return fit_shapes(np.array(rows).reshape(-1, len(shape(""))), good.astype(float))
 
 

@@ -22,9 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logwarden.llm.common import Cache, id_and_text
-from logwarden.llm.learning import collected, labelled_texts, logistic, minimised
+from logwarden.llm.learning import FEATURED, collected, featured, labelled_texts, logistic, minimised
+from logwarden.session import passing_tables, stage
 
 #: Hashed features; a weight each, 8 MB.
 WIDTH = 1 << 20
@@ -200,9 +202,51 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic > 0, 1 + np.searchsorted(cuts, share, "left"), 0)
 
 
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """Features that tell toxic texts from others, of ``FEATURED`` rows, summed where the rows are.
+
+    A shade more than ``fit_ordinal`` keeps, which sums again in a fixed order.
+    """
+    sides = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, WIDTH))
+        for batch in batches:
+            for label, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                number, value = np.frombuffer(cell.as_buffer(), "f4").reshape(2, -1)
+                total[int(label > 0)][number.astype(np.int64)] += value
+        met = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[0][met]), pa.array(total[1][met])], ["feature", "other", "toxic"])
+
+    sums = rows.select("label", "features").mapInArrow(run, "feature bigint, other double, toxic double")
+    other, toxic = F.sum("other") + 0.5, F.sum("toxic") + 0.5
+    odds = F.log(toxic / (sides.get(True, 0) + 1)) - F.log(other / (sides.get(False, 0) + 1))
+    errors = (odds / F.sqrt(1 / toxic + 1 / other)).alias("errors")
+    found = sums.groupBy("feature").agg(errors).where(F.abs("errors") >= LEAST_ERRORS - 1e-6).select("feature")
+    return np.sort(found.toArrow()["feature"].to_numpy())
+
+
+def _only(rows: DataFrame, features: np.ndarray) -> DataFrame:
+    """``FEATURED`` rows with these features only."""
+    shared = rows.sparkSession.sparkContext.broadcast(features.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(cell.as_buffer(), "f4").reshape(2, -1) for cell in batch.column(2)]
+            cells = [cell[:, np.isin(cell[0], shared.value)].tobytes() for cell in cells]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], batch.schema.names)
+
+    return rows.select("doc_id", "label", "features").mapInArrow(run, FEATURED)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``limit`` labelled documents (``labels``: ``doc_id, toxic``)."""
-    rows, toxic = collected(labelled_texts(docs, labels, "toxic", limit), text_features, "f4")
+    """Fit on at most ``limit`` labelled documents (``labels``: ``doc_id, toxic``).
+
+    Their features are written once. The driver gets only those that tell toxic texts from others.
+    """
+    with passing_tables(docs.sparkSession):
+        sample = stage(featured(labelled_texts(docs, labels, "toxic", limit), text_features, "f4"), "labelled")
+        rows, toxic = collected(_only(sample, telling_features(sample)), "f4")
     rows = [r.reshape(2, -1) for r in rows]
     model = OrdinalModel(*fit_ordinal(rows, severity_grades(rows, toxic)))
     # The driver gives back the memory of the features, which only the fit needs.

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logwarden.llm import corpus, html_text, lm, packing, quality, registry, toxicity, trie
+from logwarden.llm import corpus, html_text, learning, lm, packing, quality, registry, toxicity, trie
 from logwarden.llm.common import table, words
 
 from .conftest import AWKWARD
@@ -155,6 +155,23 @@ def test_toxicity_cases(spark, texts):
     assert toxicity.grade_texts(docs.limit(0), unfitted).count() == 0
 
 
+def test_telling_features_are_found_where_the_rows_are(spark, texts):
+    rows = [(i, f"fine words about thing{i % 5} here") for i in range(60)] + [(100 + i, f"you idiot idiot fool{i % 5}") for i in range(60)] + AWKWARD
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in [*range(60), *range(100, 160)]], "doc_id long, toxic int")
+    found = []
+    for parts in (1, 7):
+        sample = learning.featured(learning.labelled_texts(texts(rows, parts), labels, "toxic"), toxicity.text_features, "f4")
+        whole, toxic = learning.collected(sample, "f4")
+        whole = [r.reshape(2, -1) for r in whole]
+        errors = toxicity.log_odds(whole, toxic)[1]
+        found.append(toxicity.telling_features(sample).tolist())
+        assert found[-1] == np.flatnonzero(np.abs(errors) >= toxicity.LEAST_ERRORS).tolist()
+        slim, again = learning.collected(toxicity._only(sample, np.array(found[-1])), "f4")
+        same = [toxicity.fit_ordinal(r, toxicity.severity_grades(r, toxic)) for r in (whole, [r.reshape(2, -1) for r in slim])]
+        assert again.tolist() == toxic.tolist() and all((a == b).all() for a, b in zip(*same, strict=True))
+    assert found[0] == found[1] != []
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(7)
     rows, grades = [], []
