@@ -10,6 +10,7 @@ pages nearby must share them.
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections import Counter, OrderedDict, deque
@@ -18,11 +19,14 @@ from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Different pages on each side among which the nearest is sought; copies in between do not count.
 REACH = 3
+#: Pages on each side among which these are sought; exact copies do not count.
+NEAR = 16
 #: A page that shares more than this of what is not frame is a copy and tells nothing about the frame.
 COPY_SHARE = 0.8
 #: Lines of more words may be prose that pages quote.
@@ -268,6 +272,10 @@ class Page:
     host: str
     path: str
     lines: list[Line]
+    #: Of the whole html: equal for exact copies.
+    digest: int = 0
+    #: Whether its text is asked for; other pages only stand beside those.
+    wanted: bool = True
 
 
 def _nearness(a: Page, b: Page) -> int:
@@ -349,92 +357,210 @@ def kept_lines(page: Page, neighbours: list[Page]) -> list[Line]:
     ]
 
 
+@dataclass
+class _Run:
+    """Exact copies that follow one another, the number of their run, and the pages before them, nearest first."""
+
+    number: int
+    pages: list[Page]
+    before: list[Page]
+
+
 class Nearest:
-    """Settles the pages of one host in their order, each with the ``REACH`` different pages nearest on each side.
+    """Settles the pages of one host in their order; what a page keeps follows from the pages around it alone.
 
-    Copies of a page are one group, which the first of them stands for; a page waits until ``REACH`` other groups
-    have followed it, however many copies lie between. Waiting pages share the text of equal lines.
+    Of the ``NEAR`` nearest pages on each side that are no exact copies of it or of one another, the first
+    ``REACH`` different ones count: no copies of the page, nor of each other. Exact copies in a row settle as one
+    run, so a page waits until ``NEAR`` others have followed it, however many copies lie between.
     """
 
     def __init__(self) -> None:
-        #: Number of the newest page of each group, oldest first.
-        self.seen: OrderedDict[int, int] = OrderedDict()
-        self.first: dict[int, Page] = {}
-        self.waiting: deque[tuple[int, int, Page, list[int]]] = deque()
-        self.lines: dict[Line, Line] = {}
+        #: The last pages by digest, newest last.
+        self.recent: OrderedDict[int, Page] = OrderedDict()
+        self.runs: deque[_Run] = deque()
+        #: The waiting runs of each digest.
+        self.waiting: dict[int, deque[_Run]] = {}
+        self.copies: dict[tuple[int, int], bool] = {}
         self.n = 0
 
+    def lines(self, digest: int) -> list[Line] | None:
+        """The lines of a page that is still near."""
+        if digest in self.recent:
+            return self.recent[digest].lines
+        return self.waiting[digest][0].pages[0].lines if digest in self.waiting else None
+
     def add(self, page: Page) -> Iterator[tuple[Page, str]]:
-        page.lines = [self.lines.setdefault(line, line) for line in page.lines]
-        group = next((g for g in reversed(self.seen) if is_copy(page, self.first[g])), self.n)
-        self.first.setdefault(group, page)
-        before = [g for g in reversed(self.seen) if g != group][:REACH]
-        self.seen[group] = self.n
-        self.seen.move_to_end(group)
-        self.waiting.append((self.n, group, page, before))
-        self.n += 1
-        while self.waiting and len(self._after(*self.waiting[0][:2])) >= REACH:
-            yield self._settle()
-        self._forget()
+        if self.runs and self.runs[-1].pages[0].digest == page.digest:
+            self.runs[-1].pages.append(page)
+        else:
+            before = [p for digest, p in reversed(self.recent.items()) if digest != page.digest][:NEAR]
+            self.runs.append(_Run(self.n, [page], before))
+            self.waiting.setdefault(page.digest, deque()).append(self.runs[-1])
+            self.n += 1
+        self.recent[page.digest] = page
+        self.recent.move_to_end(page.digest)
+        if len(self.recent) > NEAR + 1:
+            self.recent.popitem(last=False)
+        while len(self.waiting) > NEAR:
+            yield from self._settle()
 
     def end(self) -> Iterator[tuple[Page, str]]:
-        while self.waiting:
-            yield self._settle()
-
-    def _after(self, number: int, group: int) -> list[int]:
-        out = []
-        for g in reversed(self.seen):
-            if self.seen[g] <= number:
-                break
-            if g != group:
-                out.append(g)
-        return out[::-1]
-
-    def _settle(self) -> tuple[Page, str]:
-        number, group, page, before = self.waiting.popleft()
-        others = [self.first[g] for g in dict.fromkeys(before + self._after(number, group))]
-        return page, " ".join(line.text for line in kept_lines(page, others))
-
-    def _forget(self) -> None:
-        """Drop groups that no waiting page and no later one can meet, and lines once nobody holds many of them."""
-        needed = {g for _, _, _, before in self.waiting for g in before} if len(self.first) > 4 * REACH else set(self.first)
-        oldest = self.waiting[0][0] if self.waiting else self.n
-        for g in list(self.seen)[: -REACH - 1]:
-            if self.seen[g] >= oldest:
-                break
-            if g not in needed:
-                del self.seen[g]
-        for g in [g for g in self.first if g not in self.seen and g not in needed]:
-            del self.first[g]
-        if len(self.lines) > 10_000 and len(self.waiting) <= REACH:
-            self.lines.clear()
-
-
-def _differenced(pages: Iterator[Page]) -> Iterator[tuple[Page, str]]:
-    """Each page and its text, host by host."""
-    near, host = Nearest(), None
-    for page in pages:
-        if page.host != host:
-            yield from near.end()
-            near, host = Nearest(), page.host
-        yield from near.add(page)
-    yield from near.end()
+        while self.runs:
+            yield from self._settle()
+
+    def _settle(self) -> Iterator[tuple[Page, str]]:
+        run = self.runs.popleft()
+        digest = run.pages[0].digest
+        after = sorted((runs[0] for d, runs in self.waiting.items() if d != digest), key=lambda r: r.number)
+        self.waiting[digest].popleft()
+        if not self.waiting[digest]:
+            del self.waiting[digest]
+        wanted = [page for page in run.pages if page.wanted]
+        if not wanted:
+            return
+        sides = (run.before, [r.pages[0] for r in after[:NEAR]])
+        others = {p.digest: p for side in sides for p in self._different(run.pages[0], side)}.values()
+        texts: dict[tuple[int, ...], str] = {}
+        for page in wanted:
+            near = sorted(others, key=lambda p: -_nearness(page, p))
+            order = tuple(p.digest for p in near)
+            if order not in texts:
+                texts[order] = " ".join(line.text for line in kept_lines(page, near))
+            yield page, texts[order]
+
+    def _different(self, page: Page, side: list[Page]) -> list[Page]:
+        chosen: list[Page] = []
+        for p in side:
+            if len(chosen) < REACH and not any(self._is_copy(p, q) for q in (page, *chosen)):
+                chosen.append(p)
+        return chosen
+
+    def _is_copy(self, a: Page, b: Page) -> bool:
+        pair = (min(a.digest, b.digest), max(a.digest, b.digest))
+        if pair not in self.copies:
+            if len(self.copies) > 20_000:
+                self.copies.clear()
+            self.copies[pair] = is_copy(a, b)
+        return self.copies[pair]
+
+
+#: What pages are sorted by; the digest tells equal addresses apart.
+ORDER = ["host", "path", "page_key", "digest"]
+KEY = "host string, path string, page_key bigint, digest bigint"
+#: Ranges hold about so many pages at least, beside which the pages around a range are few.
+RANGE_PAGES = 1_024
+#: More ranges are not made: the ends of all are on the driver and broadcast, 2 * (NEAR + 1) keys each.
+RANGES = 1 << 14
+
+
+def _range_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range: its first key, whether it is one host, and the keys of the distinct pages at both ends.
+
+    ``heads`` are the first pages of the first host, ``tails`` the last ones of the last host, newest first.
+    """
+    first = host = None
+    heads: dict[int, tuple] = {}
+    tails: OrderedDict[int, tuple] = OrderedDict()
+    one = True
+    for batch in batches:
+        for key in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if first is None:
+                first = key
+            elif key[0] != host:
+                one = False
+                tails.clear()
+            host = key[0]
+            if one and len(heads) <= NEAR:
+                heads.setdefault(key[3], key)
+            tails[key[3]] = key
+            tails.move_to_end(key[3])
+            if len(tails) > NEAR + 1:
+                tails.popitem(last=False)
+    if first is not None:
+        names = [f.split()[0] for f in KEY.split(", ")]
+        keys = lambda rows: [dict(zip(names, row, strict=True)) for row in rows]
+        key_type = pa.struct(list(zip(names, [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([one]), pa.array(keys([first]), key_type),
+                pa.array([keys(heads.values())], pa.list_(key_type)), pa.array([keys(reversed(tails.values()))], pa.list_(key_type)),
+            ],
+            ["part", "one_host", "first", "heads", "tails"],
+        )
+
+
+def _around(ranges: list) -> dict[tuple, set[int]]:
+    """Keys of the pages beside each range that it needs, with the ranges that need them.
+
+    A range takes the nearest ``NEAR + 1`` distinct pages of its host from each side; through ranges with
+    fewer of them, the ones beyond are passed on.
+    """
+    needed: dict[tuple, set[int]] = {}
+    for places, ends in ((range(len(ranges)), ("heads", "tails")), (range(len(ranges) - 1, -1, -1), ("tails", "heads"))):
+        passed: list = []
+        for i in places:
+            mine, outer = ranges[i][ends[0]], ranges[i][ends[1]]
+            passed = [key for key in passed if key["host"] == mine[0]["host"]]
+            for key in passed:
+                needed.setdefault(tuple(key), set()).add(i)
+            beyond = passed if ranges[i]["one_host"] else []
+            distinct: dict[int, tuple] = {}
+            for key in (*outer, *beyond):
+                distinct.setdefault(key["digest"], key)
+            passed = list(distinct.values())[: NEAR + 1]
+    return needed
+
+
+def _with_pages_around(pages: DataFrame) -> DataFrame:
+    """Each page in its ``range`` of the order (``own``), and again in those beside which it stands.
+
+    Only keys are sorted to find the ranges; the texts are shuffled once.
+    """
+    spark = pages.sparkSession
+    wide = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(wide, RANGES, pages.count() // RANGE_PAGES))
+    keys = pages.select(*ORDER).repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
+    ends = f"part int, one_host boolean, first struct<{KEY}>, heads array<struct<{KEY}>>, tails array<struct<{KEY}>>"
+    ranges = sorted(keys.mapInArrow(_range_ends, ends).collect(), key=lambda r: r["part"])
+    if len(ranges) < 2:
+        return pages.select("*", F.lit(0).alias("range"), F.lit(True).alias("own")).repartitionById(1, "range")
+    # Binary search for the last range that begins at or before a page; a constant array of the ranges' first keys.
+    begins = F.from_json(F.lit(json.dumps([r["first"].asDict() for r in ranges[1:]])), f"array<struct<{KEY}>>")
+    steps = [1 << bit for bit in reversed(range(len(ranges).bit_length()))]
+    own = F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, step: F.when((at + step < len(ranges)) & (F.get(begins, at + step - 1) <= F.struct(*ORDER)), at + step).otherwise(at),
+    )
+    beside = spark.createDataFrame([(*key, sorted(places)) for key, places in _around(ranges).items()], f"{KEY}, beside array<int>")
+    found = pages.join(F.broadcast(beside), ORDER, "left").withColumn("own_range", own)
+    places = F.array_union(F.array("own_range"), F.coalesce("beside", F.array().cast("array<int>")))
+    dealt = found.withColumn("range", F.explode(places)).withColumn("own", F.col("range") == F.col("own_range"))
+    return dealt.repartitionById(len(ranges), "range")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of each page, a row per input row.
 
-    Pages are split into ranges of host and path, whatever one host's share; a page at a range's end
-    finds its neighbours on the other side. A null or empty page has an empty text; a null url is a host
-    of its own. No pages give no rows.
+    Pages are split into ranges of host and path, whatever one host's share; each range also gets the pages
+    around it, so a page's text does not depend on how pages are split. Repeated rows have the same text, as
+    copies of one another tell nothing about the frame. A null or empty page has an empty text; a null url is a
+    host of its own. No pages give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read() -> Iterator[Page]:
+        def settled() -> Iterator[tuple[Page, str]]:
+            near, place = Nearest(), None
             for batch in batches:
-                columns = [batch.column(i).to_pylist() for i in range(4)]
-                for i, (page_id, url, host, path) in enumerate(zip(*columns, strict=True)):
-                    yield Page(page_id, url, host, path, page_lines(batch.column(4)[i].as_py()))
+                columns = [batch.column(i).to_pylist() for i in range(7)]
+                for i, (part, own, page_id, url, host, path, digest) in enumerate(zip(*columns, strict=True)):
+                    if (part, host) != place:
+                        yield from near.end()
+                        near, place = Nearest(), (part, host)
+                    lines = near.lines(digest)
+                    if lines is None:
+                        lines = page_lines(batch.column(7)[i].as_py())
+                    yield from near.add(Page(page_id, url, host, path, lines, digest, own))
+            yield from near.end()
 
         ready: list[tuple] = []
 
@@ -446,7 +572,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-        for page, text in _differenced(read()):
+        for page, text in settled():
             ready.append((page.page_id, page.url, text))
             if len(ready) >= 500:
                 yield batch_of()
@@ -455,11 +581,14 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield batch_of()
 
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("page_key"),
+        F.xxhash64(html).alias("digest"), html.alias("html"),
     )
-    order = ["host", "path", "page_id", F.xxhash64("html")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, EXTRACTED)
+    dealt = _with_pages_around(rows)
+    columns = ["range", "own", "page_id", "url", "host", "path", "digest", "html"]
+    return dealt.sortWithinPartitions("range", *ORDER).select(*columns).mapInArrow(run, EXTRACTED)

@@ -9,6 +9,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -420,3 +421,76 @@ def test_hostile_pages_take_linear_time(part):
     start = time.process_time()
     html_text.page_lines(html)
     assert time.process_time() - start < 6
+
+
+def site_pages(seed, n=700):
+    """Pages of few hosts: exact copies in runs and strewn, near copies, alternating ones, frames, null urls, repeated rows."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        host = ["big.com", "big.com", "big.com", "b.org", "c.net"][rng.integers(5)]
+        kind = rng.integers(6)
+        if kind == 0:
+            body = "<p>the copied text of this host</p>"
+        elif kind == 1:
+            body = f"<p>{' '.join('near copies of one text that differ in one word only'.split())} {rng.integers(50)}</p>"
+        else:
+            body = "".join(f"<p>{' '.join(rng.choice(list('abcdefghij'), 6))}</p>" for _ in range(rng.integers(1, 4)))
+        path = f"/{'z' if kind == 0 and i % 3 else 'abc'[rng.integers(3)]}/{rng.integers(400)}"
+        rows.append((i if i % 50 else None, f"http://{host}{path}" if i % 41 else None, page(body, f"<div>{host} menu</div>")))
+    return rows + [(n + i, f"http://alt.com/{i:03d}", page(f"<p>{'one two three' if i % 2 else 'four five six'}</p>")) for i in range(60)] + rows[:5]
+
+
+def local_texts(rows):
+    """The definition of ``Nearest`` by looking from every page outward, without ranges or state."""
+    import re
+
+    pages = []
+    for page_id, url, html in rows:
+        host, path = re.match(r"(?:[a-z]+://([^/?#]*))?([^?#]*)", url or "").groups()
+        pages.append(html_text.Page(page_id, url, host or "", path, html_text.page_lines(html or ""), zlib.crc32((html or "").encode())))
+    pages.sort(key=lambda p: (p.host, p.path, -(1 << 63) if p.page_id is None else p.page_id))
+    out = Counter()
+    for i, own in enumerate(pages):
+        others = {}
+        for side in (pages[:i][::-1], pages[i + 1 :]):
+            seen, chosen = {own.digest}, []
+            for p in side:
+                if p.host != own.host or len(seen) > html_text.NEAR:
+                    break
+                if p.digest in seen:
+                    continue
+                seen.add(p.digest)
+                if len(chosen) < html_text.REACH and not any(html_text.is_copy(p, q) for q in (own, *chosen)):
+                    chosen.append(p)
+            others |= {p.digest: p for p in chosen}
+        near = sorted(others.values(), key=lambda p: -html_text._nearness(own, p))
+        out[own.page_id, own.url, " ".join(line.text for line in html_text.kept_lines(own, near))] += 1
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_text_does_not_depend_on_how_pages_are_split(spark, monkeypatch, partitions):
+    monkeypatch.setattr(html_text, "RANGE_PAGES", 1)
+    rows = site_pages(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        got = Counter((r.page_id, r.url, r.text) for r in html_text.main_text(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == local_texts(rows)
+
+
+def test_pages_around_are_passed_through_ranges_of_copies():
+    """A range takes the nearest distinct pages of its host, through ranges that hold copies of one page only."""
+    key = lambda host, path, digest: Row(host=host, path=path, page_key=0, digest=digest)
+    a, b, c, d, e = key("a", "/1", 1), key("a", "/2", 2), key("a", "/5", 2), key("a", "/7", 3), key("b", "/1", 4)
+    ranges = [
+        {"one_host": True, "heads": [a, b], "tails": [b, a]}, {"one_host": True, "heads": [c], "tails": [c]},
+        {"one_host": False, "heads": [d], "tails": [e]}, {"one_host": True, "heads": [e], "tails": [e]},
+    ]
+    assert html_text._around(ranges) == {
+        tuple(a): {1, 2}, tuple(b): {1}, tuple(c): {0, 2}, tuple(d): {0, 1}, tuple(e): {2, 3},
+    }
