@@ -84,8 +84,8 @@ class PieceCache(Cache):
     ``make_marks`` gives those of the marks that follow a piece's last letter.
     """
 
-    def __init__(self, make, make_marks):
-        super().__init__(make)
+    def __init__(self, make, make_marks, room: int | None = None):
+        super().__init__(make, room)
         self._of_marks = Cache(make_marks)
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -159,10 +159,10 @@ class TextEncoder:
     Texts are cut where both vocabularies of this kind always start a new pre-token: for a vocabulary
     that drops white space at ASCII white space, for a byte-level one before a space or a last white space.
     Texts that name a special token, or with wide white space beside a byte-level vocabulary, go to the
-    library whole.
+    library whole. ``cache_bytes`` is a generation of each of its two caches, about.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -182,7 +182,7 @@ class TextEncoder:
         def alone(piece: bytes) -> bytes:
             return id_bytes(self._whole(piece.decode()))
 
-        self._cache, self._after_space = PieceCache(first, alone), PieceCache(after_space, alone)
+        self._cache, self._after_space = (PieceCache(make, alone, cache_bytes) for make in (first, after_space))
         self._line_end = id_bytes(self._whole("\n"))
         self._special = [t.content for t in library.get_added_tokens_decoder().values()]
         # A vocabulary that keeps white space gives ids for a space alone.
@@ -207,16 +207,16 @@ class TextEncoder:
         return b"".join(parts[1:])
 
 
-#: The one coder that a Python worker keeps, by its class and vocabulary.
+#: The one coder that a Python worker keeps, by its class and settings.
 _kept: dict[tuple, object] = {}
 
 
-def kept_coder(kind, path: str):
+def kept_coder(kind, *settings):
     """A worker's coder of this kind, kept from task to task until another one is asked for."""
-    if (kind, path) not in _kept:
+    if (kind, *settings) not in _kept:
         drop_coder()
-        _kept[kind, path] = kind(path)
-    return _kept[kind, path]
+        _kept[kind, *settings] = kind(*settings)
+    return _kept[kind, *settings]
 
 
 def drop_coder() -> None:
@@ -225,8 +225,8 @@ def drop_coder() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def text_encoder(path: str) -> TextEncoder:
-    return kept_coder(TextEncoder, path)
+def text_encoder(path: str, cache_bytes: int | None = None) -> TextEncoder:
+    return kept_coder(TextEncoder, path, cache_bytes)
 
 
 def vocabulary_path(name: str) -> str:

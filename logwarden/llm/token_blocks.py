@@ -35,6 +35,8 @@ MAGIC = b"PFOR0001"
 PERCENTILE = 0.9
 #: Ids that are packed or unpacked at once.
 SPAN = 1 << 18
+#: Bytes of a generation of the encoder's caches: its tasks hold little else.
+CACHE_BYTES = 96 << 20
 
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 STORED = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -192,7 +194,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, perc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path)
+        encoder = text_encoder(path, CACHE_BYTES)
         system, place = _file_system(folder)
         part = TaskContext.get().partitionId()
         name = f"{place}/ids-{part:06d}-{uuid.uuid4().hex}.pfor"
