@@ -26,7 +26,7 @@ from logwarden.llm.trie import Trie
 from logwarden.session import stage
 
 #: Pairs of a shard, about; a context with more in training is split.
-SHARD_PAIRS = 1_500_000
+SHARD_PAIRS = 1_000_000
 #: Weight of the prior, in words.
 PRIOR = 500.0
 #: Stands for the end of a document among the words; white space is in no word.
@@ -91,7 +91,7 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         ids = OWN_WORD | row["chunk"] << PLACE_BITS | np.arange(size)
         place = words["place"].to_numpy()
         ids[place], counts[place] = words["id"].to_numpy(), words["n"].to_numpy()
-        doc = np.repeat(np.arange(n_docs_here), lengths)
+        doc = np.repeat(np.arange(n_docs_here, dtype=np.uint32), lengths)
         per_word = np.log10((counts + 1) / (total + distinct + 1))
         base = np.bincount(doc, per_word[tokens], n_docs_here)
         known = np.bincount(doc, counts[tokens] > 0, n_docs_here)
@@ -102,15 +102,16 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
         context[1:] = tokens[:-1] + 1
         context[np.cumsum(lengths) - lengths] = 0
         context, word, doc, times = _distinct(context, tokens, doc, size < PACKED_WORDS and n_docs_here <= PACKED_DOCS)
-        del tokens
+        del tokens, trains_here
         context_ids = np.concatenate([[BEGIN], ids])
         context_counts = np.concatenate([[n_docs], counts])
         parts = np.maximum(1, -(-context_counts // limit)).astype(np.uint32)
         shard = (_hashed(context_ids)[context] + _hashed(ids)[word] % parts[context]) * np.uint32(0x9E3779B1)
         shard = ((shard ^ (shard >> np.uint32(15))) % np.uint32(shards)).astype(np.uint16 if shards < 1 << 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
-        shard, context, word, doc, times = shard[order].astype(np.int64), context[order], word[order], doc[order], times[order]
-        bounds = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        shard, context, word, doc, times = (column[order] for column in (shard, context, word, doc, times))
+        del order
+        bounds = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
         trains = np.array(row["marks"])[doc] == 0
         for a, b in zip(bounds, bounds[1:], strict=False):
             own_contexts, c = np.unique(context[a:b], return_inverse=True)
@@ -122,6 +123,7 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
                 "contexts": squeeze(np.concatenate([context_ids[own_contexts], context_counts[own_contexts]])),
                 "words": squeeze(np.concatenate([ids[own_words], counts[own_words]])), "trains": np.packbits(trains[a:b]).tobytes(),
             })
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_pylist(out, schema=PAIRS)
 
     return run
@@ -130,12 +132,19 @@ def _spread(total: int, distinct: int, n_docs: int, shards: int, limit: int):
 def _distinct(context: np.ndarray, word: np.ndarray, doc: np.ndarray, packed: bool):
     """Distinct (context, word, document), sorted, and how often each comes; ``packed``: they fit one number."""
     if packed:
-        key = context << np.uint64(41) | word.astype(np.uint64) << np.uint64(18) | doc.astype(np.uint64)
+        # A chunk's arrays are the most that a task holds: they are combined in place.
+        key = context << np.uint64(23)
+        key |= word.astype(np.uint64)
+        key <<= np.uint64(18)
+        key |= doc.astype(np.uint64)
         key.sort()
-        at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        times = np.diff(np.append(at, len(key))).astype(np.uint32)
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        at = np.flatnonzero(new)
+        times = np.diff(at, append=len(key)).astype(np.uint32)
         key = key[at]
-        context, word = (key >> np.uint64(41)).astype(np.int64), (key >> np.uint64(18)).astype(np.int64) & 0x7FFFFF
+        del at, new
+        context, word = (key >> np.uint64(41)).astype(np.uint32), (key >> np.uint64(18)).astype(np.uint32) & np.uint32(0x7FFFFF)
         return context, word, key.astype(np.uint32) & np.uint32(0x3FFFF), times
     order = np.lexsort((doc, word, context))
     columns = [c.astype(np.int64)[order] for c in (context, word, doc)]
@@ -180,7 +189,7 @@ def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> li
         for c, w, i, j in zip(context_tables, word_tables, contexts, words, strict=True)
     ])
     times, train = np.concatenate(times), np.concatenate(trains)
-    del contexts, words, context_tables, word_tables
+    del contexts, words, context_tables, word_tables, trains
     pairs, place = np.unique(pair, return_inverse=True)
     del pair
     seen = np.bincount(place, times * train, len(pairs))
@@ -203,9 +212,11 @@ def score_pairs(rows: list[dict], total: int, distinct: int, prior: float) -> li
     finally:
         trie.close()
 
-    doc, of_row = np.concatenate(docs).astype(np.int64), np.concatenate(of_row)
-    key = of_row.astype(np.int64) << 32 | doc
+    key = np.concatenate(of_row).astype(np.int64) << 32
+    key |= np.concatenate(docs)
+    del docs, of_row, pairs, asked, heard
     keys, at = np.unique(key, return_inverse=True)
+    del key
     sums = np.bincount(at, answer[place] * times, len(keys))
     bounds = np.searchsorted(keys >> 32, np.arange(len(rows) + 1))
     return [
@@ -247,6 +258,7 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column, prior:
                 {"chunk": r["chunk"], "docs": r["doc"], "sums": r["context"], "stats": True} for r in rows
             ] + [{"chunk": r["chunk"], "docs": r["times"], "sums": None, "stats": True} for r in rows]
             return pa.Table.from_pylist(out, schema=PARTIAL)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_pylist(score_pairs(rows, total, distinct, prior), schema=PARTIAL)
 
     partial = pairs.groupBy("shard").applyInArrow(answer, PARTIAL_DDL)
