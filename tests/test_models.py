@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from logwarden.functions.fixed_values import BOOTSTRAP_LINES
@@ -20,7 +21,7 @@ from logwarden.operators.models import (
     load_models,
 )
 from logwarden.plans.pipeline import retrain_store, score_lines
-from logwarden.plans.training import label_lines, load_or_bootstrap, retrain
+from logwarden.plans.training import label_lines, load_or_bootstrap, retrain, train
 from logwarden.schemas import CLASSIFIERS
 from logwarden.session import scratch_folder
 from logwarden.sources.samples import log_lines
@@ -161,3 +162,13 @@ def test_retrain_judges_the_store_again(spark, lines, tmp_path):
 def test_retrain_needs_ten_lines(spark, lines, tmp_path):
     with pytest.raises(ValueError):
         retrain(lines(BOOTSTRAP_LINES[:9]), str(tmp_path))
+
+
+def test_fitted_regression_scores_after_an_observation(spark, lines):
+    seen = Observation("rows")
+    frame = lines(BOOTSTRAP_LINES)
+    frame.observe(seen, F.count("*").alias("rows")).collect()
+    assert seen.get == {"rows": len(BOOTSTRAP_LINES)}
+    names = ["logistic_regression"]
+    scored = add_scores(train(frame, names), frame, names=names)
+    assert scored.count() == len(scored.collect()) == len(BOOTSTRAP_LINES)
