@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from logwarden.operators.parse import parse_lines
 from logwarden.operators.rates import add_trailing_counts
 from logwarden.sources.samples import log_lines
@@ -167,3 +169,37 @@ def test_history_outlives_many_fast_batches(spark, lines, tmp_path):
     earlier = live.earlier_cells(spark, state, late).drop("_seen")
     counted = add_trailing_counts(parse_lines(lines(web("10.0.0.1", 5, 15)), "apache"), earlier)
     assert max(r.requests_10s for r in counted.collect()) == 35
+
+
+def test_batch_of_files_counts_in_order_of_paths(spark, tmp_path):
+    line = '45.33.1.7 - - [21/May/2026:10:00:00 +0000] "GET /%d HTTP/1.1" 200 10 "-" "-"'
+    folder = tmp_path / "in"
+    folder.mkdir()
+    # The later file is larger, so that Spark takes it first.
+    for name, numbers in (("a.log", range(3)), ("b.log", range(3, 20)), ("c.log", range(20, 25))):
+        (folder / name).write_text("\n".join(line % i for i in numbers) + "\n")
+    out, state, checkpoint = (str(tmp_path / n) for n in ("out", "state", "checkpoint"))
+    lines = stream_lines(spark, str(folder), 3, blocks=True)
+    live.drain(live.trailing_stream(lines, out, state, checkpoint))
+    rows = spark.read.parquet(out).select("url", "requests_10s", "batch").collect()
+    assert sorted((r.requests_10s, r.url) for r in rows) == [(i + 1, f"/{i}") for i in range(25)]
+    assert {r.batch for r in rows} == {0}
+
+
+def test_many_files_make_no_more_batches(spark, tmp_path, monkeypatch):
+    rows = 'event_id bigint, user_id bigint, event_type string, value double'
+    events = [(i, i % 50, "click" if i % 3 else "error", float(i)) for i in range(3_000)]
+    spark.createDataFrame(events, rows).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(registry, "LINES_PER_FILE", 375)
+    monkeypatch.setattr(registry, "MOST_BATCHES", 3)
+    files = registry.log_files(spark, str(tmp_path))
+    assert len(files) == 8 and registry.files_per_batch(files) == 3
+    written = [r.value for path in files for r in spark.read.text(path).orderBy(F.monotonically_increasing_id()).collect()]
+    assert written == [r.value for r in log_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    bounds = [round(3_000 * (i / 8) ** 1.5) for i in range(9)]
+    sizes = [spark.read.text(path).count() for path in files]
+    assert sizes == [b - a for a, b in zip(bounds, bounds[1:])]
+    found = registry.ingested_text(spark, str(tmp_path))
+    assert sorted(p.name for p in Path(found).glob("batch=*")) == sorted(f"batch={i}" for i in range(3))
+    totals = live.read_kpis(spark, found).first()
+    assert totals.total_logs == parse_lines(log_lines(spark, str(tmp_path))).count()
