@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.fixed_values import BOOTSTRAP_LINES
 from logwarden.operators import iforest
+from logwarden.operators import models as model_jobs
 from logwarden.operators.features import add_features, fit_features
 from logwarden.operators.models import (
     add_scores,
@@ -172,3 +173,18 @@ def test_fitted_regression_scores_after_an_observation(spark, lines):
     names = ["logistic_regression"]
     scored = add_scores(train(frame, names), frame, names=names)
     assert scored.count() == len(scored.collect()) == len(BOOTSTRAP_LINES)
+
+
+def test_fits_deal_rows_to_small_partitions(lines, monkeypatch):
+    monkeypatch.setattr(model_jobs, "ROWS_PER_TASK", 3)
+    seen = []
+
+    class Fit:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(model_jobs, "_supervised", lambda name, n: Fit())
+    rows = lines(BOOTSTRAP_LINES).coalesce(1)
+    model_jobs.fit_classifier(model_jobs.TrainingSet(None, rows), "random_forest")
+    model_jobs.fit_classifier(model_jobs.TrainingSet(None, rows.limit(3)), "random_forest")
+    assert seen == [(4, len(BOOTSTRAP_LINES)), (1, 3)]
