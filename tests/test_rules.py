@@ -144,3 +144,24 @@ def test_no_group_of_the_sums_holds_an_address(spark):
         want = (sum(r[1] >= second - 10 for r in earlier), sum(r[5] for r in earlier if r[1] >= second - 60))
         assert got[cell] == want
     assert len(got) == 2000
+
+
+def test_seconds_are_never_broadcast(spark):
+    """Their size is guessed from the input's files, so a broadcast would grow with the log in every task."""
+    rows = rows_frame(spark, [(1, "a", 1, "/x", 200)])
+    for columns in (["line_no", "failed_logins_60s"], ["line_no", "url"]):
+        plan = add_trailing_counts(rows).select(*columns)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_only_cells_of_seconds_over_a_limit_are_ranked(spark):
+    from logwarden.operators.rates import trailing_before_cell
+
+    hot = [("a", 600 + i // 2, i % 2, i, 8, 0) for i in range(8)]
+    cold = [("b", 600 + 20 * i, 0, 100 + i, 8, 0) for i in range(8)] + [(None, 600, 0, 200, 31, 0)]
+    schema = "ip string, _second bigint, _block bigint, _cell bigint, _requests bigint, _failures bigint"
+    cells = spark.createDataFrame(hot + cold, schema)
+    whole = {r["_cell"]: r for r in trailing_before_cell(cells).collect()}
+    found = {r["_cell"]: r for r in trailing_before_cell(cells, over_limit=True).collect()}
+    assert set(found) == {2, 3, 4, 5, 6, 7, 200}
+    assert found == {cell: whole[cell] for cell in found}
