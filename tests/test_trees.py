@@ -90,3 +90,53 @@ def test_models_that_spark_fitted_still_load(spark, lines, tmp_path):
     pointer = spark.read.parquet(f"{path}/current").drop("trees", "scale").localCheckpoint()
     pointer.write.mode("overwrite").parquet(f"{path}/current")
     assert load_models(spark, path).fitted["random_forest"].getNumTrees == 3
+
+
+def test_few_counts_are_summed_by_all_cores(rows, spark):
+    blocks, table = trees._prepared(rows)
+    weigh = trees.residuals([], len(table), 3, True)
+    counts = trees.histograms(blocks, [trees.Tree()], [(0, 0)], None, len(table), 0, weigh)
+    assert trees.best_splits(counts).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_best_split_of_each_node(spark):
+    rng = np.random.default_rng(5)
+    counts = [
+        (slot, term, bin, int(rng.integers(1, 9)), int(rng.integers(-20, 20)) << 32)
+        for slot in range(3) for term in range(7) for bin in range(4) if bin == 0 or rng.random() < 0.7
+    ]
+    counts += [(3, 0, 0, 5, 5)]  # one bin: no split
+    twice = spark.createDataFrame(counts + counts, trees.COUNT_SCHEMA)
+    found = trees.best_of(trees.best_splits(twice).collect())
+    assert [row["slot"] for row in found] == [0, 1, 2, 3]
+    for row in found:
+        options = []
+        for term in range(7):
+            held = [c for c in counts if c[0] == row["slot"] and c[1] == term]
+            n, s = sum(2 * c[3] for c in held), sum(2 * c[4] for c in held)
+            for bin in [c[2] for c in held]:
+                left = [c for c in held if c[2] <= bin]
+                n_left, s_left = sum(2 * c[3] for c in left), sum(2 * c[4] for c in left)
+                gain = -1.0 if n == n_left else s_left**2 / n_left + (s - s_left) ** 2 / (n - n_left) - s**2 / n
+                options.append((-gain, term, bin, n, s, n_left, s_left))
+        gain, *best = min(options)
+        assert [row[c] for c in ("feature", "bin", "n", "s", "n_left", "s_left")] == best
+        assert row["gain"] == pytest.approx(-gain)
+
+
+def test_pieces_hold_every_entry_once():
+    rng = np.random.default_rng(6)
+    ids = np.sort(rng.integers(3, 60, 20_000))
+    row = {
+        "seed": [0, 0], "labels": np.zeros(900, np.int8).tobytes(), "margins": np.zeros(900).tobytes(),
+        "rows": rng.integers(0, 900, len(ids), dtype=np.int32).tobytes(),
+        "bins": rng.integers(1, 32, len(ids), dtype=np.uint8).tobytes(),
+        "counts": np.bincount(ids, minlength=64).astype(np.int32).tobytes(),
+    }
+    block = trees.Block(row)
+    pieces = list(block.pieces())
+    assert len(pieces) > 3
+    for column, whole in zip(zip(*pieces), (block.rows, ids, block.bins)):
+        assert np.array_equal(np.concatenate(column), whole)
+    empty = trees.Block(row | {"rows": b"", "bins": b"", "counts": np.zeros(64, np.int32).tobytes()})
+    assert list(empty.pieces()) == []
