@@ -135,8 +135,40 @@ def test_pieces_hold_every_entry_once():
     }
     block = trees.Block(row)
     pieces = list(block.pieces())
-    assert len(pieces) > 3
+    assert len(pieces) > 2
     for column, whole in zip(zip(*pieces), (block.rows, ids, block.bins)):
         assert np.array_equal(np.concatenate(column), whole)
     empty = trees.Block(row | {"rows": b"", "bins": b"", "counts": np.zeros(64, np.int32).tobytes()})
     assert list(empty.pieces()) == []
+
+
+def test_forest_counts_the_terms_that_a_node_asks_for(rows):
+    width = WIDTH
+    table = trees.split_table(rows, 400, width)
+    blocks = trees.binned_blocks(rows, table).persist()
+    held = [trees.Block(b.asDict()) for b in blocks.collect()]
+    dense = np.concatenate([b.dense(np.arange(width)) for b in held])
+    labels = np.concatenate([b.labels for b in held]).astype(int)
+
+    def weigh(block, t):
+        return np.ones(len(block.labels), np.uint8), block.labels.astype(np.int64)
+
+    grown = [trees.Tree(), trees.Tree()]
+    for t, term in enumerate((3, 1)):
+        grown[t].split(0, term, 5)
+    rng = np.random.default_rng(2)
+    # All nodes of two trees, and (found by another way, as few rows are in it) one node alone.
+    for slots in ([(0, 1), (0, 2), (1, 1), (1, 2)], [(1, 2)]):
+        for terms in (1, 7):
+            subsets = np.array([rng.choice(width, terms, replace=False) for _ in slots])
+            found = trees.histograms(blocks, grown, slots, subsets, width, 1, weigh)
+            summed = found.groupBy("slot", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+            wanted = {}
+            for i, (t, node) in enumerate(slots):
+                inside = np.flatnonzero((dense[:, grown[t].feature[0]] > 5) == (node == 2))
+                for term in subsets[i]:
+                    for row in inside:
+                        n, s = wanted.get((i, int(term), int(dense[row, term])), (0, 0))
+                        wanted[(i, int(term), int(dense[row, term]))] = n + 1, s + labels[row]
+            assert {(r["slot"], r["feature"], r["bin"]): (r["n"], r["s"]) for r in summed} == wanted
+    blocks.unpersist()
