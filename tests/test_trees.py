@@ -99,6 +99,69 @@ def test_few_counts_are_summed_by_all_cores(rows, spark):
     assert trees.best_splits(counts).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_blocks_are_read_by_few_tasks_and_one_by_one(rows, spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    blocks, _ = trees._prepared(rows.repartition(40))
+    assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    wide = blocks.withColumn("labels", F.repeat(F.lit("x"), 2 * trees.BATCH_BYTES).cast("binary")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield trees.pa.RecordBatch.from_arrays([trees.pa.array([batch.num_rows])], names=["n"])
+
+    with trees.small_batches(spark):
+        assert {r["n"] for r in wide.mapInArrow(sizes, "n bigint").collect()} == {1}
+    assert spark.conf.get(name) == before
+    blocks.unpersist()
+
+
+def test_common_bits_are_those_of_both():
+    rng = np.random.default_rng(7)
+    left, right = rng.random((50, 130)) < 0.3, rng.random((50, 130)) < 0.1
+    found = trees.common_bits(trees.as_bits(left), trees.as_bits(right))
+    assert [list(f) for f in found] == [list(f) for f in np.nonzero(left & right)]
+
+
+def test_few_and_many_nodes_lead_rows_alike():
+    rng = np.random.default_rng(8)
+    columns = rng.integers(0, 4, (9, 500), dtype=np.uint8)
+    tree, leaves = trees.Tree(), [0]
+    for depth in range(1, 6):
+        leaves = [c for leaf in leaves for c in tree.split(leaf, int(rng.integers(9)), int(rng.integers(3)))]
+        at = np.zeros(500, int)
+        for _ in range(depth):
+            at = np.array([
+                node if tree.is_leaf(node) else tree.left[node] + int(columns[tree.feature[node], i] > tree.bin[node])
+                for i, node in enumerate(at)
+            ])
+        assert np.array_equal(trees.descend(tree.arrays(), columns, depth), at)
+
+
+def test_packed_sums_are_exact(rows):
+    blocks, table = trees._prepared(rows, trees.MOST_ROWS)
+    width = len(table)
+    largest = np.array([4, -4, 3, -1]) * int(trees.UNIT)
+
+    def weigh(block, t):
+        return None, np.resize(largest, len(block.labels))
+
+    tree = trees.Tree()
+    tree.split(0, 1, 3)
+    wanted = {}
+    for b in map(lambda b: trees.Block(b.asDict()), blocks.collect()):
+        dense, targets = b.dense(np.arange(width)).astype(int), weigh(b, 0)[1]
+        for row in range(len(dense)):
+            slot = int(dense[row, 1] > 3)
+            for term in range(width):
+                n, s = wanted.get((slot, term, dense[row, term]), (0, 0))
+                wanted[(slot, term, dense[row, term])] = n + 1, s + int(targets[row])
+    found = trees.histograms(blocks, [tree], [(0, 1), (0, 2)], None, width, 1, weigh)
+    summed = found.groupBy("slot", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    assert {(r["slot"], r["feature"], r["bin"]): (r["n"], r["s"]) for r in summed} == wanted
+    blocks.unpersist()
+
+
 def test_best_split_of_each_node(spark):
     rng = np.random.default_rng(5)
     counts = [
