@@ -203,3 +203,42 @@ def test_many_files_make_no_more_batches(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in Path(found).glob("batch=*")) == sorted(f"batch={i}" for i in range(3))
     totals = live.read_kpis(spark, found).first()
     assert totals.total_logs == parse_lines(log_lines(spark, str(tmp_path))).count()
+
+
+def test_log_files_are_written_at_once(spark, tmp_path, monkeypatch):
+    rows = 'event_id bigint, user_id bigint, event_type string, value double'
+    # No line lies in the third file's range: it is empty, and the others keep their numbers.
+    bounds = [round(4_000 * (i / 24) ** 1.5) for i in range(25)]
+    numbers = [i for i in range(4_000) if not bounds[2] <= i < bounds[3]]
+    events = spark.createDataFrame([(i, i % 50, "click", float(i)) for i in numbers], rows)
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(registry, "LINES_PER_FILE", -(-len(numbers) // 24))
+    spark.sparkContext.setJobGroup("log files", "")
+    files = registry.log_files(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(files) == 24
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("log files")) < len(files)
+    parts = [list(Path(path).glob("part-*")) for path in files]
+    times = [max(p.stat().st_mtime for p in part) for part in parts]
+    assert times == sorted(set(times)) and max(times) <= time.time()
+    written = [sum(len(p.read_text().splitlines()) for p in part) for part in parts]
+    assert written == [0 if i == 2 else b - a for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def test_a_batch_writes_few_files_a_date(spark, lines, tmp_path):
+    texts = [
+        f'10.0.0.1 - - [{day:02d}/May/2026:10:00:{i:02d} +0000] "GET /a HTTP/1.1" 200 5'
+        for day in (21, 22, 23) for i in range(40)
+    ]
+    paths = [str(tmp_path / name) for name in ("store", "state")]
+    batch = lines(texts).select("value").repartition(8)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, False)  # rows of each date in many tasks, as in a large batch
+    try:
+        live.ingest_batch(*paths)(batch, 0)
+    finally:
+        spark.conf.unset(setting)
+    stored = spark.read.parquet(paths[0])
+    assert stored.count() == len(texts)
+    dates = stored.select("event_date").distinct().count()
+    assert len(list(Path(paths[0]).rglob("*.parquet"))) <= 2 * dates
