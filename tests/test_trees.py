@@ -21,6 +21,13 @@ SCHEMA = StructType([
 ])
 
 
+@pytest.fixture(scope="module")
+def spark(spark):
+    """A session of its own: tasks cannot take along one that has observed a table, and the models of Spark's forest
+    hold their session."""
+    return spark.newSession()
+
+
 def chances(model, rows):
     if isinstance(model, trees.TreeModel):
         found = model.chance(rows, "chance")
